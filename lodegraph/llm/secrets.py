@@ -218,9 +218,9 @@ def _line_spans(line: str, keyed: bool) -> Iterator[tuple[int, int, str]]:
     m = BARE.match(line)
     if m and usable(m.group(1), m.group(2), line[m.end(2) :]):
         yield m.start(2), m.end(2), "PASSWORD" if PASSWORD_SHAPE.match(m.group(2)) else "GENERIC"
-    if keyed:
+    if any(c in line for c in "/#-*"):
         m = REMARK.search(line)
-        if m and NAMED.search(m.group(1)):
+        if m and (keyed and NAMED.search(m.group(1)) or re.match(r"\s*(?://|#|--)\s*\w+\s+\S+$", line)):
             v = m.group(2)
             if usable(m.group(1), v) and (random_looking(v) or PASSWORD_SHAPE.match(v)):
                 yield m.start(2), m.end(2), "GENERIC"
