@@ -125,24 +125,22 @@ def bands(doc: np.ndarray, pos: np.ndarray, item: np.ndarray, place: np.ndarray,
 
 
 def aligned(a: np.ndarray, b: np.ndarray, k: int) -> int:
-    """Edits between two stretches by an alignment within k diagonals; k + 1 if there are more than k."""
+    """Edits to turn ``a`` into some stretch of ``b`` that begins within its first 2 k + 1 places; k + 1 if more than k."""
     n, m = len(a), len(b)
-    if abs(n - m) > k:
-        return k + 1
-    row = {j: j for j in range(min(m, k) + 1)}
+    left, right = a.tolist(), b.tolist()
+    row = [0 if j <= 2 * k else k + 1 for j in range(m + 1)]
     for i in range(1, n + 1):
-        new = {}
-        for j in range(max(0, i - k), min(m, i + k) + 1):
-            best = row.get(j, k + 1) + 1
-            if j:
-                best = min(best, new.get(j - 1, k + 1) + 1, row.get(j - 1, k + 1) + (a[i - 1] != b[j - 1]))
-            else:
-                best = i
-            new[j] = min(best, k + 1)
+        lo, hi = max(0, i - k), min(m, i + 3 * k)
+        new = [k + 1] * (m + 1)
+        if lo == 0:
+            new[0] = min(i, k + 1)
+        c = left[i - 1]
+        for j in range(max(1, lo), hi + 1):
+            new[j] = min(row[j - 1] + (c != right[j - 1]), row[j] + 1, new[j - 1] + 1, k + 1)
         row = new
-        if min(row.values()) > k:
+        if min(row[lo : hi + 1], default=k + 1) > k:
             return k + 1
-    return row.get(m, k + 1)
+    return min(row)
 
 
 def common_words(dw: list[str], iw: list[str], d: int, i: int) -> int:
@@ -201,9 +199,10 @@ def _scan(index: Index, texts: list[str], least_words: int, q: int, k: int) -> l
                         continue
                 wd += 1
         else:
-            a = codes[base + first : base + last + q]
-            lo_i = max(0, first - diag)
-            best = min((aligned(a, index.codes[it][lo_i + s : lo_i + s + len(a)], k) for s in range(-k, k + 1) if lo_i + s >= 0), default=k + 1)
+            size = int(index.length[it])
+            a = codes[base + first : base + first + size]
+            lo_i = max(0, first - diag - k)
+            best = aligned(a, index.codes[it][lo_i : lo_i + size + 3 * k], k) if len(a) == size and 10 not in a else k + 1
             if best <= k and (d, it, first) not in seen:
                 seen.add((d, it, first))
                 out.append((d, index.ids[it], int(np.searchsorted(ws, first, "right")) - 1, len(a), best))
