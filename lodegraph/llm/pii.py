@@ -1,0 +1,358 @@
+"""Personal information inside free text: mentions, and surrogates in their place.
+
+E-mail addresses, phone, identity numbers and street addresses are recognised by
+their formats and the words around them.  A person's name is a run of
+capitalised words; whether it is one is decided by statistics over the whole
+corpus: how often its words are written small elsewhere, and how often they
+stand where names stand (after "reviewed by", before an address in angle
+brackets).  Surrogates are keyed: one entity gets one replacement everywhere, of
+its own type, script and format, and two entities never share one.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import hmac
+from collections.abc import Iterator
+
+import pandas as pd
+import regex
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from lodegraph.runtime import materialize
+
+EMAIL = regex.compile(r"(?<![\p{L}\p{N}._%+@/:-])(?!git@)[\p{L}\p{N}][\p{L}\p{N}\p{M}._%+'-]*@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.)+\p{L}{2,}(?![\p{L}\p{N}@-]|:[\p{L}\p{N}/~])")
+VEILED = regex.compile(
+    r"(?i)(?<![\p{L}\p{N}._%+@/:-])[\p{L}\p{N}][\p{L}\p{N}._%+'-]*(?:\s?[\[({]\s?(?:at|arroba|arobase|ät|@)\s?[\])}]\s?[\p{L}\p{N}-]+(?:(?:\.|\s?[\[({]\s?(?:dot|punto|point|punkt)\s?[\])}]\s?|\s(?:dot|punto|point|punkt)\s)[\p{L}\p{N}-]+)+"
+    r"|\s(?:at|arroba|arobase|ät)\s[\p{L}\p{N}-]+(?:(?:\s(?:dot|punto|point|punkt)\s|\s?[\[({]\s?(?:dot|punto|point|punkt)\s?[\])}]\s?)[\p{L}\p{N}-]+)+)"
+)
+EXT = r"(?:\s*(?:ext\.?|x|Durchwahl|poste|extensión)\s*\d{1,6})?"
+PHONE = regex.compile(
+    r"(?<![\p{L}\p{N}.,:/#@_+-])(?:"
+    r"\+[1-9]\d{0,2}(?:[ .-]?\(0?\d{1,4}\))?(?:[ .-]?\d{1,6}){2,6}"
+    r"|00[1-9]\d{0,2}[ .-]\d{1,5}(?:[ .-]\d{1,7}){1,4}"
+    r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|1-\d{3}-\d{3}-\d{4}"
+    r"|\(0\d{1,4}\) ?\d{2,8}(?:[ -]\d{2,6}){0,3}|0\d{2,4}/\d{5,9}(?:-\d{1,4})?"
+    r"|0[1-9](?:[ .-]\d{2}){4}|0\d{2,4} \d{3,4} \d{3,4}|0\d{4} \d{6}"
+    r"|[6789]\d{2}[ -]\d{3}[ -]\d{3}|[6789]\d{2}(?: \d{2}){3}"
+    r")(?![\p{L}\p{N}_]|[.,:/-]\d|@)" + EXT
+)
+CALLED = regex.compile(
+    r"(?i)\b(?:call|phone|tel|tél|telefon|telefonisch(?: erreichbar)?(?: unter)?|mobile?|móvil|handy|fax|hotline|reach (?:me|us|him|her|them)(?: (?:under|at|on))?|ring|bereitschaft|appeler|llamar|teléfono|téléphone|whatsapp|sms)"
+    r"(?:[.:]|\s+(?:al|le|au|under|at|on|unter|me|us|number|is|:))*\s*(\(?\+?\d[\d ()./-]{5,18}\d)(?![\p{L}\p{N}])"
+)
+#: Shapes that are identity numbers without a word beside them.
+BARE_ID = regex.compile(
+    r"(?<![\p{L}\p{N}.,:/#@_+-])(?:\d{3}-\d{2}-\d{4}|[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D]"
+    r"|\d{2} ?\d{6} ?\p{Lu} ?\d{3}|[1-478] ?\d{2} ?(?:0[1-9]|1[0-2]|[2-9]\d) ?(?:\d{2}|2[AB]) ?\d{3} ?\d{3} ?\d{2}|\d{8}-?[A-HJ-NP-TV-Z]|[XYZ]-?\d{7}-?[A-HJ-NP-TV-Z])(?![\p{L}\p{N}_]|[.,:/-]\d)"
+)
+#: What identity numbers are called.
+ID_NAME = (
+    r"passport|passeport|pasaporte|reisepass|pass-?nr|driv(?:er|ing)(?:['’]?s)? licen[cs]e|licen[cs]e (?:no|number|nr)|führerschein|permis de conduire|carnet de conducir|permiso de conducir"
+    r"|ssn|social security|national insurance|nino|insurance (?:no|number)|tax (?:id|no|number|file)|tin|itin|ein|vat id|national id|identity card|id card|id[- ]?number"
+    r"|steuer-?id(?:entifikationsnummer|nr)?|steuernummer|personalausweis|ausweis(?:nummer|nr)?|sozialversicherungs?(?:nummer|nr)?|versicherten?nummer|krankenversicherung|rentenversicherung"
+    r"|numéro de sécu(?:rité sociale)?|sécurité sociale|numéro fiscal|carte d['’]identité|cni|nir|nif|nie|dni|seguridad social|número de afiliación|nss|cif"
+)
+NAMED_ID = regex.compile(
+    r"(?i:(?<![\p{L}\p{N}_-])(?:" + ID_NAME + r"))(?:\s*(?:no|nr|num|number|nummer|numéro|número|n[°º])?[.:#]*\s*(?:is|ist|est|es|=)?\s*)"
+    r"((?=[\p{Lu}\d .-]{0,6}\d)[\p{Lu}\d](?:[ .-]?[\p{Lu}\d]){5,24})(?![\p{L}\p{N}])"
+)
+STREET_EN = r"(?:Street|Avenue|Road|Lane|Drive|Court|Way|Close|Square|Terrace|Place|Boulevard|Crescent|Row|Alley|Parkway|Highway|Hill|Mews|St\.?|Ave\.?|Rd\.?|Ln\.?|Dr\.?|Blvd\.?|Ct\.?)"
+ADDRESS = regex.compile(
+    r"(?<![\p{L}\p{N}.,:/#@_-])(?:"
+    r"\d{1,5}[A-Za-z]?(?:[-/]\d{1,4})?,? (?:(?:\p{Lu}[\p{L}\p{M}'’-]+|Of|of|the) ){1,3}" + STREET_EN + r"(?![\p{L}\p{N}])(?! (?!Apt|Suite|Unit|Flat|Floor|Bldg|North|South|East|West)\p{Lu}[\p{Ll}]+s?\b(?<! (?:Call|Mail|Owner|Reviewed|Thanks|Contact|The|On|You|Ship|Her|Invoice|Record|Onboarding|Status|Rule|After|Every|Docs|Hot|Open|Please|Nothing|Drift|Compression|Ingestion|Reviewers|We|Clone|Install|Ticket|Job|Trace|ADR|Incident|In|It|A|An|And|See|At|For|From|To|This|That|If|When)))"
+    r"|\p{Lu}[\p{L}\p{M}-]*(?:straße|strasse|str\.|gasse|weg|platz|allee|ring|damm|ufer|stieg|pfad|markt|chaussee)\s+\d{1,4}\s?[a-z]?(?![\p{L}\p{N}])"
+    r"|(?:Am|An der|Im|In der|Auf dem|Zum|Zur|Unter den) \p{Lu}[\p{L}\p{M}-]+ \d{1,4}[a-z]?, \d{5} \p{Lu}"
+    r"|\d{1,4}(?:[A-Za-z]| ?bis| ?ter)?,? (?:[Rr]ue|[Aa]venue|[Aa]v\.|[Bb]oulevard|[Bb]d\.?|[Aa]llées?|[Pp]lace|[Cc]hemin|[Ii]mpasse|[Qq]uai|[Rr]oute|[Cc]ours|[Ss]quare|[Pp]assage|[Ss]entier)(?: (?:de la|de l['’]|des|de|du|d['’]|la|le|les))? ?\p{Lu}[\p{L}\p{M}'’-]+"
+    r"|\d{1,4}(?:[A-Za-z]| ?bis| ?ter)?,? (?:[Rr]ue|[Aa]venue|[Bb]oulevard|[Aa]llées?|[Cc]hemin|[Ii]mpasse|[Qq]uai) (?:de la |de l['’]|des |de |du |d['’])?\p{L}[\p{L}\p{M}'’-]+"
+    r"|(?:[Cc]alle|C/|[Aa]venida|[Aa]vda\.?|[Pp]aseo|[Pp]laza|[Cc]amino|[Rr]onda|[Cc]arretera|[Tt]ravesía|[Cc]allejón) ?(?:(?:de la|de las|de los|del|de|la|las|los|el) )?\p{L}[\p{L}\p{M}'’-]+(?: (?:(?:de la|de|del) )?\p{Lu}[\p{L}\p{M}'’-]+){0,3},? (?:n\.?[º°]? ?|núm\.? ?)?\d{1,4}(?![\p{L}\p{N}]|\.\d)"
+    r")"
+)
+CAP = r"\p{Lu}[\p{Ll}\p{M}’']+(?:\p{Lu}[\p{Ll}\p{M}]+)?"
+INITIAL = r"\p{Lu}\."
+GAP = r"(?:[ \t ]+|[ \t]*\n[>#*/ \t]*)"
+PARTICLE = r"(?:(?:van der|van den|van de|van|von der|von|zu|de la|de los|de|del|della|da|di|dos|la|le|der|den|ten|ter|af|bin|ibn|al|el|O)" + GAP + r")?"
+FULL = regex.compile(rf"(?<![\p{{L}}\p{{N}}_@./#-])({CAP}(?:-{CAP})?){GAP}(?:{INITIAL}{GAP}?)*{PARTICLE}({CAP}(?:-{CAP})?)(?![\p{{L}}\p{{N}}_@(/=]|\.\p{{L}})")
+SHORT = regex.compile(rf"(?<![\p{{L}}\p{{N}}_@./#-])({INITIAL})(?:{GAP}?{INITIAL})*{GAP}?{PARTICLE}({CAP}(?:-{CAP})?)(?![\p{{L}}\p{{N}}_@(/=]|\.\p{{L}})")
+TURNED = regex.compile(rf"(?<![\p{{L}}\p{{N}}_@./#-])({CAP}(?:-{CAP})?),[ \t]+({CAP}(?:-{CAP})?)(?:[ \t]+{INITIAL})*(?![\p{{L}}\p{{N}}_@(/=-]|\.\p{{L}})")
+LOUD = regex.compile(r"(?<![\p{L}\p{N}_@./#-])(\p{Lu}[\p{Lu}\p{M}’']+(?:-\p{Lu}{2,})?)[ \t]+(?:\p{Lu}\.[ \t]+)*(\p{Lu}[\p{Lu}\p{M}’']+(?:-\p{Lu}{2,})?)(?![\p{L}\p{N}_@(/=]|\.\p{L})")
+#: Words after which, or before which, a person is named.
+BEFORE = regex.compile(
+    r"(?i)(?:\b(?:review(?:ed|er)?s?(?: by|:)|approved by|written by|signed[- ]off[- ]by:?|reported by|fixed by|assigned to|thanks to|credits? to|owners?:|authors?:|assignee:|contact:|cc:?|attn:?|dear|hi|hello|mr\.?|mrs\.?|ms\.?|dr\.?|from:|to:|name:|ask|ping|by"
+    r"|zuständig ist|geprüft von|gemeldet von|erstellt von|ansprechpartner(?:in)?:?|(?:viele |liebe |mit freundlichen )?gr(?:uß|üße|üßen),?|dank an|danke an|an|frau|herr|liebe[r]?"
+    r"|relu par|validé par|écrit par|merci à|cordialement,?|responsable\s?:|bonjour|madame|monsieur|écrire à|par"
+    r"|revisado por|aprobado por|escrito por|gracias a|saludos,?|responsable:|estimad[oa]|señora?|escribir a|por)|--|—|–)\s*[:,]?\s*$"
+)
+AFTER = regex.compile(r"^\s*(?:<[^<>\n]{3,80}>|(?:asked|wrote|said|reviewed|fixed|reported|suggested|approved|owns|joined|left|will|has|a (?:corrigé|relu|demandé|écrit|signalé)|ha (?:corregido|pedido|escrito)|pidió|corrigió|revisó|hat|bittet|schrieb|fragt)\b)")
+#: Openings that are followed by a comma and a first name.
+SALUTATIONS = set("gruß grüße gruss hallo hello hi dear liebe lieber thanks merci gracias saludos cordialement bonjour hola regards best cheers salut".split())
+
+
+def _line(starts: list[int], at: int) -> int:
+    import bisect
+
+    return bisect.bisect_right(starts, at)
+
+
+def _name_rows(text: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """(start, end, first word, last word, stands where names stand) of everything that may be a name."""
+    taken = []
+    for form, pat in (("full", FULL), ("short", SHORT), ("loud", LOUD), ("turned", TURNED)):
+        for m in pat.finditer(text, overlapped=form == "full"):
+            given, last = m.group(1), m.group(2)
+            if form == "turned":
+                if given.lower() in SALUTATIONS or any(a < m.end() and m.start() < b for a, b in taken):
+                    continue
+                if regex.match(rf"{GAP}(?:{INITIAL}|{CAP})", text[m.end() : m.end() + 20]) and BEFORE.search(text[max(0, m.start() - 40) : m.start()]) is None:
+                    continue
+                given, last = last, given
+            strong = BEFORE.search(text[max(0, m.start() - 40) : m.start()]) is not None or AFTER.match(text[m.end() : m.end() + 60]) is not None
+            if form != "turned" and strong:
+                taken.append(m.span())
+            yield m.start(), m.end(), given.split("-")[0].lower(), last.split("-")[0].lower(), strong
+
+
+def mentions(text: str) -> list[tuple[int, int, str, str, str, bool]]:
+    """(start, end, type, first word, last word, strong); the words only for possible names."""
+    out = []
+    mails = [m.span() for m in EMAIL.finditer(text)] + [m.span() for m in VEILED.finditer(text)]
+    out += [(a, b, "email", "", "", True) for a, b in mails]
+    ids = [m.span() for m in BARE_ID.finditer(text)] + [m.span(1) for m in NAMED_ID.finditer(text)]
+    streets = [m.span() for m in ADDRESS.finditer(text)]
+
+    def clash(a: int, b: int, others: list[tuple[int, int]]) -> bool:
+        return any(x < b and a < y for x, y in others)
+
+    phones = []
+    for m in PHONE.finditer(text):
+        n = sum(c.isdigit() for c in regex.sub(EXT + "$", "", m.group()))
+        if 8 <= n <= 15 and not clash(*m.span(), ids):
+            phones.append(m.span())
+    for m in CALLED.finditer(text):
+        a, b = m.span(1)
+        n = sum(c.isdigit() for c in m.group(1))
+        if 6 <= n <= 15 and not clash(a, b, ids) and not clash(a, b, phones) and not regex.fullmatch(r"\d{1,3}(?:\.\d{1,3}){3}|\d{1,2}[:.]\d{2}|\d{4}-\d{2}-\d{2}.*|\d+\.\d+\.\d+", m.group(1)):
+            phones.append((a, b))
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(ids):
+        if not merged or a >= merged[-1][1]:
+            merged.append((a, b))
+    out += [(a, b, "id_number", "", "", True) for a, b in merged]
+    out += [(a, b, "phone", "", "", True) for a, b in phones]
+    out += [(a, b, "address", "", "", True) for a, b in streets]
+    for a, b, g, s, strong in _name_rows(text):
+        if not clash(a, b, mails) and not clash(a, b, streets):
+            out.append((a, b, "person_name", g, s, strong))
+    return out
+
+
+ROWS = "line_no bigint, pii_type string, start bigint, stop bigint, value string, given string, last string, strong boolean"
+
+
+def candidate_mentions(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, line_no, pii_type, start, stop, value, given, last, strong); names are candidates still."""
+    kind = dict(documents.dtypes)[key]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, t in zip(b["k"], b["t"]):
+                starts = [0, *[i + 1 for i, c in enumerate(t) if c == "\n"]]
+                rows += [(k, _line(starts, a), what, a, z, t[a:z], g, s, strong) for a, z, what, g, s, strong in mentions(t)]
+            yield pd.DataFrame(rows, columns=["k", "line_no", "pii_type", "start", "stop", "value", "given", "last", "strong"])
+
+    return documents.where(F.col(text) != "").select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(scan, f"k {kind}, {ROWS}").withColumnRenamed("k", key)
+
+
+def _word_counts(documents: DataFrame, words: DataFrame, text: str) -> DataFrame:
+    """(word, small): in how many texts each of ``words`` is written small, as a word of its own."""
+    small = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_@.+/-])(\p{Ll}[\p{Ll}\p{M}'’]+)(?![\p{L}\p{N}_@/+-]|\.\p{L})"), F.lit(1)))
+    return documents.where(F.col(text) != "").select(F.explode(small).alias("word")).join(words, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("small"))
+
+
+def find_personal_data(documents: DataFrame, key: str = "doc_id", text: str = "text", least_seen: int = 3, small_share: float = 0.02, known_share: float = 0.25) -> DataFrame:
+    """(key, line_no, pii_type, start, stop, value): every mention, ``line_no`` where it starts.
+
+    Null and empty texts hold none.  A candidate is a person's name if its last
+    word is hardly ever written small in the corpus (in one text, or in under
+    ``small_share`` times as many as the places where it is a candidate's word) and it stands where names stand, or
+    its first word is an initial or does so in at least ``least_seen``
+    candidates and a ``known_share`` of them.
+    """
+    found = materialize(candidate_mentions(documents, key, text), "mentions")
+    names = found.where(F.col("pii_type") == "person_name")
+    pairs = names.groupBy("given", "last").agg(F.count(F.lit(1)).alias("n"), F.count_if("strong").alias("n_strong"))
+    pairs = materialize(pairs, "pairs")
+    sides = pairs.select(F.explode(F.array(F.struct(F.col("given").alias("word"), F.lit(True).alias("first")), F.struct(F.col("last").alias("word"), F.lit(False).alias("first")))).alias("s"), "n", "n_strong")
+    seen = sides.groupBy(F.col("s.word").alias("word")).agg(F.sum("n").alias("seen"), F.sum(F.when(F.col("s.first"), F.col("n_strong"))).alias("first_strong"), F.sum(F.when(F.col("s.first"), F.col("n"))).alias("first_seen"))
+    seen = materialize(seen, "seen")
+    stats = materialize(seen.join(_word_counts(documents, seen.select("word"), text), "word", "left").select("word", F.coalesce("first_strong", F.lit(0)).alias("first_strong"), F.coalesce("first_seen", F.lit(0)).alias("first_seen"), (F.coalesce("small", F.lit(0)) > F.col("seen") * small_share + 1).alias("common")), "stats")
+    g = stats.select(F.col("word").alias("given"), F.col("first_strong").alias("g_strong"), F.col("first_seen").alias("g_seen"), F.col("common").alias("g_common"))
+    s = stats.select(F.col("word").alias("last"), F.col("common").alias("l_common"))
+    judged = pairs.join(g, "given", "left").join(s, "last", "left")
+    initial = F.col("given").rlike(r"^\p{L}\.$")
+    plain = ~F.coalesce("g_common", F.lit(False))
+    sure = judged.select("given", "last", (~F.coalesce("l_common", F.lit(False)) & (initial | plain)).alias("_ok"), (initial | ((F.col("g_strong") >= least_seen) & (F.col("g_strong") >= known_share * F.col("g_seen")))).alias("_known"))
+    kept = names.join(sure.where("_ok"), ["given", "last"]).where(F.col("strong") | F.col("_known"))
+    cols = [key, "line_no", "pii_type", "start", "stop", "value"]
+    return found.where(F.col("pii_type") != "person_name").select(*cols).unionByName(kept.select(*cols))
+
+
+def mention_lines(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, line_no, pii_type), each once."""
+    return found.select(key, "line_no", "pii_type").distinct()
+
+
+#: First names for surrogates, by the gender they suggest.
+GIVEN = {
+    "f": "Alina Berta Carla Dorothea Emilia Fenja Gesa Hanna Ida Janna Karla Lena Marla Nele Olivia Paula Rahel Selma Tilda Ulla".split(),
+    "m": "Anton Bruno Casper David Emil Fabian Gustav Hugo Ivo Janek Konrad Leo Mattis Nils Otto Philipp Ruben Simon Theo Ulrich".split(),
+    "n": "Alex Billie Charlie Dana Eli Frankie Gale Harper Indigo Jules Kit Lou Morgan Nico Ollie Parker Quinn Robin Sam Toni".split(),
+}
+ONSETS, VOWELS, CODAS = "b d f g h k l m n p r s t v w z br dr gr kl pl st tr".split(), "a e i o u".split(), "l m n r s t nd rk st rn".split()
+
+
+def _number(key: bytes, *parts: object) -> int:
+    return int.from_bytes(hmac.new(key, "\x1f".join(map(str, parts)).encode(), hashlib.sha256).digest()[:16], "big")
+
+
+def _pick(n: int, options: list[str]) -> tuple[str, int]:
+    return options[n % len(options)], n // len(options)
+
+
+def gender(given: str) -> str:
+    """What a first name suggests by its ending: only to choose a surrogate that reads alike."""
+    return "n" if len(given) < 3 else "f" if given.lower()[-1] in "ae" else "m" if given.lower()[-1] not in "iy" else "n"
+
+
+def _like(word: str, pattern: str) -> str:
+    return word.upper() if pattern.isupper() and len(pattern) > 1 else word.capitalize() if pattern[:1].isupper() else word.lower()
+
+
+def _surname(key: bytes, word: str, salt: int) -> str:
+    n, out = _number(key, "surname", word.lower(), salt), ""
+    for _ in range(2 + n % 2):
+        a, n = _pick(n, ONSETS)
+        b, n = _pick(n, VOWELS)
+        out += a + b
+    return out + _pick(n, CODAS)[0]
+
+
+def _same_shape(key: bytes, what: str, value: str, salt: int, keep: int = 0) -> str:
+    """Digits to digits, capitals to capitals, small letters to small ones; the first ``keep`` characters stay."""
+    n, out = _number(key, what, regex.sub(r"[\s./()-]", "", value), salt), []
+    for i, c in enumerate(value):
+        if i < keep or not c.isalnum():
+            out.append(c)
+            continue
+        if n < 1 << 20:
+            n = _number(key, what, value, salt, i)
+        size = 10 if c.isdigit() else 26
+        out.append(chr(ord("0" if c.isdigit() else "A" if c.isupper() else "a") + n % size))
+        n //= size
+    return "".join(out)
+
+
+def surrogate(key: bytes, what: str, value: str, salt: int = 0) -> str:
+    """A replacement of the same type and format; equal for equal entities, however they are spelled."""
+    if what == "email":
+        local, _, domain = value.lower().partition("@")
+        return f"{_surname(key, local, salt)}.{_surname(key, local + '1', salt)}@{_surname(key, domain, 0)}.example"
+    if what == "phone":
+        return _same_shape(key, what, value, salt, 3 if value.startswith("+") else 2 if value.startswith("00") else 1 if value[:1] in "0(" else 0)
+    if what == "id_number":
+        return _same_shape(key, what, value, salt)
+    if what == "address":
+        words = regex.split(r"(\s+)", value)
+        swap = [w for w in words if w[:1].isupper() and not regex.fullmatch(STREET_EN + r"|Rue|Avenue|Calle|Avenida|Plaza|Paseo|Place|Boulevard|Am|An|Im|In|Apt", w)]
+        out = []
+        for w in words:
+            tail = regex.search(r"(?:straße|strasse|str\.|gasse|weg|platz|allee|ring|damm|ufer)$", w)
+            if w and w[0].isdigit():
+                out.append(_same_shape(key, "house", w, salt))
+            elif tail and w in swap:
+                out.append(_like(_surname(key, w, salt), w) + tail.group())
+            else:
+                out.append(_like(_surname(key, w, salt), w) if w in swap else w)
+        return "".join(out)
+    out, words = [], regex.split(r"([\s,-]+)", value)
+    last = max((i for i, w in enumerate(words) if regex.match(r"\p{Lu}", w)), default=0)
+    turned = "," in value
+    firsts = [i for i, w in enumerate(words) if regex.match(r"\p{Lu}", w)]
+    for i, w in enumerate(words):
+        if not regex.match(r"\p{Lu}", w):
+            out.append(w)
+        elif regex.fullmatch(INITIAL, w):
+            out.append(chr(ord("A") + _number(key, "initial", w) % 26) + ".")
+        elif (i == firsts[0]) != turned and i != last or turned and i == last:
+            kind = gender(w)
+            out.append(_like(_pick(_number(key, "given", w.lower(), 0), GIVEN[kind])[0], w))
+        else:
+            out.append(_like(_surname(key, w, salt), w))
+    return "".join(out)
+
+
+def normal_form(what: str, value: str) -> str:
+    """One form per entity: spelling, case and separators aside."""
+    return regex.sub(r"[\s./()\-]+", " " if what in ("person_name", "address") else "", value).strip().casefold()
+
+
+def assign_surrogates(found: DataFrame, secret: str, rounds: int = 8) -> DataFrame:
+    """(pii_type, value, replacement): distinct entities of one type never share a replacement.
+
+    Of entities that collide all but one draw again, up to ``rounds`` times;
+    what still collides then gets a number.
+    """
+    key = secret.encode()
+
+    @F.pandas_udf(StringType())
+    def draw(what: pd.Series, value: pd.Series, salt: pd.Series) -> pd.Series:
+        return pd.Series([surrogate(key, w, v, int(s)) for w, v, s in zip(what, value, salt)])
+
+    @F.pandas_udf(StringType())
+    def norm(what: pd.Series, value: pd.Series) -> pd.Series:
+        return pd.Series([normal_form(w, v) for w, v in zip(what, value)])
+
+    from pyspark.sql import Window as W
+
+    values = materialize(found.select("pii_type", "value").distinct().withColumn("entity", norm("pii_type", "value")), "values")
+    cur = values.withColumn("salt", F.lit(0))
+    for _ in range(rounds):
+        cur = materialize(cur.withColumn("replacement", draw("pii_type", "value", "salt")).withColumn("drawn", norm("pii_type", "replacement")), "drawn")
+        first = cur.groupBy("pii_type", "drawn").agg(F.min("entity").alias("owner"), F.count_distinct("entity").alias("n"))
+        clash = cur.join(first, ["pii_type", "drawn"]).withColumn("again", (F.col("n") > 1) & (F.col("entity") != F.col("owner")))
+        if clash.where("again").isEmpty():
+            return cur.select("pii_type", "value", "replacement")
+        moved = clash.groupBy("pii_type", "entity").agg(F.max("again").alias("again"))
+        cur = cur.join(moved, ["pii_type", "entity"]).select("pii_type", "value", "entity", (F.col("salt") + F.col("again").cast("int")).alias("salt"))
+    cur = cur.withColumn("replacement", draw("pii_type", "value", "salt"))
+    order = F.dense_rank().over(W.partitionBy("pii_type", "replacement").orderBy("entity"))
+    return cur.withColumn("_r", order).select("pii_type", "value", F.when(F.col("_r") > 1, F.concat("replacement", F.lit(" "), F.col("_r").cast("string"))).otherwise(F.col("replacement")).alias("replacement"))
+
+
+def replace_personal_data(documents: DataFrame, found: DataFrame, secret: str | None = None, key: str = "doc_id", text: str = "text", to: str = "redacted_text") -> DataFrame:
+    """(key, to): texts with typed placeholders such as ``[EMAIL]``, or with surrogates keyed by ``secret``."""
+    if secret is None:
+        spans = found.select(key, "start", "stop", F.concat(F.lit("["), F.upper("pii_type"), F.lit("]")).alias("replacement"))
+    else:
+        spans = found.join(assign_surrogates(found, secret), ["pii_type", "value"]).select(key, "start", "stop", "replacement")
+    per = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "replacement"))).alias("_s"))  # as many as one text has
+
+    @F.pandas_udf(StringType())
+    def splice(texts: pd.Series, marks: pd.Series) -> pd.Series:
+        res = []
+        for t, ms in zip(texts, marks):
+            if t is None or ms is None or not len(ms):
+                res.append(t)
+                continue
+            out, last = [], 0
+            for m in sorted(ms, key=lambda m: (m["start"], -m["stop"])):
+                if m["start"] >= last:
+                    out += [t[last : m["start"]], m["replacement"]]
+                    last = m["stop"]
+            res.append("".join([*out, t[last:]]))
+        return pd.Series(res)
+
+    return documents.select(F.col(key), F.col(text).alias("_t")).join(per, key, "left").select(key, splice("_t", "_s").alias(to))
