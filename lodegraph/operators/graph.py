@@ -283,10 +283,10 @@ def density(v: Column, e: Column) -> Column:
 
 def entropy(counts: DataFrame, by: str, value: str) -> DataFrame:
     """(by, entropy): Shannon entropy of the shares of ``value``, 1 for equal shares."""
-    p = F.col(value) / F.sum(value).over(W.partitionBy(by))
+    p = F.try_divide(F.col(value), F.sum(value).over(W.partitionBy(by)))
     n = F.count(F.lit(1)).over(W.partitionBy(by))
     met = counts.withColumn("p", p).withColumn("n", n)
-    return met.groupBy(by).agg(F.coalesce(F.sum(F.when(F.col("p") > 0, -F.col("p") * F.log2("p"))), F.lit(0.0)).alias("h"), F.first("n").alias("n")).select(by, F.when(F.col("n") > 1, F.round(F.col("h") / F.log2("n"), 4)).otherwise(0.0).alias("entropy"))
+    return met.groupBy(by).agg(F.coalesce(F.sum(F.when(F.col("p") > 0, -F.col("p") * F.log2("p"))), F.lit(0.0)).alias("h"), F.first("n").alias("n")).select(by, F.when(F.col("n") > 1, F.round(F.try_divide(F.col("h"), F.log2("n")), 4)).otherwise(0.0).alias("entropy"))
 
 
 def cascade(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:

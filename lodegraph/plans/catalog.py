@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.plans import core, graph_plans
+from lodegraph.plans import core, graph_plans, table_plans
 
-_PARTS = (core, graph_plans)
+_PARTS = (core, graph_plans, table_plans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -179,7 +179,7 @@ def instab(s, d):
 @query(
     "centrality",
     S.SQL + SCC + FANS + """, rc AS (SELECT src AS id, count(DISTINCT dst) AS reach FROM reach GROUP BY 1), sz AS (SELECT id, count(*) OVER (PARTITION BY component) AS size FROM comp),
-raw AS (SELECT f.id, f.snapshot_id, (f.fan_in * 0.7 + f.fan_out * 0.3) * coalesce(rc.reach, 0) / count(*) OVER (PARTITION BY f.snapshot_id) * CASE WHEN sz.size > 1 THEN 0.85 ELSE 1 END * CASE WHEN f.fan_out >= 20 AND f.fan_in <= 5 THEN 0.65 ELSE 1 END AS raw
+raw AS (SELECT f.id, f.snapshot_id, (f.fan_in * 0.7e0 + f.fan_out * 0.3e0) * coalesce(rc.reach, 0) / count(*) OVER (PARTITION BY f.snapshot_id) * CASE WHEN sz.size > 1 THEN 0.85e0 ELSE 1e0 END * CASE WHEN f.fan_out >= 20 AND f.fan_in <= 5 THEN 0.65e0 ELSE 1e0 END AS raw
   FROM fan f LEFT JOIN rc USING (id) LEFT JOIN sz USING (id)), top AS (SELECT *, max(raw) OVER (PARTITION BY snapshot_id) AS m FROM raw)
 SELECT id, snapshot_id, CASE WHEN m > 0 THEN round(raw / m, 4) ELSE 0 END AS score FROM top""",
 )
@@ -254,8 +254,8 @@ dp AS (SELECT snapshot_id, count(*) AS v, avg(depth) / max(depth) AS ds FROM dep
 cy AS (SELECT snapshot_id, count(*) AS cyc FROM (SELECT id, count(*) OVER (PARTITION BY component) AS k FROM comp) JOIN n USING (id) WHERE k > 1 GROUP BY 1),
 ec AS (SELECT snapshot_id, count(*) AS ec FROM ge GROUP BY 1),
 f AS (SELECT dp.snapshot_id, least(1, coalesce(ec, 0) / v / 5) AS a, round(h, 4) AS b, 1 - largest / v AS c, coalesce(cyc, 0) / v AS y, ds FROM dp JOIN big USING (snapshot_id) JOIN ent USING (snapshot_id) LEFT JOIN cy USING (snapshot_id) LEFT JOIN ec USING (snapshot_id))
-SELECT snapshot_id, round(a, 4) AS density_score, b AS entropy_score, round(c, 4) AS fragmentation, round(y, 4) AS cycle_score, round(ds, 4) AS depth_score, round((a + b + c + y + ds) * 0.2, 4) AS final_score,
-CASE WHEN (a + b + c + y + ds) * 0.2 > 0.75 THEN 'HIGHLY_COMPLEX' WHEN (a + b + c + y + ds) * 0.2 > 0.5 THEN 'COMPLEX' WHEN (a + b + c + y + ds) * 0.2 > 0.25 THEN 'MODERATE' ELSE 'SIMPLE' END AS complexity_level FROM f""",
+SELECT snapshot_id, round(a, 4) AS density_score, b AS entropy_score, round(c, 4) AS fragmentation, round(y, 4) AS cycle_score, round(ds, 4) AS depth_score, round((a + b + c + y + ds) * 0.2e0, 4) AS final_score,
+CASE WHEN (a + b + c + y + ds) * 0.2e0 > 0.75 THEN 'HIGHLY_COMPLEX' WHEN (a + b + c + y + ds) * 0.2e0 > 0.5 THEN 'COMPLEX' WHEN (a + b + c + y + ds) * 0.2e0 > 0.25 THEN 'MODERATE' ELSE 'SIMPLE' END AS complexity_level FROM f""",
 )
 def complexity(s, d):
     n, e = S.nodes(s, d), S.known_edges(s, d)
