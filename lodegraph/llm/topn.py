@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodegraph.runtime import materialize
+from lodegraph.runtime import fresh, materialize
 
 #: Histogram cells per factor of two; a cell spans about 1 % of a score.
 CELLS_PER_OCTAVE = 64
@@ -36,16 +36,16 @@ def top_n_per_group(df: DataFrame, group: list[str], score: str, n: int, ties: l
     harm either.
     """
     valid = df.where(F.col(score).isNotNull() & ~F.isnan(score))
-    keys = [f"_g{i}" for i in range(len(group))]
+    *keys, floor = fresh(df, *[f"_g{i}" for i in range(len(group))], "_floor")
     cells = valid.groupBy(*[F.col(g).alias(k) for g, k in zip(group, keys)], score_cell(F.col(score)).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
     per = W.partitionBy(*keys)
     above = F.sum("_n").over(per.orderBy(F.col("_cell").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")
     needed = cells.select(*keys, "_cell", above.alias("_above"), F.sum("_n").over(per).alias("_all")).where((F.col("_above") < n) & (F.col("_all") > prune_above))
-    floors = needed.groupBy(*keys).agg(F.min("_cell").alias("_floor"))
+    floors = needed.groupBy(*keys).agg(F.min("_cell").alias(floor))
     same = F.lit(True)
     for g, k in zip(group, keys):
         same = same & F.col(g).eqNullSafe(F.col(k))
-    kept = valid.join(floors, same, "left").where(F.col("_floor").isNull() | (score_cell(F.col(score)) >= F.col("_floor")))
+    kept = valid.join(floors, same, "left").where(F.col(floor).isNull() | (score_cell(F.col(score)) >= F.col(floor)))
     order = W.partitionBy(*group).orderBy((F.col(score) + F.lit(0.0)).desc(), *ties)
     return kept.withColumn("rank_no", F.row_number().over(order)).where(F.col("rank_no") <= n).select(*df.columns, "rank_no")
 
