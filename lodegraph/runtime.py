@@ -140,10 +140,13 @@ def hot_keys(df: DataFrame, keys: list[str], max_hot: int = MAX_HOT_KEYS, least:
 
     Keys under ``least`` rows are no burden and don't count.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_all"))
-    found = counts.where(F.col("_n") >= least).join(F.broadcast(total), F.col("_n") * max_hot > F.col("_all")).select(*keys)
-    rows = found.collect()  # at most max_hot keys
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    top = counts.orderBy(F.col("_n").desc()).limit(max_hot).collect()  # no more than max_hot keys can have so large a share
+    if not top:
+        return None
+    total = df.count()
+    rows = [tuple(r)[:-1] for r in top if r["_n"] * max_hot > total]
+    found = counts.select(*keys)
     return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
 
 
