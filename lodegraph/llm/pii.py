@@ -70,6 +70,9 @@ ADDRESS = regex.compile(
     r"|(?:[Cc]alle|C/|[Aa]venida|[Aa]vda\.?|[Pp]aseo|[Pp]laza|[Cc]amino|[Rr]onda|[Cc]arretera|[Tt]ravesía|[Cc]allejón) ?(?:(?:de la|de las|de los|del|de|la|las|los|el) )?\p{L}[\p{L}\p{M}'’-]+(?: (?:(?:de la|de|del) )?\p{Lu}[\p{L}\p{M}'’-]+){0,3},? (?:n\.?[º°]? ?|núm\.? ?)?\d{1,4}(?![\p{L}\p{N}]|\.\d)"
     r")"
 )
+#: Words before or after a number that make it no identity number.
+NO_ID_BEFORE = regex.compile(r"(?i)\b(?:range|code|ref(?:erence)?|order|part|ticket|issue|layer|job|build|batch|trace|version|lot|sku|series|row|line|port|id range|bereich|auftrag|zeile|plage|ligne|commande|rango|línea|pedido|lote)s?[\s:#.]*$")
+NO_ID_AFTER = regex.compile(r"(?i)^\s*(?:is|ist|est|es)\s+(?:an?|the|eine?|une?|una?|der|die|das|le|la|el)\s+(?:[\p{L}-]+\s+){0,2}(?:code|range|key|version|layer|port|bereich|schlüssel|plage|clé|rango|clave|código)\b")
 CAP = r"\p{Lu}[\p{Ll}\p{M}’']+(?:\p{Lu}[\p{Ll}\p{M}]+)?"
 INITIAL = r"\p{Lu}\."
 GAP = r"(?:[ \t ]+|[ \t]*\n[>#*/ \t]*)"
@@ -119,7 +122,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str, str, bool]]:
     out = []
     mails = [m.span() for m in EMAIL.finditer(text)] + [m.span() for m in VEILED.finditer(text)]
     out += [(a, b, "email", "", "", True) for a, b in mails]
-    ids = [m.span() for m in BARE_ID.finditer(text)] + [m.span(1) for m in NAMED_ID.finditer(text)]
+    ids = [m.span() for m in BARE_ID.finditer(text) if not NO_ID_BEFORE.search(text[max(0, m.start() - 30) : m.start()]) and not NO_ID_AFTER.match(text[m.end() : m.end() + 60])] + [m.span(1) for m in NAMED_ID.finditer(text)]
     streets = [m.span() for m in ADDRESS.finditer(text)]
 
     def clash(a: int, b: int, others: list[tuple[int, int]]) -> bool:
