@@ -147,7 +147,7 @@ def fan_metrics(s, d):
 
 @query(
     "fan_edge_driven",
-    S.SQL + """, ends AS (SELECT dst AS id, 1 AS i, 0 AS o FROM e UNION ALL SELECT src, 0, 1 FROM e) SELECT id, sum(i) AS fan_in, sum(o) AS fan_out, id NOT IN (SELECT id FROM n) AS unknown FROM ends GROUP BY 1""",
+    S.SQL + """, ends AS (SELECT dst AS id, 1 AS i, 0 AS o FROM e UNION ALL SELECT src, 0, 1 FROM e) SELECT id, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out, id NOT IN (SELECT id FROM n) AS unknown FROM ends GROUP BY 1""",
 )
 def fan_edges(s, d):
     e = S.edges(s, d)

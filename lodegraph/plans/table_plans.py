@@ -128,7 +128,7 @@ def pivot(s, d):
     return p.select("snapshot_id", *[F.col(k).alias(k.lower()) for k in kinds])
 
 
-@query("grouping_sets_summary", "SELECT classification, should_parse, count(*) AS c, sum(size_bytes) AS bytes FROM manifest_files GROUP BY GROUPING SETS ((classification), (should_parse), ())")
+@query("grouping_sets_summary", "SELECT classification, should_parse, count(*) AS c, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM manifest_files GROUP BY GROUPING SETS ((classification), (should_parse), ())")
 def gsets(s, d):
     return load(s, d, "manifest_files").groupingSets([[F.col("classification")], [F.col("should_parse")], []], "classification", "should_parse").agg(F.count(F.lit(1)).alias("c"), F.sum("size_bytes").alias("bytes")).select("classification", "should_parse", "c", "bytes")
 
@@ -302,7 +302,7 @@ def vsummary(s, d):
 
 
 @query("readiness_score", ISSUES + """, k AS (SELECT snapshot_id, count(*) FILTER (severity = 'CRITICAL') AS c, count(*) FILTER (severity = 'ERROR') AS x, count(*) FILTER (severity = 'WARNING') AS w FROM issues GROUP BY 1)
-SELECT snapshot_id, round(greatest(0, least(1, 1 - 0.25 * c - 0.1 * x - 0.02 * w)), 4) AS score, CASE WHEN c > 0 THEN 'BLOCKED' WHEN x > 0 THEN 'DEGRADED' ELSE 'READY' END AS state FROM k""")
+SELECT snapshot_id, round(CAST(greatest(0, least(1, 1 - 0.25 * c - 0.1 * x - 0.02 * w)) AS DOUBLE), 4) AS score, CASE WHEN c > 0 THEN 'BLOCKED' WHEN x > 0 THEN 'DEGRADED' ELSE 'READY' END AS state FROM k""")
 def readiness(s, d):
     k = issues(s, d).groupBy("snapshot_id").agg(*[F.count_if(F.col("severity") == v).alias(a) for v, a in (("CRITICAL", "c"), ("ERROR", "x"), ("WARNING", "w"))])
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("c") * 0.25 - F.col("x") * 0.1 - F.col("w") * 0.02))
@@ -385,7 +385,7 @@ def infra(s, d):
 
 
 @query("domain_clusters", S.SQL + """, x AS (SELECT a.snapshot_id, a.namespace AS na, b.namespace AS nb FROM ge JOIN n a ON a.id = ge.src JOIN n b ON b.id = ge.dst), u AS (SELECT snapshot_id, na AS namespace, na = nb AS inside FROM x UNION ALL SELECT snapshot_id, nb, na = nb FROM x),
-c AS (SELECT snapshot_id, namespace, floor(count(*) FILTER (inside) / 2) AS i, count(*) FILTER (NOT inside) AS o FROM u GROUP BY 1, 2) SELECT snapshot_id, namespace, i AS internal, o AS external, CASE WHEN i + o > 0 THEN round(i / (i + o), 4) ELSE 0 END AS cohesion FROM c""")
+c AS (SELECT snapshot_id, namespace, CAST(floor(count(*) FILTER (inside) / 2) AS BIGINT) AS i, count(*) FILTER (NOT inside) AS o FROM u GROUP BY 1, 2) SELECT snapshot_id, namespace, i AS internal, o AS external, CASE WHEN i + o > 0 THEN round(i / (i + o), 4) ELSE 0 END AS cohesion FROM c""")
 def clusters(s, d):
     p = N(s, d)
     a, b = p.select(F.col("id").alias("src"), F.col("namespace").alias("na")), p.select(F.col("id").alias("dst"), F.col("namespace").alias("nb"))
@@ -401,7 +401,7 @@ EXT = r"lower(regexp_extract(regexp_extract(file_path, '[^/]*$'), '^.+(\.[^.]*)$
 
 @query("file_relevance", S.SQL + f""", k AS (SELECT id, file_path, {CLASSES} WHEN {EXT} IN ({', '.join(repr(x) for x in X.LANGUAGES)}) THEN 'SOURCE_CODE' ELSE 'UNKNOWN' END AS kind FROM n WHERE node_type = 'FILE'),
 b AS (SELECT id, file_path, kind, CASE kind {' '.join(f"WHEN '{k}' THEN {v}" for k, v in X.BASE_RELEVANCE.items())} END AS base FROM k), c AS (SELECT *, CASE WHEN regexp_matches(file_path, '(^|/)src/') THEN least(base + 0.2, 1) ELSE base END AS x FROM b),
-g AS (SELECT *, CASE WHEN kind IN ('GENERATED', 'BINARY') THEN least(x, 0.1) ELSE x END AS y FROM c) SELECT id, kind, round(CASE WHEN len(string_split(file_path, '/')) > 2 AND kind = 'SOURCE_CODE' THEN least(y + 0.05, 1) ELSE y END, 2) AS relevance FROM g""")
+g AS (SELECT *, CASE WHEN kind IN ('GENERATED', 'BINARY') THEN least(x, 0.1) ELSE x END AS y FROM c) SELECT id, kind, round(CAST(CASE WHEN len(string_split(file_path, '/')) > 2 AND kind = 'SOURCE_CODE' THEN least(y + 0.05, 1) ELSE y END AS DOUBLE), 2) AS relevance FROM g""")
 def file_relevance(s, d):
     f = N(s, d).where("node_type = 'FILE'").withColumn("kind", X.file_class(F.col("file_path")))
     return f.select("id", "kind", X.relevance(F.col("file_path"), F.col("kind")).alias("relevance"))
@@ -415,7 +415,7 @@ def ranking(s, d):
     return R.first_per(f.select("id", "snapshot_id", F.round(score, 4).alias("score")), ["snapshot_id"], [F.col("score").desc(), F.col("id")], 10)
 
 
-@query("repository_hash", "SELECT snapshot_id, sha256(string_agg(sha256, '' ORDER BY file_path, sha256)) AS repository_hash, count(*) AS files, sum(size_bytes) AS bytes FROM manifest_files WHERE sha256 IS NOT NULL GROUP BY 1")
+@query("repository_hash", "SELECT snapshot_id, sha256(string_agg(sha256, '' ORDER BY file_path, sha256)) AS repository_hash, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM manifest_files WHERE sha256 IS NOT NULL GROUP BY 1")
 def repohash(s, d):
     m = load(s, d, "manifest_files").where("sha256 IS NOT NULL").groupBy("snapshot_id").agg(F.array_sort(F.collect_list(F.struct("file_path", "sha256"))).alias("l"), F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"))
     return m.select("snapshot_id", F.sha2(F.array_join(F.transform("l", lambda x: x["sha256"]), ""), 256).alias("repository_hash"), "files", "bytes")
@@ -560,7 +560,7 @@ def evidence_counts(s, d):
     return l.groupBy("insight_id").agg(F.count("node_id").alias("nodes"), F.count("edge_id").alias("edges"), F.count("metric_type").alias("metrics"))
 
 
-@query("sanitizer_report", "SELECT classification, count(*) AS files, sum(size_bytes) AS bytes, count(*) FILTER (should_parse) AS candidates FROM manifest_files GROUP BY 1")
+@query("sanitizer_report", "SELECT classification, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, count(*) FILTER (should_parse) AS candidates FROM manifest_files GROUP BY 1")
 def sanitizer(s, d):
     return load(s, d, "manifest_files").groupBy("classification").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"), F.count_if("should_parse").alias("candidates"))
 
