@@ -29,22 +29,42 @@ MAX_REFERENCE_SHINGLES = 5_000_000
 SHINGLE = 5
 SIMILAR = 0.8
 
-#: What generators write about their output, in a comment near the top.
+#: What generators write about their output, in a comment.
 GENERATED_REMARK = re.compile(
     r"(?im)^\s*(?://|#|--|;|\*|/\*+|<!--|%)[^\n]*(?:@generated\b(?! by hand)|\bcode generated by\b|\b(?:auto(?:matically)?[- ]?|machine[- ])(?:generated|written|created|made)\b|\bgenerated (?:by|from|on|at|with|using|file|code,? do not)\b"
     r"|\bthis (?:file|code|module) (?:is|was|has been) (?:auto\w*[- ])?generated\b|\b(?:written|produced|created|emitted|compiled|built) by (?:the )?[\w.-]*(?:gen|compiler|generator|tool|codegen)\b|\bdo not (?:edit|modify|change|touch)\b[^\n]{0,40}(?:generat|overwrit|manual|by hand|hand)|\bgenerated\b[^\n]{0,60}\bdo not (?:edit|modify)|\bhand edits? (?:are|will be|get) (?:overwritten|lost)|\bchanges? (?:made here )?(?:are|will be) (?:overwritten|lost))"
 )
 #: Remarks that speak of generation but not of this file.
 MAINTAINED = re.compile(r"(?i)by hand|hand-?written|maintained|output of this|this module generates|generates? the|not generated")
+#: Of these, what speaks of the whole file even between lines of code.
+WHOLE_FILE = re.compile(
+    r"(?i)^\s*(?://+|#+|--|;+|\*|/\*+|<!--|%+)[\s!*]*(?:@generated\b(?! by hand)|code generated\b[^\n]*\bdo not (?:edit|modify)|th(?:is|e) (?:whole |entire )?(?:file|module) (?:is|was|has been) (?:auto\w*[- ]|machine[- ])?generated\b"
+    r"|(?:auto(?:matically)?[- ]?|machine[- ])?generated (?:file|code)\b[^\n]*\bdo not (?:edit|modify)|(?:auto(?:matically)?[- ]?|machine[- ])generated\b[^\n]*\bdo not (?:edit|modify))"
+)
+PART = re.compile(r"(?i)\b(?:section|block|region|part|below|above|begin|end|function|method|class|table|list)\b")
 GENERATED_PATH = re.compile(r"(?i)(?:[._-](?:pb|gen|generated|g|designer|pb2|pb2_grpc|grpc|auto|autogen|stubs?)\.[a-z]+$|_pb2(?:_grpc)?\.pyi?$|_pb\.(?:js|ts|go)$|\.d\.[mc]?ts$|(?:^|/)(?:package-lock\.json|[\w.-]*\.lock(?:\.json)?|yarn\.lock|pnpm-lock\.yaml|composer\.lock|cargo\.lock|poetry\.lock|go\.sum|npm-shrinkwrap\.json)$|/__generated__/|/generated/)")
 LOCK_TEXT = re.compile(r'"lockfileVersion"|"integrity": "sha\d+-|^# yarn lockfile|^\[\[package\]\]', re.M)
 MINIFIED_PATH = re.compile(r"(?i)(?:[.-]min\.[mc]?js$|[.-]bundle\.[mc]?js$|\.chunk\.js$|-[0-9a-f]{8,}\.[mc]?js$)")
 BANNER = re.compile(r"(?i)\bcopyright\b[^\n]{0,80}|\(c\) the [\w -]+ authors|@licen[sc]e\b|released under the \w+|imported (?:unmodified )?from|\bvendored from\b|\bupstream\b[^\n]{0,40}\b(?:version|release|commit|source)\b|https?://[\w./-]+\s*\n[^\n]*copyright")
+THIRD_PARTY = re.compile(r"(?i)\(c\) the|imported|unmodified|vendored|contributors|released under|upstream")
+#: A notice that is one even between lines of code.
+NOTICE = re.compile(r"(?i)\bcopyright\s+(?:\(c\)|©|\d{4})|\(c\) the [\w -]+ authors|@licen[sc]e\b|\bvendored from\b")
 CONTAINER = re.compile(r"(?i)^(?:node_modules|bower_components|vendor|vendored|third[_-]?party|external|externals|_vendor|jspm_packages|site-packages|deps|pods)$")
 NUMBERED = re.compile(r"\b([A-Za-z_][A-Za-z_]*?)(\d+)([A-Za-z_]*)\b")
 TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d+(?:\.\d+)?")
 COMMENT = re.compile(r"/\*.*?\*/|(?<![:'\"\w])//[^\n]*|^\s*#[^\n]*|\s#\s[^\n]*", re.S | re.M)
 DATA = re.compile(r"[A-Za-z0-9+/=]{80,}|(?:0x[0-9a-fA-F]{2}[,\s]+){12,}|(?:-?\d+(?:\.\d+)?[,\s\[\]]+){24,}|(?:\\x[0-9a-fA-F]{2}){16,}|(?:[MLHVCSQTAZ]-?\d+(?:\.\d+)?[ ,]-?\d+(?:\.\d+)?[ ,]?){8,}")
+_QUOTED = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
+_SCRIPT = r"(?P<c>/\*.*?\*/|//[^\n]*)|\"\"\"(?:[^\\]|\\.)*?\"\"\"|" + _QUOTED
+#: Comments, and the strings that may hold what only looks like one, by language.
+SCANS = {
+    "js": re.compile(_SCRIPT + r"|`(?:[^`\\]|\\.)*`|(?<=[=(,:;!&|?{}\[+\n])[ \t]*/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/", re.S),
+    "c": re.compile(_SCRIPT + "|`[^`]*`", re.S),
+    "py": re.compile(r"(?P<c>#[^\n]*)|(?P<q>\"\"\"|\'\'\')(?:[^\\]|\\.)*?(?P=q)|" + _QUOTED, re.S),
+    "": re.compile(r"(?P<c>^[ \t]*(?:/\*.*?\*/|<!--.*?-->|(?://|#|--|;|\*|%)[^\n]*))", re.S | re.M),
+}
+SCANNED = {**dict.fromkeys("js jsx mjs cjs ts tsx mts cts".split(), "js"), **dict.fromkeys("go java c h cc cpp hpp cs kt scala swift rs css scss less proto".split(), "c"), "py": "py", "pyi": "py"}
+PREAMBLE = re.compile(r"(?i)[\s;]*(?:['\"]use (?:strict|client|server)['\"];?|package [\w.]+;?|<\?php|<\?xml[^>]*>|<!doctype[^>]*>)?[\s;]*")
 ROWS = re.compile(r"\[\s*(?:\"[^\"\n]*\"|'[^'\n]*'|-?[\d.]+)(?:\s*,\s*(?:\"[^\"\n]*\"|'[^'\n]*'|-?[\d.]+))+\s*\]")
 
 
@@ -108,12 +128,46 @@ def dense(text: str) -> bool:
     return mean > 60 and white < 0.09 and short > 0.6 and code > 0.12
 
 
+def comments(path: str, text: str) -> list[tuple[bool, str]]:
+    """(outer, text) of each run of comments that begin their lines; outer: ahead of all code or behind it.
+
+    Every line of a text starts with a comment's mark; strings hold none.
+    """
+    scan = SCANS[SCANNED.get(path.rpartition(".")[2].lower(), "")]
+    runs: list[list[int]] = []
+    first, last, at = len(text), -1, 0
+    for m in scan.finditer(text):
+        gap = text[at : m.start()]
+        if m.lastgroup != "c":
+            gap = text[at : m.end()]
+        if gap.strip() and not (last < 0 and PREAMBLE.fullmatch(gap)):
+            first = min(first, m.start())
+            last = len(runs)
+        at = m.end()
+        if m.lastgroup != "c" or text[text.rfind("\n", 0, m.start()) + 1 : m.start()].strip():
+            continue
+        if runs and last < len(runs) and not text[runs[-1][1] : m.start()].strip():
+            runs[-1][1] = m.end()
+        else:
+            runs.append([m.start(), m.end()])
+    if text[at:].strip():
+        last = len(runs)
+    out = []
+    for i, (a, b) in enumerate(runs):
+        lines = text[a:b].split("\n")
+        out.append((a < first or i >= last, "\n".join(x if re.match(r"\s*(?://|#|--|;|\*|/\*|<!--|%)", x) else "* " + x for x in lines)))
+    return out
+
+
 def evidence(path: str, text: str | None, likeness: float) -> np.ndarray:
     """Likelihood of what is seen of a file, by label."""
     e = np.array([1.0, 0.02, 0.02, 0.8, 0.02])  # third-party code looks like any other
     t = text or ""
     head = "\n".join(t[:4000].split("\n")[:12])
-    remark = next((m for m in GENERATED_REMARK.finditer(head) if not MAINTAINED.search(m.group())), None)
+    said = comments(path, t) if t else []
+    outer = "\n".join(c for o, c in said if o)
+    remark = any(not MAINTAINED.search(m.group()) for m in GENERATED_REMARK.finditer(head + "\n" + outer))
+    remark = remark or any((m := WHOLE_FILE.match(x)) and not MAINTAINED.search(m.group()) and not PART.search(x) for _, c in said for x in c.split("\n"))
     lower = path.lower()
     code = not lower.endswith((".json", ".yaml", ".yml", ".md", ".env", ".sh", ".txt"))
     rep = repetition(t) if t else 0.0
@@ -139,10 +193,10 @@ def evidence(path: str, text: str | None, likeness: float) -> np.ndarray:
         e[3] *= 1e6
     elif likeness >= 0.6:
         e[3] *= 3e3  # patched
-    banner = BANNER.search(head) if code else None
-    if banner and re.search(r"(?i)\(c\) the|imported|unmodified|vendored|contributors|released under|upstream", head):
+    notices = [c for c in [head, *(c for o, c in said if o or NOTICE.search(c))] if BANNER.search(c)] if code else []
+    if any(THIRD_PARTY.search(c) for c in notices):
         e[3] *= 3e4
-    elif banner:
+    elif notices:
         e[3] *= 3
     return e / e.sum()
 

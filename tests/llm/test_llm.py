@@ -185,3 +185,24 @@ def test_provenance(spark):
     by_join = {r.file_id: r.likeness for r in provenance.reference_likeness(files, ref, "file_id", "source_text").collect()}
     assert by_join[5] == 1.0
     assert provenance.label_files(files.limit(0), ref).count() == 0
+
+
+def test_remarks_stand_anywhere_in_comments():
+    licence = "/*\n" + "".join(f" * Line {i} of a licence that says little.\n" for i in range(20)) + " */\n"
+    slashes = licence.replace(" */\n", "").replace("/*\n", "").replace(" * ", "// ")
+    code = "import a from './a.js';\n\nexport function scan(rows) {\n  return rows.map((row) => row.total / a.size);\n}\n"
+    go = "package a\n\nfunc F(x int) int {\n\treturn x * x\n}\n"
+    banner = "/*!\n * fold.js\n * Copyright (c) the fold authors and contributors\n */\n"
+
+    def label(path, text):
+        return provenance.LABELS[int(provenance.evidence(path, text, 0.0).argmax())]
+
+    remark = "// Code generated by tool. DO NOT EDIT.\n"
+    for made in (licence + remark + code, slashes + remark + code, "'use strict';\n" + licence + "\n// Generated by tool 1.2\n" + code, code * 9 + "// @generated\n", code * 9 + remark + code, code * 9 + "// Code generated by tool. Do not edit by hand.\n" + code):
+        assert label("p/src/x.js", made) == "generated"
+    assert label("p/src/x.go", slashes + remark + "\n" + go) == "generated"
+    assert label("p/src/x.py", slashes.replace("//", "#") + "# Generated by tool\nx = 1\n") == "generated"
+    for ours in (code * 9 + "const head = `\n" + remark + "`;\n" + code, licence + "// The output of this module is generated code; the module itself is maintained by hand.\n" + code, code * 9 + "// The id is generated by the server.\n" + code, code * 9 + "// the copyright line is imported from ./footer.js\n" + code):
+        assert label("p/src/x.js", ours) == "handwritten"
+    assert label("p/src/x.js", licence.replace("licence", "notice") + banner + code) == "vendored"
+    assert label("p/src/x.js", code * 9 + banner + code) == "vendored"
