@@ -45,6 +45,16 @@ PLACEHOLDER = re.compile(
     r"|^example|[-_]example$|-here$|_here$|^(?:x+|\*+|\.+|-+|_+|0+|1234567890?|abc123)$|^(?:none|null|nil|undefined|true|false|todo|tbd|test|secret|password|token|changeit)$|\*{4,}|x{6,}"
     r"|^ENC\[|^vault:|^\$ANSIBLE|^arn:|^kms:|^ssm:|^secretsmanager:|^op://|^env:|^file:|\$\{|\{\{|\$\(|%\(|<%|process\.env|os\.environ|getenv|^\$[A-Za-z_]|^%[A-Z_]+%$|^AQICAH|^-----BEGIN PUBLIC"
 )
+#: Names that end in these say that the value is a password, which may be short or a phrase.
+PASSWORD_NAME = re.compile(r"(?i)(?:passw(?:or)?d|pass_?phrase|pwd|(?:^|[_.-])pass)[_\d]*$")
+#: Words of labels, hints and messages about passwords.
+MESSAGE = re.compile(
+    r"(?i)\b(?:pass\s?(?:words?|phrases?|codes?|e)|passwort|kennwort|contraseña|senha|enter|type|your|please|must|should|can(?:not)?|invalid|wrong|incorrect|missing|empty|forgot(?:ten)?|reset|at least|at most|characters?|required|optional|change|confirm|repeat|again"
+    r"|is|are|was|be|not|no|to|for|of|with|and|or|the|this|that|if|when|in|from|by|field|value|text|input|secret|key|code|login|user(?:name)?|email|account|label|sign)\b|%[sdv]|\$[\w{]"
+)
+TYPE_NAME = re.compile(r"(?i)^(?:u?int|float|utf|varchar|char|u|i|f|bit|arg|param|str|v|p|step|tab|page|input|field|test|pass|pwd|md|sha|base|ascii|latin)_?\d+$")
+#: How the base64 of pictures, fonts, archives, programs and markup begins.
+FILE_DATA = re.compile(r"iVBOR|/9j/|R0lGOD|d09G|AGFzbQ|H4sI|UEsD|JVBER|AAEAAA|PHN2Z|PD94b|PCFET|UklGR|SUQz|T1RUTw|Qk0|Qlpo|f0VMR|AAABAA")
 UUID = re.compile(r"(?i)^\{?[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\}?$")
 ISSUED = re.compile(
     r"(?<![A-Za-z0-9_/+-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
@@ -80,9 +90,9 @@ def entropy(v: str) -> float:
 
 def random_looking(v: str) -> bool:
     """Characters that change class as often as chance has it; words, paths and identifiers don't."""
-    if not 20 <= len(v) <= 160 or not re.fullmatch(r"[A-Za-z0-9+/_.~-]+={0,2}", v):
+    if len(v) < 20 or not re.fullmatch(r"[A-Za-z0-9+/_.~-]+={0,2}", v):
         return False
-    if re.fullmatch(r"[0-9a-f]{32,128}|[0-9A-F]{32,128}", v):
+    if re.fullmatch(r"[0-9a-f]{32,}|[0-9A-F]{32,}", v):
         return len(set(v)) >= 8 and not v.isdigit()
     if not (any(c.islower() for c in v) and any(c.isupper() for c in v)):
         return False
@@ -96,7 +106,7 @@ def turns(v: str) -> float:
 
 
 def placeholder(v: str) -> bool:
-    return not v or len(set(v)) <= 2 or bool(PLACEHOLDER.search(v)) or bool(UUID.match(v))
+    return not v or len(set(v)) <= 2 or not {c for c in v if c.isalnum()} - set("xX0") or bool(PLACEHOLDER.search(v)) or bool(UUID.match(v))
 
 
 def token_header(v: str) -> bool:
@@ -137,10 +147,10 @@ def usable(name: str, v: str, remark: str = "") -> bool:
     public = bool(PUBLIC.search(name) or PUBLIC.search(remark))
     named = bool(NAMED.search(name)) and not public
     if random_looking(v):
-        return not public
+        return not public and (named or not FILE_DATA.match(v))
     if PASSWORD_SHAPE.match(v):
         return not public
-    if not named or len(v) > 80 or re.search(r"[()\[\]{}<>]|::|->|=>", v) or re.match(r"(?i)(?:https?|file|\.{0,2}/|@)", v):
+    if not named or re.search(r"[()\[\]{}<>]|::|->|=>", v) or re.match(r"(?i)(?:https?|file|\.{0,2}/|@)", v):
         return False
     if re.fullmatch(r"[A-Za-z_$][\w$]*(?:[.:/-][A-Za-z_$][\w$]*)*", v) and not re.search(r"\d{3,}", v):
         return False  # an identifier, a path or words
@@ -149,6 +159,16 @@ def usable(name: str, v: str, remark: str = "") -> bool:
     return classes(v) >= 3 or (len(v) >= 16 and classes(v) >= 2 and entropy(v) >= 3.2)
 
 
+def spoken(name: str, v: str) -> bool:
+    """Whether ``v``, short or with spaces, is a password: its name says so and it is no placeholder, word or message."""
+    if not PASSWORD_NAME.search(name) or PUBLIC.search(name) or placeholder(v) or re.search(r"[()\[\]{}<>]|::|->|=>|://", v):
+        return False
+    words = v.split()
+    if len(words) > 1:
+        return not MESSAGE.search(v) and any(c.isalpha() for c in v)
+    return v == v.strip() and 4 <= len(v) < 8 and any(c.isalpha() for c in v) and (bool(re.search(r"\d", v)) or classes(v) >= 3) and not TYPE_NAME.match(v)
+
+
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for w in KEYWORDS:
@@ -183,7 +203,7 @@ def _line_spans(line: str, keyed: bool) -> Iterator[tuple[int, int, str]]:
             if not placeholder(m.group(1)) and usable("token", m.group(1)):
                 yield m.start(1), m.end(1), "TOKEN"
         for m in FLAG.finditer(line):
-            if usable("password", m.group(2)):
+            if usable("password", m.group(2)) or re.match(r"(?i)-+[a-z-]*(?:pass|pwd)", m.group()) and spoken("password", m.group(2)):
                 yield m.start(2), m.end(2), "PASSWORD"
     for m in USER_FLAG.finditer(line):
         if not placeholder(m.group(3)) and classes(m.group(3)) >= 2 and len(m.group(3)) >= 6:
@@ -201,7 +221,7 @@ def _line_spans(line: str, keyed: bool) -> Iterator[tuple[int, int, str]]:
             continue
         k = m.lastindex or 1
         v, rest = m.group(k), line[m.end() :]
-        if len(v) < 8 or "://" in v:
+        if len(v) < 4 or "://" in v:
             continue
         before = line[: m.start()]
         if rest[:2].lstrip().startswith(":") and not before.rstrip().endswith((":", "=", ",", "(")) and rest.lstrip().startswith(":"):
@@ -215,7 +235,11 @@ def _line_spans(line: str, keyed: bool) -> Iterator[tuple[int, int, str]]:
         said = re.search(r"(?://|#|/\*)(.*)$", rest)
         if usable(name, v, said.group(1) if said else ""):
             yield m.start(k), m.end(k), "PASSWORD" if PASSWORD_SHAPE.match(v) else "GENERIC"
+        elif spoken(name, v) and re.search(r"(?:[:=]|\|\||\?\?)\s*$", before) or spoken((NAME.findall(before) or [""])[-1], v) and re.search(r"(?:environ|getenv|env)\b.*,\s*$", before):
+            yield m.start(k), m.end(k), "PASSWORD"
     m = BARE.match(line)
+    if m and len(m.group(2)) < 8 and spoken(m.group(1), m.group(2)) and re.fullmatch(r"\s*(?:(?:export\s+)?\w+=\S+|[\"']?[\w.-]+[\"']?: +[^\s,;]+)\s*(?:#.*)?", line):
+        yield m.start(2), m.end(2), "PASSWORD"
     if m and usable(m.group(1), m.group(2), line[m.end(2) :]):
         yield m.start(2), m.end(2), "PASSWORD" if PASSWORD_SHAPE.match(m.group(2)) else "GENERIC"
     if any(c in line for c in "/#-*"):

@@ -70,6 +70,19 @@ def test_credentials(spark):
     assert kept[2] is None and kept[3] == "" and kept[4] == "x" * 300_000
 
 
+def test_credentials_of_any_length():
+    rnd = random.Random(7)
+    base = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    long = {n: "".join(rnd.choice(base) for _ in range(n)) for n in (161, 356, 1500)}
+    found = [f"session_token = '{long[356]}'", f'"client_secret": "{long[1500]}=="', f"const blob = '{long[161]}';", f"AWS_SESSION_TOKEN={long[356]}", f"signing_key = '{''.join(rnd.choice('0123456789abcdef') for _ in range(256))}'"]
+    found += ["password = 'hunt2r'", "db.password: 'p4$s!'", "PASSWORD=x7kq2", "const passphrase = 'correct horse battery staple';", "pw = os.environ.get('DB_PASSWORD', 'ab12c')", "tool --password q1w2e run"]
+    clean = [f"const icon = 'iVBOR{long[356]}';", f"integrity = '{long[161]}'", "password: 'Enter your password'", "password: 'must be at least 8 characters'", "password: string", "password: int32", "const password = 'xxxx0';", "step = 'abc12'", "passwordField: 'field1'", "getPassword('abc12')", "title = 'correct horse battery staple'"]
+    text = "\n".join(found + clean)
+    assert [n for n, *_ in secrets.find(text)] == [*range(1, len(found) + 1)]
+    hidden = secrets.redact(text)
+    assert len(hidden) == len(text) and not secrets.find(hidden) and hidden.split("\n")[len(found) :] == clean
+
+
 GOOD = {
     "ts": ["const a: Array<Map<string, number>> = [];\nexport type T = { a?: string };", "let x = a > b;\nfor (const i of y) { z(`a ${b} c`); }", "const r = /[({\"'`]+/g;", "class A<T> extends B { private readonly x = new Map<string, T>(); get(): T { return this.x!; } }", "", "// <<<<<<< no\nconst s = `\n<<<<<<< ours\n`;"],
     "js": ["export default class A { f(o = {}) { return o?.a ?? 1; } }", "var t={p:function(e){return e}};!function(i){i.k=i.k||4}(t);", "if (a) b(); else c();", "const q = a ? b : c, f = async (x) => await x;"],
