@@ -13,6 +13,7 @@ import binascii
 import json
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,8 +25,8 @@ from pyspark.sql.types import StringType
 
 #: Words that make a line worth a look, in lower case.
 KEYWORDS = (
-    "akia asia eyj ghp_ gho_ ghs_ ghu_ github_pat_ glpat- sk- sk_live sk_test rk_live xoxb- xoxp- xoxa- xoxs- hooks.slack "
-    "aiza ya29. npm_ pypi- sg. shpat_ dop_v1_ private key begin pgp "
+    "akia asia eyj ghp_ gho_ ghs_ ghu_ ghr_ github_pat_ glpat- sk- sk_live sk_test rk_live rk_test xoxb- xoxp- xoxa- xoxs- xoxr- xoxe hooks.slack "
+    "aiza ya29. npm_ pypi- sg. shpat_ shpca_ shppa_ shpss_ dop_v1_ doo_v1_ dor_v1_ private key begin pgp "
     "api_key apikey api-key secret token passwd password passphrase pwd credential auth bearer basic signing "
     "access_key accesskey client_secret login conn dsn ://"
 ).split()
@@ -62,6 +63,25 @@ ISSUED = re.compile(
     r"|AIza[A-Za-z0-9_-]{35}"
     r"|[a-z][a-z0-9]{1,7}(?:[_-](?!sha)[a-z0-9]{2,10}){0,2}[_-](?=[A-Za-z0-9]*[A-Z])(?=[A-Za-z0-9]*[a-z])[A-Za-z0-9]{18,}(?![A-Za-z0-9+/=]))"
 )
+#: Whole formats of the issuers among the keywords; the groups name what proves a body.
+FORMATS = re.compile(
+    r"(?<![A-Za-z0-9_/+-])(?:"
+    r"(?:(?:gh[pousr]|npm)_(?P<summed>[A-Za-z0-9]{36})"
+    r"|github_pat_(?P<pat>[A-Za-z0-9]{22}_[A-Za-z0-9]{59})"
+    r"|(?:shp(?:at|ca|pa|ss)_(?P<hex32>[0-9a-fA-F]{32})|do[opr]_v1_(?P<hex64>[0-9a-f]{64}))"
+    r"|[sr]k_(?:live|test)_(?P<pay>[A-Za-z0-9]{16,})"
+    r"|(?:AKIA|ASIA)(?P<aws>[A-Z0-9]{16}))(?![A-Za-z0-9_])"
+    r"|(?:glpat-(?P<lab>[A-Za-z0-9_-]{20,}(?:\.[0-9a-z]{2}\.[0-9a-z]{9}|\.[0-9a-z]{9})?)"
+    r"|sk-(?:(?:proj|svcacct|admin|ant|or|live|test)-)?(?P<sk>[A-Za-z0-9_-]{20,})"
+    r"|xox(?:[abeoprs]|e\.xox[bp])-(?P<slack>(?:[0-9]+-)*[A-Za-z0-9-]{10,})"
+    r"|AIza(?P<aiza>[A-Za-z0-9_-]{35})"
+    r"|ya29\.(?P<ya>[A-Za-z0-9_-]{20,}(?:\.[A-Za-z0-9_-]+)*)"
+    r"|pypi-(?P<pypi>AgE[A-Za-z0-9_-]{16,})"
+    r"|SG\.(?P<grid>[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43})"
+    r"|(?P<jwt>eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]{16,}(?:\.[A-Za-z0-9_-]+){0,2}))(?![A-Za-z0-9_-])"
+    r")|\bhooks\.slack\.com/(?:services|workflows|triggers)/(?P<hook>[TEBA][A-Z0-9]{6,}/[A-Za-z0-9]+/(?:[0-9]+/)?[A-Za-z0-9]{20,})(?![A-Za-z0-9])"
+)
+BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 PEM = re.compile(r"-----BEGIN (?!ENCRYPTED )(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 USERINFO = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]*://([^\s:/@'\"`<>]*):([^\s@/'\"`<>]+)@[\w\[\].-]+")
@@ -135,10 +155,41 @@ def issued(v: str) -> bool:
     return not placeholder(v) and (v[:4] in ("AKIA", "ASIA", "AIza") or entropy(v) >= 3.5 and turns(body) >= (0.3 if any(c.isdigit() for c in body) else 0.38))
 
 
+def checksum(body: str) -> str:
+    """The last six characters of a token whose first thirty are ``body``: their CRC-32 in base 62."""
+    n, out = zlib.crc32(body.encode()), ""
+    for _ in range(6):
+        n, k = divmod(n, 62)
+        out = BASE62[k] + out
+    return out
+
+
+def formatted(m: re.Match[str]) -> bool:
+    """Whether the body of an issuer's format is real: its checksum or header says so, or else its characters."""
+    kind, body = m.lastgroup or "", m.group(m.lastgroup or 0)
+    if kind == "jwt":
+        return token_header(body)
+    if kind == "summed" and body[30:] == checksum(body[:30]):
+        return True
+    if placeholder(m.group()) or placeholder(body):
+        return False
+    if kind in ("hex32", "hex64"):
+        return len(set(body.lower())) >= 8
+    if kind in ("aws", "aiza"):
+        return True
+    if kind == "slack":
+        return any(c.isdigit() for c in body) and entropy(body) >= 2.5
+    mixed = any(c.islower() for c in body) and any(c.isupper() for c in body)
+    return mixed and entropy(body) >= 3.2 and turns(body) >= 0.3
+
+
 def usable(name: str, v: str, remark: str = "") -> bool:
     """Whether a literal ``v`` under ``name`` is a credential."""
     if placeholder(v) or any(c.isspace() for c in v) or len(v) < 8:
         return False
+    m = FORMATS.match(v)
+    if m and m.end() == len(v) and formatted(m):
+        return True
     m = ISSUED.match(v)
     if m and m.end() == len(v):
         return issued(v)
@@ -189,6 +240,10 @@ def _line_spans(line: str, keyed: bool) -> Iterator[tuple[int, int, str]]:
             if not (PUBLIC.search(name) and not NAMED.search(name)):
                 yield m.start(), m.end(), "API_KEY"
     if keyed:
+        for m in FORMATS.finditer(line):
+            if formatted(m):
+                a, b = m.span("hook") if m.lastgroup == "hook" else m.span()
+                yield a, b, "API_KEY"
         for m in USERINFO.finditer(line):
             if not placeholder(m.group(2)) and "$" not in m.group(1)[:1] and not m.group(2).startswith(("$", "{", "%")):
                 yield m.start(2), m.end(2), "PASSWORD"
@@ -294,7 +349,9 @@ def find(text: str | None) -> list[tuple[int, int, int, str]]:
             for a, b, kind in spans:
                 if a >= last:
                     out.append((n + 1, starts[n] + a, starts[n] + b, kind))
-                    last = b
+                elif b > last:  # spans that overlap are one
+                    out[-1] = (*out[-1][:2], starts[n] + b, out[-1][3])
+                last = max(last, b)
         n += 1
     return out
 

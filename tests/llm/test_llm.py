@@ -83,6 +83,30 @@ def test_credentials_of_any_length():
     assert len(hidden) == len(text) and not secrets.find(hidden) and hidden.split("\n")[len(found) :] == clean
 
 
+def test_formats_of_issuers():
+    rnd = random.Random(11)
+    low, both = "0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+    def body(n, of=both):
+        return "".join(rnd.choice(of) for _ in range(n))
+
+    summed = "aaaabbbbccccddddeeeeffffgggghh"  # no rule on characters takes this one
+    issued = [f"shpat_{body(32, low)}", f"shpss_{body(32, low)}", f"dop_v1_{body(64, low)}", f"github_pat_{body(22)}_{body(59)}", f"ghp_{summed}{secrets.checksum(summed)}", f"npm_{body(36)}", f"gho_{body(36)}"]
+    issued += [f"glpat-{body(20)}", f"sk-proj-{body(48)}", f"sk-ant-api03-{body(40)}_{body(50)}-AA", f"sk_live_{body(24)}", f"rk_test_{body(24)}", f"xoxb-{body(12, '123456789')}-{body(12, '123456789')}-{body(24)}", f"AIza{body(35)}", f"ya29.{body(60)}"]
+    issued += [f"pypi-AgEIcHlwaS5vcmcCJ{body(80)}", f"SG.{body(22)}.{body(43)}", f"AKIA{body(16, '23456789ABCDEFGH')}"]
+    for token in issued:
+        for line in (f"const value = '{token}';", f"# {token}", f"token: {token}"):
+            found = secrets.find(line)
+            assert [(line[a:b]) for _, a, b, _ in found] == [token], line
+            assert not secrets.find(secrets.redact(line)), line
+    hook = f"T{body(8, '0123456789ABC')}/B{body(8, '0123456789ABC')}/{body(24)}"
+    line = f"const url = 'https://hooks.slack.com/services/{hook}';"
+    assert [line[a:b] for _, a, b, _ in secrets.find(line)] == [hook]
+    assert not secrets.find(secrets.redact(line))
+    for line in ("const a = 'sk-loading-spinner-container-wide1';", "npm_config_registry_of_the_package1 = 2", f"x = 'shpat_{'0' * 32}';", "url = 'https://hooks.slack.com/services/T000000/B000000/XXXXXXXXXXXXXXXXXXXXXXXX'"):
+        assert not secrets.find(line), line
+
+
 GOOD = {
     "ts": ["const a: Array<Map<string, number>> = [];\nexport type T = { a?: string };", "let x = a > b;\nfor (const i of y) { z(`a ${b} c`); }", "const r = /[({\"'`]+/g;", "class A<T> extends B { private readonly x = new Map<string, T>(); get(): T { return this.x!; } }", "", "// <<<<<<< no\nconst s = `\n<<<<<<< ours\n`;"],
     "js": ["export default class A { f(o = {}) { return o?.a ?? 1; } }", "var t={p:function(e){return e}};!function(i){i.k=i.k||4}(t);", "if (a) b(); else c();", "const q = a ? b : c, f = async (x) => await x;"],
