@@ -58,21 +58,28 @@ def reachable(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     return pairs
 
 
-def weak_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(id, component): the smallest id of the component; labels travel along edges and jump to their label's label."""
+def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id of the component.
+
+    Each round a node and the node it points to take the least pointer's pointer
+    among the node's neighbours, and pointers jump to their pointer's pointer;
+    it ends when nothing changes, on long chains after a logarithm of rounds.
+    """
     links = materialize(directed(edges.where(F.col("src") != F.col("dst")), "both"), "links")
     label = materialize(nodes.select("id", F.col("id").alias("component")).distinct(), "wcc")
-    for _ in range(max_rounds):
-        heard = links.join(label, F.col("dst") == F.col("id")).groupBy(F.col("src").alias("id")).agg(F.min("component").alias("m"))
-        low = label.join(heard, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("c"))
-        jump = label.select(F.col("id").alias("c"), F.col("component").alias("cc"))
-        nxt = materialize(low.join(jump, "c", "left").select("id", "old", F.least("c", F.coalesce("cc", "c")).alias("component")), "wcc")
+    while True:
+        jump = label.select(F.col("id").alias("component"), F.col("component").alias("g"))
+        far = materialize(label.join(jump, "component", "left").select("id", F.col("component").alias("c"), F.coalesce("g", "component").alias("g")), "wcc")
+        heard = links.join(far, F.col("dst") == F.col("id")).groupBy(F.col("src").alias("id")).agg(F.min("g").alias("m"))
+        met = materialize(far.join(heard, "id", "left").select("id", "c", F.least("c", "g", "m").alias("n"), "m"), "wcc")
+        hooks = met.where(F.col("m") < F.col("c")).select(F.col("c").alias("id"), F.lit(None).cast(nodes.schema["id"].dataType).alias("c"), F.col("m").alias("n"))
+        nxt = materialize(met.select("id", "c", "n").unionByName(hooks).groupBy("id").agg(F.max("c").alias("old"), F.min("n").alias("component")), "wcc")
         done = nxt.where(F.col("old") != F.col("component")).isEmpty()
-        release(label)
-        label = nxt.select("id", "component")
+        for x in (label, far, met):
+            release(x)
+        label = nxt
         if done:
-            break
-    return label
+            return label.select("id", "component")
 
 
 def _tarjan(pdf: pd.DataFrame) -> pd.DataFrame:

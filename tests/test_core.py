@@ -110,3 +110,13 @@ def test_bfs_levels_and_budget(spark):
     items = spark.createDataFrame([("k", i, c) for i, c in enumerate([5, 4, 3, 9, 1, 1])], "g string, i int, c int")
     assert sorted(r.i for r in relational.greedy(items, ["g"], [items.i], "c", 9).collect()) == [0, 1]
     assert sorted(r.i for r in relational.greedy(items, ["g"], [items.i], "c", 10).collect()) == [0, 1, 4]
+
+
+def test_weak_components_of_long_chains(spark):
+    rnd = random.Random(2)
+    ids = [f"n{i:04d}" for i in range(1000)]
+    rnd.shuffle(ids)
+    chains = [ids[:700], ids[700:]]
+    e = edges(spark, [(a, b) if rnd.random() < 0.5 else (b, a) for c in chains for a, b in zip(c, c[1:])])
+    nodes = spark.createDataFrame([(x,) for x in ids], "id string")
+    assert {r.id: r.component for r in graph.weak_components(nodes, e).collect()} == {x: min(c) for c in chains for x in c}
