@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodegraph.functions.scalars import fan_level, instability_class
-from lodegraph.runtime import materialize, release
+from lodegraph.runtime import materialize, release, union_all
 
 
 def directed(edges: DataFrame, direction: str) -> DataFrame:
@@ -135,7 +135,7 @@ def _tarjan(pdf: pd.DataFrame) -> pd.DataFrame:
 MAX_GROUP_EDGES = 200_000
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame, by: str | None = None, max_group: int = MAX_GROUP_EDGES, max_rounds: int = 64) -> DataFrame:
+def strong_components(nodes: DataFrame, edges: DataFrame, by: str | None = None, max_group: int = MAX_GROUP_EDGES) -> DataFrame:
     """(id, component): the smallest id of each strongly connected component.
 
     ``by`` names a column of ``edges`` that no component crosses (a snapshot).
@@ -145,7 +145,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame, by: str | None = None,
     alone = nodes.select("id").distinct()
     links = edges.where(F.col("src") != F.col("dst"))
     if by is None:
-        return _components_by_joins(alone, links, max_rounds)
+        return _components_by_joins(alone, links)
     size = links.groupBy(by).agg(F.count(F.lit(1)).alias("_k"))
     sized = links.join(size, by)
     small = sized.where(F.col("_k") <= max_group).select(by, "src", "dst").groupBy(by).applyInPandas(lambda p: _tarjan(p[["src", "dst"]]), "id string, component string")
@@ -153,57 +153,83 @@ def strong_components(nodes: DataFrame, edges: DataFrame, by: str | None = None,
     large = materialize(sized.where(F.col("_k") > max_group).select("src", "dst"), "large")
     if not large.isEmpty():
         ends = large.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-        found = found.unionByName(_components_by_joins(ends, large, max_rounds))
+        found = found.unionByName(_components_by_joins(ends, large))
     return alone.join(materialize(found, "components"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def _components_by_joins(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def _behind_ends(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id): nodes without a way in, and all that is reached from them by only ways in, however long the chain (by doubling)."""
+    only = links.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("k"), F.min("src").alias("up"))
+    start = nodes.join(only, "id", "left_anti").select("id", F.lit(None).cast("string").alias("up"))
+    up = materialize(only.where(F.col("k") == 1).select("id", "up").unionByName(start), "up")
+    known = up.where(F.col("up").isNull()).count()
+    while known:
+        above = up.select(F.col("id").alias("up"), F.col("up").alias("next"), F.lit(True).alias("there"))
+        nxt = materialize(up.join(above, "up", "left").select("id", F.when(F.col("there"), F.col("next")).otherwise(F.col("up")).alias("up")), "up")
+        now = nxt.where(F.col("up").isNull()).count()
+        release(up)
+        up = nxt
+        if now == known:
+            break
+        known = now
+    return up.where(F.col("up").isNull()).select("id")
+
+
+def _first_before(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, c): the least ``p`` of the nodes that reach each node, itself among them; ``nodes``: (id, p), ``p`` unique."""
+    label = materialize(nodes.select("id", "p", F.col("p").alias("c")), "colour")
+    while True:
+        heard = links.join(label, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("m"))
+        low = label.join(heard, "id", "left").select("id", "p", F.col("c").alias("old"), F.least("c", "m").alias("c"))
+        jump = label.select(F.col("p").alias("c"), F.col("c").alias("j"))
+        nxt = materialize(low.join(jump, "c").select("id", "p", "old", F.least("c", "j").alias("c")), "colour")
+        same = nxt.where(F.col("old") != F.col("c")).isEmpty()
+        release(label)
+        label = nxt
+        if same:
+            return label.select("id", "c")
+
+
+def _components_by_joins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Strong components without any group in one task.
 
-    Nodes without a way in or out are components of their own and are trimmed
-    round by round; of the rest each node takes the smallest id that reaches it
-    as colour, and what reaches the colour's root inside its colour is its
-    component.
+    Nodes behind dead ends only are components of their own and are trimmed
+    until none is left.  Of the rest each node takes the first node, in an order
+    shuffled anew each time, that reaches it and the first that it reaches inside
+    that colour; where both are the same they name its component, and no other
+    component crosses nodes that differ in either.  Neither loop has a bound:
+    each phase finds at least the first node's component.
     """
     left = materialize(nodes.select("id").distinct(), "scc")
     links = materialize(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct(), "scc-links")
-    found = None
-    for _ in range(max_rounds):
-        ins, outs = links.select(F.col("dst").alias("id")).distinct(), links.select(F.col("src").alias("id")).distinct()
-        core = materialize(left.join(ins, "id", "left_semi").join(outs, "id", "left_semi"), "core")
-        single = left.join(core, "id", "left_anti").select("id", F.col("id").alias("component"))
-        found = single if found is None else found.unionByName(single)
-        found = materialize(found, "found")
-        inner = materialize(links.join(core.withColumnRenamed("id", "src"), "src", "left_semi").join(core.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"), "scc-links")
-        if core.isEmpty():
-            return found
-        if inner.count() < links.count() or core.count() < left.count():
-            left, links = core, inner
-            continue
-        colour = core.select("id", F.col("id").alias("c"))
-        while True:
-            heard = inner.join(colour, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("m"))
-            nxt = materialize(colour.join(heard, "id", "left").select("id", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c")), "colour")
-            same = nxt.where(F.col("old") != F.col("c")).isEmpty()
-            colour = nxt.select("id", "c")
-            if same:
-                break
-        a, b = colour.select(F.col("id").alias("src"), F.col("c").alias("sc")), colour.select(F.col("id").alias("dst"), F.col("c").alias("dc"))
-        within = materialize(inner.join(a, "src").join(b, "dst").where(F.col("sc") == F.col("dc")).select("src", "dst"), "within")
-        back = materialize(colour.where(F.col("id") == F.col("c")), "back")
-        member = back
+    found, phase = [], 0
+    while True:
         while True:
-            more = within.join(back, F.col("dst") == F.col("id")).select(F.col("src").alias("id"), "c").distinct()
-            back = materialize(more.join(member.select("id"), "id", "left_anti"), "back")
-            if back.isEmpty():
+            back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+            dead = materialize(_behind_ends(left, links).unionByName(_behind_ends(left, back)).distinct(), "dead")
+            if dead.isEmpty():
                 break
-            member = materialize(member.unionByName(back), "member")
-        found = materialize(found.unionByName(member.select("id", F.col("c").alias("component"))), "found")
-        left = materialize(core.join(member.select("id"), "id", "left_anti"), "scc")
-        links = materialize(inner.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"), "scc-links")
+            found.append(dead.select("id", F.col("id").alias("component")))
+            left = materialize(left.join(dead, "id", "left_anti"), "scc")
+            links = materialize(links.join(dead.withColumnRenamed("id", "src"), "src", "left_anti").join(dead.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"), "scc-links")
+            if len(found) > 20:
+                found = [materialize(union_all(found), "found")]
         if left.isEmpty():
-            return found
-    raise RuntimeError("strong components need more rounds")
+            return materialize(union_all(found), "found") if found else left.select("id", F.col("id").alias("component"))
+        order = materialize(left.withColumn("p", F.concat(F.lpad(F.hex(F.xxhash64("id", F.lit(phase))), 16, "0"), "id")), "order")
+        colour = _first_before(order, links)
+        a, b = colour.select(F.col("id").alias("src"), F.col("c").alias("sc")), colour.select(F.col("id").alias("dst"), F.col("c").alias("dc"))
+        within = materialize(links.join(a, "src").join(b, "dst").where(F.col("sc") == F.col("dc")).select("src", "dst"), "within")
+        ahead = _first_before(order, within.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        both = materialize(colour.join(ahead.withColumnRenamed("c", "d"), "id"), "both")
+        done = both.where(F.col("c") == F.col("d"))
+        names = done.groupBy("c").agg(F.min("id").alias("component"))
+        found.append(materialize(done.join(names, "c").select("id", "component"), "found"))
+        rest = materialize(both.where(F.col("c") != F.col("d")).select("id", "d"), "rest")
+        a, b = rest.select(F.col("id").alias("src"), F.col("d").alias("sd")), rest.select(F.col("id").alias("dst"), F.col("d").alias("dd"))
+        links = materialize(within.join(a, "src").join(b, "dst").where(F.col("sd") == F.col("dd")).select("src", "dst"), "scc-links")
+        left = rest.select("id")
+        phase += 1
 
 
 def condensation(edges: DataFrame, comps: DataFrame) -> DataFrame:

@@ -120,3 +120,12 @@ def test_weak_components_of_long_chains(spark):
     e = edges(spark, [(a, b) if rnd.random() < 0.5 else (b, a) for c in chains for a, b in zip(c, c[1:])])
     nodes = spark.createDataFrame([(x,) for x in ids], "id string")
     assert {r.id: r.component for r in graph.weak_components(nodes, e).collect()} == {x: min(c) for c in chains for x in c}
+
+
+def test_strong_components_by_joins_of_long_chains(spark):
+    chain = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(499)]
+    rings = [x for i in range(40) for x in ((f"r{i:02d}a", f"r{i:02d}b"), (f"r{i:02d}b", f"r{i:02d}a"), (f"r{i:02d}b", f"r{i + 1:02d}a"))][:-1]
+    pairs = chain + rings
+    nodes = spark.createDataFrame([(x,) for x in sorted({x for p in pairs for x in p})], "id string")
+    got = {r.id: r.component for r in graph.strong_components(nodes, edges(spark, pairs), "snapshot_id", max_group=2).collect()}
+    assert got == {x: x[:3] + "a" if x[0] == "r" else x for p in pairs for x in p}
