@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodegraph.runtime import all_of, materialize
+
 
 def neighbours(edges: DataFrame, nodes: DataFrame, side: str) -> DataFrame:
     """Edges with the node at their ``dst`` (dependencies) or ``src`` (dependents)."""
@@ -42,19 +44,24 @@ def spread(df: DataFrame, by: str, order: Sequence[Column], n: int) -> DataFrame
     return df.withColumn("_t", turn).where(F.col("_t") <= n).orderBy("_t", by).limit(n).drop("_t")
 
 
-def greedy(df: DataFrame, by: Sequence[str], order: Sequence[Column], cost: str, budget: int, max_rows: int = 100_000) -> DataFrame:
+def greedy(df: DataFrame, by: Sequence[str], order: Sequence[Column], cost: str, budget: int) -> DataFrame:
     """Rows a greedy packer takes: in order, each that still fits, skipping those that don't.
 
-    Order-dependent, so a group is one task; each row costs at least 1, hence
-    rows beyond ``budget`` plus those that cannot fit alone never matter and
-    are dropped before the group is gathered.
+    Order-dependent, so a group is one task, but an exactly reduced one: of the
+    rows of one cost only the first ``budget / cost`` can be taken, so about
+    budget times log budget rows are gathered.  Rows without cost always fit.
     """
-    fits = df.where((F.col(cost) > 0) & (F.col(cost) <= budget))
-    ranked = fits.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= max_rows)
+    c = F.col(cost)
+    free = df.where(c == 0)
+    nth = F.row_number().over(W.partitionBy(*by, cost).orderBy(*order))
+    fits = df.where((c > 0) & (c <= budget)).withColumn("_n", nth).where(F.col("_n") * c <= budget).drop("_n")
+    ranked = materialize(fits.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(*order))), "ranked")
     packed = ranked.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_r", F.col(cost).cast("bigint").alias("c")))).alias("_l"))
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<int>").alias("took"))
     fold = F.aggregate("_l", start, lambda a, x: F.when(a["used"] + x["c"] <= budget, F.struct((a["used"] + x["c"]).alias("used"), F.concat(a["took"], F.array(x["_r"])).alias("took"))).otherwise(a), lambda a: a["took"])
-    return ranked.join(packed.select(*by, fold.alias("_took")), list(by)).where(F.array_contains("_took", F.col("_r"))).drop("_r", "_took")
+    took = packed.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.explode(fold).alias("_t"))
+    same = all_of([F.col("_t") == F.col("_r"), *(F.col(f"_k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(by))])
+    return ranked.join(took, same, "left_semi").drop("_r").unionByName(free)
 
 
 def prefix_budget(df: DataFrame, by: Sequence[str], order: Sequence[Column], cost: str, budget: int) -> DataFrame:

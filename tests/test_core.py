@@ -129,3 +129,17 @@ def test_strong_components_by_joins_of_long_chains(spark):
     nodes = spark.createDataFrame([(x,) for x in sorted({x for p in pairs for x in p})], "id string")
     got = {r.id: r.component for r in graph.strong_components(nodes, edges(spark, pairs), "snapshot_id", max_group=2).collect()}
     assert got == {x: x[:3] + "a" if x[0] == "r" else x for p in pairs for x in p}
+
+
+def test_greedy_takes_late_and_free_rows(spark):
+    items = spark.range(100_010).selectExpr("'k' AS g", "CAST(id AS int) AS i", "CASE WHEN id = 0 THEN 7 WHEN id = 100005 THEN 2 WHEN id = 100007 THEN 0 WHEN id = 100008 THEN 1 ELSE 4 END AS c")
+    assert sorted(r.i for r in relational.greedy(items, ["g"], [items.i], "c", 10).collect()) == [0, 100_005, 100_007, 100_008]
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["a", "b", None]), i, rnd.choice([0, 1, 2, 3, 5, 8, 40])) for i in range(600)]
+    want, used = set(), {}
+    for g, i, c in rows:
+        if used.get(g, 0) + c <= 37:
+            used[g] = used.get(g, 0) + c
+            want.add(i)
+    df = spark.createDataFrame(rows, "g string, i int, c int")
+    assert {r.i for r in relational.greedy(df, ["g"], [df.i], "c", 37).collect()} == want
