@@ -340,6 +340,7 @@ def _neighbours(tokens: list[Token], language: str) -> None:
     soft = CONTEXTUAL_TS if typed else CONTEXTUAL_JS if base == "js" else CONTEXTUAL_JAVA if base == "java" else set()
     opened: list[tuple[str, Token | None, int]] = []  # bracket, the token before it, angles open in it
     angles = [0]
+    choices = [0]  # conditionals and cases whose colon is still to come, by bracket
     closed_owner: Token | None = None
     names = 0
     n = len(tokens)
@@ -410,30 +411,41 @@ def _neighbours(tokens: list[Token], language: str) -> None:
         if t.kind == "word" and p not in (".", "?.") and not (nxt and nxt.text in (":", "(", ",", "?") and opened and opened[-1][0] == "{" and x not in ("if", "for", "while", "switch", "catch")):
             _follower(t, nxt, tokens, i, language, base)
         if base == "js" and not typed:
-            if x == ":" and p == ")" and opened and not _in_choice(tokens, i) and opened[-1][0] != "{" or x == ":" and p == ")" and not opened and not _in_choice(tokens, i):
+            if x == ":" and p == ")" and not choices[-1] and not (opened and opened[-1][0] == "{"):
                 raise Fault("type annotation", t.line)
-            if x == ":" and prev and prev.kind == "name" and opened and opened[-1][0] == "(" and not _in_choice(tokens, i):
+            if x == ":" and prev and prev.kind == "name" and opened and opened[-1][0] == "(" and not choices[-1]:
                 raise Fault("type annotation", t.line)
             if t.kind == "name" and x in ("interface", "namespace", "declare", "abstract", "private", "public", "protected", "readonly", "implements") and nxt and nxt.kind == "name" and not nxt.fresh:
                 raise Fault("type declaration", t.line)
             if x == "type" and nxt and nxt.kind == "name" and not nxt.fresh and i + 2 < n and tokens[i + 2].text in ("=", "<"):
                 raise Fault("type declaration", t.line)
         # brackets
+        if t.kind == "word" and (x == "case" or x == "default" and nxt and nxt.text == ":"):
+            choices[-1] += 1
         if t.kind == "punct":
+            if x == "?":
+                choices[-1] += 1
+            elif x == ":":
+                choices[-1] = max(0, choices[-1] - 1)
+            elif x == ";":
+                choices[-1] = 0
             if x in ("(", "[", "{", "`{"):
                 opened.append((x, prev, i))
                 angles.append(0)
+                choices.append(0)
             elif x == "}{":
                 pass
             elif x in PAIRS and opened:
                 b, owner, _ = opened.pop()
                 angles.pop()
+                choices.pop()
                 closed_owner = owner
                 if x == ")" and base == "js" and owner and owner.text in ("if", "while", "switch") and p == "(":
                     raise Fault("empty condition", t.line)
         elif t.kind == "string" and x == "`" and opened and opened[-1][0] == "`{":
             opened.pop()
             angles.pop()
+            choices.pop()
 
 
 def opened_decorator(tokens: list[Token], i: int) -> bool:
@@ -454,27 +466,6 @@ def opened_decorator(tokens: list[Token], i: int) -> bool:
     return k >= 0 and tokens[k].text == "@"
 
 
-def _in_choice(tokens: list[Token], i: int) -> bool:
-    """Whether the colon at ``i`` belongs to a conditional, a case or an object entry."""
-    depth = 0
-    for j in range(i - 1, max(-1, i - 400), -1):
-        x = tokens[j].text
-        if tokens[j].kind == "punct":
-            if x in (")", "]", "}"):
-                depth += 1
-            elif x in ("(", "[", "{", "`{"):
-                if depth == 0:
-                    return False
-                depth -= 1
-            elif x == "?" and depth == 0:
-                return True
-            elif x == ";" and depth == 0:
-                return False
-        elif x in ("case", "default") and depth == 0:
-            return True
-    return False
-
-
 def _follower(t: Token, nxt: Token | None, tokens: list[Token], i: int, language: str, base: str) -> None:
     x, y = t.text, nxt.text if nxt else ""
     n = len(tokens)
@@ -514,10 +505,13 @@ def _follower(t: Token, nxt: Token | None, tokens: list[Token], i: int, language
             if nxt.kind == "name" and (i + 2 >= n or not (tokens[i + 2].text in ("from", ",", "=", "{", "*") or nxt.text in ("type", "defer", "source") and tokens[i + 2].kind == "name")):
                 raise no("import without a source")
             if nxt.kind != "string":
-                for j in range(i + 1, min(n, i + 4000)):
+                inside = False  # the braces of the clause
+                for j in range(i + 1, n):
+                    if tokens[j].kind == "punct" and tokens[j].text in ("{", "}"):
+                        inside = tokens[j].text == "{"
                     if tokens[j].text == "from" and j + 1 < n and tokens[j + 1].kind == "string":
                         break
-                    if tokens[j].text in (";", "=") or tokens[j].kind == "word" and tokens[j].text not in ("default", "this") and j > i + 1 and tokens[j].fresh:
+                    if tokens[j].text in (";", "=") or not inside and tokens[j].kind == "word" and tokens[j].text not in ("default", "this") and j > i + 1 and tokens[j].fresh:
                         if tokens[j].text == "=":
                             break
                         raise no("import without a source")

@@ -131,6 +131,15 @@ def test_grammar(language):
     assert [x for x in BAD[language] if not syntax.fault(x, language)] == []
 
 
+def test_verdicts_do_not_depend_on_length():
+    many = ", ".join(f"g(x{i})" for i in range(300))
+    names = ",\n".join(f"name{i} as n{i}" for i in range(2000))
+    good = [f"const a = (b ? f({many}) : c);", f"x = (b ? [{many}].map(h) + k : c);", f"const a = (b ? {many} : c);", "const a = (b ? `${x}` + f(y) : c);", f"import {{ {names} }} from './a.js';", "import {\n  a,\n  delete as d\n} from './a.js';", f"switch (a) {{ case f({many}) + g(x): b(); default: c(); }}"]
+    assert [x[:60] for x in good if syntax.fault(x, "js")] == []
+    bad = [f"const a = b ? f({many}) : c\nfunction f(): string {{ }}", f"import {{ {names} }};\nfoo();", f"f(a: string, {many});", f"import {{ {names} }}\nconst a = 1;"]
+    assert [x[:60] for x in bad if not syntax.fault(x, "js")] == []
+
+
 def test_unparsable_files(spark):
     files = spark.createDataFrame([(1, "a/B.TS", "const = 1;"), (2, "a.md", "const = 1;"), (3, "a.py", None), (4, None, "x"), (5, "a.json", ""), (6, "a.py", "")], "file_id long, file_path string, source_text string")
     assert {r.file_id for r in syntax.find_unparsable(files).collect()} == {1, 5}
