@@ -116,13 +116,15 @@ class Lexer:
         self.base = "js" if language in ("ts", "tsx") else language
         self.tokens: list[Token] = []
         self.stack: list[tuple[str, int, Token | None]] = []
+        self.end, self.in_block = 0, False
 
-    def run(self) -> list[Token]:
-        s, n, i, line = self.s, len(self.s), 0, 1
+    def run(self, i: int = 0, line: int = 1, inner: bool = False) -> list[Token]:
+        """All tokens; of an ``inner`` expression those from ``i`` to the brace that closes it, behind which ``end`` is."""
+        s, n = self.s, len(self.s)
         fresh, gap = True, False
         reserved, base = RESERVED[self.base], self.base
         punct, number = PUNCT[base], NUMBER[base]
-        if base == "js" and s.startswith("#!"):
+        if base == "js" and not inner and s.startswith("#!"):
             i = s.find("\n") if "\n" in s else n
         while i < n:
             c = s[i]
@@ -199,12 +201,15 @@ class Lexer:
                 j, kind = m.end(), "name"
             elif c == "#" and base == "js" and (m := WORD.match(s, i + 1)):
                 j, kind = m.end(), "name"
-                if not any(b == "{" for b, *_ in self.stack):
+                if not (self.in_block or any(b == "{" for b, *_ in self.stack)):
                     raise Fault("stray character", line)
             elif c == "/" and base == "js" and not self._division(prev):
                 j, kind = _regex_end(s, i, line), "regex"
             elif (m := punct.match(s, i)) and m.group() != "#":
                 j, kind = m.end(), "punct"
+                if inner and m.group() == "}" and not self.stack:
+                    self.end = j
+                    return self.tokens
                 self._bracket(m.group(), line, prev)
                 if m.group() == "}" and self.tokens and self._closed_template:
                     k = self._template(j, line)
@@ -226,6 +231,8 @@ class Lexer:
                     j, kind = end, "string"
             self.tokens.append(Token(kind, s[i:j] if j - i < 200 else s[i : i + 200], start, fresh, gap))
             fresh, gap, i = False, False, j
+        if inner and not self.stack:
+            raise Fault("ends inside {", line)
         if self.stack:
             raise Fault("ends inside " + self.stack[-1][0].strip("`"), self.stack[-1][1])
         return self.tokens
@@ -268,63 +275,114 @@ class Lexer:
 
     def _markup(self, i: int, line: int) -> int:
         """End of the element that starts at ``i``; 0 if it is no element after all."""
-        s, n, depth, j = self.s, len(self.s), 0, i
-        tag = re.compile(r"</\s*[\w.:-]*\s*>|<>|<[A-Za-z][\w.:-]*")
+        s, n, j = self.s, len(self.s), i
+        opened: list[str] = []
         while j < n:
-            m = tag.match(s, j)
-            if m and m.group().startswith("</"):
-                depth, j = depth - 1, m.end()
-                if depth <= 0:
+            m = TAG.match(s, j)
+            if m and m.group(1) is not None:
+                name = re.sub(r"\s", "", m.group(1))
+                if not opened or opened.pop() != name:
+                    raise Fault("tags don't match", self._line(i, j, line))
+                j = m.end()
+                if not opened:
                     return j
-            elif m and m.group() == "<>":
-                depth, j = depth + 1, m.end()
             elif m:
-                j = m.end()
-                while j < n and s[j] != ">":
-                    if s[j] in "\"'":
-                        k = s.find(s[j], j + 1)
-                        if k < 0:
-                            return 0
-                        j = k + 1
-                    elif s[j] == "{":
-                        j = self._braced(j)
-                        if not j:
-                            return 0
-                    elif s[j] in ",;(<":
-                        return 0  # type arguments of a generic arrow function
-                    else:
-                        j += 1
-                if s[j - 1] == "/":
-                    if depth == 0:
-                        return j + 1
-                else:
-                    depth += 1
-                j += 1
-            elif s[j] == "{":
-                j = self._braced(j)
+                first, name, j = not opened, m.group(2) or "", m.end()
+                if first and (re.compile(r"\s+extends\b").match(s, j) or s.startswith(">(", j) and not re.compile(r"</\s*" + re.escape(name) + r"\s*>").search(s, j)):
+                    return 0  # type parameters
+                if m.group(2) is None:
+                    opened.append("")
+                    continue
+                j, alone = self._attributes(j, i, line, first)
                 if not j:
                     return 0
+                if not alone:
+                    opened.append(name)
+                elif first:
+                    return j
+            elif s[j] == "{":
+                j = self._braced(j, self._line(i, j, line), True)
+            elif s[j] in "<>}":
+                self._conflict(j, i, line)
+                raise Fault("stray character", self._line(i, j, line))
             else:
+                self._conflict(j, i, line)
                 j += 1
         raise Fault("ends inside an element", line) if "</" in s[i:] else Fault("element never closed", line)
 
-    def _braced(self, i: int) -> int:
-        depth, j, s = 0, i, self.s
-        while j < len(s):
-            c = s[j]
-            if c == "{":
-                depth += 1
-            elif c == "}":
-                depth -= 1
+    def _line(self, i: int, j: int, line: int) -> int:
+        return line + self.s.count("\n", i, j)
+
+    def _conflict(self, j: int, i: int, line: int) -> None:
+        s = self.s
+        if s[j] in "<>|=" and s[j - 1] == "\n":
+            end = s.find("\n", j)
+            if CONFLICT.match(s[j : end if end >= 0 else len(s)]):
+                raise Fault("conflict marker", self._line(i, j, line))
+
+    def _attributes(self, j: int, i: int, line: int, first: bool) -> tuple[int, bool]:
+        """(end of the tag, whether it closes itself) from behind its name on; end 0 where the ``first`` is no tag."""
+        s, n = self.s, len(self.s)
+        named = valued = False  # whether a name, a name and its sign stand before
+        if s.startswith("<", j):  # type arguments
+            depth = 0
+            while j < n:
+                depth += (s[j] == "<") - (s[j] == ">" and s[j - 1] != "=")
+                j += 1
                 if not depth:
-                    return j + 1
-            elif c in "\"'`":
-                k = j + 1
-                while k < len(s) and s[k] != c:
-                    k += 2 if s[k] == "\\" else 1
-                j = k
-            j += 1
-        return 0
+                    break
+        while j < n:
+            c = s[j]
+            if c.isspace():
+                j += 1
+            elif s.startswith("//", j):
+                end = s.find("\n", j)
+                j = n if end < 0 else end
+            elif s.startswith("/*", j):
+                end = s.find("*/", j + 2)
+                j = n if end < 0 else end + 2
+            elif c == ">" and not valued:
+                return j + 1, False
+            elif s.startswith("/>", j) and not valued:
+                return j + 2, True
+            elif c in "\"'" and valued:
+                end = s.find(c, j + 1)
+                if end < 0:
+                    break
+                j, named, valued = end + 1, False, False
+            elif c == "{":
+                j = self._braced(j, self._line(i, j, line), False)
+                named = valued = False
+            elif c == "<" and valued and TAG.match(s, j):
+                end = self._markup(j, self._line(i, j, line))
+                if not end:
+                    break
+                j, named, valued = end, False, False
+            elif c == "=" and named and not valued:
+                j, valued = j + 1, True
+            elif not valued and (m := ATTRIBUTE.match(s, j)):
+                j, named = m.end(), True
+            else:
+                self._conflict(j, i, line)
+                break
+        if first:
+            return 0, False
+        raise Fault("stray character in a tag", self._line(i, min(j, n), line))
+
+    def _braced(self, i: int, line: int, empty: bool) -> int:
+        """End of the expression in braces at ``i``, which the normal rules hold for; only a child may be ``empty``."""
+        sub = Lexer(self.s, self.language)
+        sub.in_block = self.in_block or any(b == "{" for b, *_ in self.stack)
+        tokens = sub.run(i + 1, line, True)
+        if tokens:
+            _neighbours([Token("punct", "(", line, False, False), *tokens, Token("punct", ")", line, False, False)], self.language)
+        elif not empty:
+            raise Fault("braces without a value", line)
+        return sub.end
+
+
+TAG = re.compile(r"</\s*([\w.:$-]*)\s*>|<(?:>|([A-Za-z_$][\w.:$-]*))")
+ATTRIBUTE = re.compile(r"[A-Za-z_$][\w$.:-]*")
 
 
 #: Operators that need an operand on their right, and those that need one on their left.

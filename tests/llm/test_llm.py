@@ -140,6 +140,17 @@ def test_verdicts_do_not_depend_on_length():
     assert [x[:60] for x in bad if not syntax.fault(x, "js")] == []
 
 
+def test_elements_are_read_by_the_rules():
+    good = [
+        "const a = <ul className=\"x\" {...rest}>\n  {items.map((x) => (\n    <li key={x.id} style={{ a: 1 }}>it's {x.name} {`a ${x.b}`} {/* none */}</li>\n  ))}\n</ul>;",
+        "export const B = () => <><A.C on={() => { go(); }} icon={<I />} />{a > b ? <p>one</p> : null}</>;", "const f = <T,>(x: T) => x;\nconst g = <T extends object>(x: T) => x;\ntype H = <T>(x: T) => T;",
+        "class K { #a = 1; r() { return <b>{this.#a}</b>; } }", "const t = (\n  <Foo<string>\n    // remark\n    a=\"it's\"\n    b\n  >don't</Foo>\n);".replace("<Foo<string>", "<Foo"),
+    ]
+    assert [(x, syntax.fault(x, "tsx")) for x in good if syntax.fault(x, "tsx")] == []
+    bad = ["const a = <div>x</span>;", "const a = <div>{items.map((x) => <p>{x}</p>}</div>;", "const a = <div>{x + }</div>;", "const a = (\n<div>\n<<<<<<< ours\n<p>a</p>\n=======\n<p>b</p>\n>>>>>>> theirs\n</div>);", "const a = <div>\n=======\n</div>;", "const a = <div b={}>x</div>;", "const a = <div><p>x</div>;", "const a = <div>{'open}</div>;"]
+    assert [x for x in bad if not syntax.fault(x, "tsx")] == []
+
+
 def test_unparsable_files(spark):
     files = spark.createDataFrame([(1, "a/B.TS", "const = 1;"), (2, "a.md", "const = 1;"), (3, "a.py", None), (4, None, "x"), (5, "a.json", ""), (6, "a.py", "")], "file_id long, file_path string, source_text string")
     assert {r.file_id for r in syntax.find_unparsable(files).collect()} == {1, 5}
