@@ -12,7 +12,7 @@ from lodegraph.functions import scalars as X
 from lodegraph.operators import graph as G
 from lodegraph.operators import relational as R
 from lodegraph.plans.table_plans import CAT, ENTRIES, FAN, INSIGHTS, LAYER, PAIRS, _sides, entries, fans, insights
-from lodegraph.runtime import load, union_all
+from lodegraph.runtime import load, materialize, union_all
 from lodegraph.sources import graph as S
 
 QUERIES, ORACLE = {}, {}
@@ -135,8 +135,8 @@ def lineage(s, d):
 
 @query("unreachable_from_first", S.SQL + ", w AS (SELECT id, id AS m FROM n UNION SELECT w.id, s.t FROM w JOIN (SELECT src AS f, dst AS t FROM ge UNION SELECT dst, src FROM ge) s ON s.f = w.m), c AS (SELECT id, min(m) AS c FROM w GROUP BY 1) SELECT n.id FROM n JOIN c USING (id) WHERE c.c <> (SELECT min(k.id) FROM n k WHERE k.snapshot_id = n.snapshot_id)")
 def unreachable(s, d):
-    n = N(s, d)
-    c = G.weak_components(n, S.known_edges(s, d))
+    n = materialize(N(s, d), "nodes")
+    c = G.weak_components(n, S.known_edges(s, d, n), "snapshot_id")
     first = n.groupBy("snapshot_id").agg(F.min("id").alias("first"))
     return n.select("id", "snapshot_id").join(c, "id").join(first, "snapshot_id").where("component <> first").select("id")
 

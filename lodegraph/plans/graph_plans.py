@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions.scalars import steps
 from lodegraph.operators import graph as G
-from lodegraph.runtime import load
+from lodegraph.runtime import load, materialize
 from lodegraph.sources import graph as S
 
 QUERIES, ORACLE = {}, {}
@@ -23,11 +23,22 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _seeds(s, d):
+def _graph(s, d):
+    """Nodes and known edges, each read and cleaned once for all that follows."""
+    n = materialize(S.nodes(s, d), "nodes")
+    return n, materialize(S.known_edges(s, d, n), "edges")
+
+
+def _start(s, d):
+    e = materialize(S.known_edges(s, d), "edges")
+    return e, _seeds(e)
+
+
+def _seeds(edges):
     """The source of most edges in each snapshot, the smallest id among equals."""
-    deg = S.known_edges(s, d).groupBy("snapshot_id", F.col("src").alias("seed")).agg(F.count(F.lit(1)).alias("n"))
+    deg = edges.groupBy("snapshot_id", F.col("src").alias("seed")).agg(F.count(F.lit(1)).alias("n"))
     first = F.row_number().over(W.partitionBy("snapshot_id").orderBy(F.col("n").desc(), "seed"))
-    return deg.withColumn("r", first).where(F.col("r") == 1).select("seed")
+    return deg.withColumn("r", first).where(F.col("r") == 1).select("snapshot_id", "seed")
 
 
 SEEDS = ", seeds AS (SELECT src AS seed FROM (SELECT snapshot_id, src, count(*) AS c FROM ge GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY snapshot_id ORDER BY c DESC, src) = 1)"
@@ -47,44 +58,43 @@ FANS = """, fan AS (SELECT n.id, n.snapshot_id, n.file_path, n.node_type, n.name
 
 @query("bfs_forward", S.SQL + SEEDS + _bfs_sql("b", FWD, 10) + " SELECT seed, node, depth FROM b")
 def bfs_forward(s, d):
-    return G.bfs(S.known_edges(s, d), _seeds(s, d), 10)
+    return G.bfs(*_start(s, d), 10, by="snapshot_id")
 
 
 @query("bfs_reverse_depth2", S.SQL + SEEDS + _bfs_sql("b", REV, 2) + " SELECT seed, node, depth FROM b")
 def bfs_reverse(s, d):
-    return G.bfs(S.known_edges(s, d), _seeds(s, d), 2, "reverse")
+    return G.bfs(*_start(s, d), 2, "reverse", "snapshot_id")
 
 
 @query("neighborhood_both_depth3", S.SQL + SEEDS + _bfs_sql("b", BOTH, 3) + " SELECT seed, count(*) AS node_count, max(depth) AS reached FROM b GROUP BY 1")
 def neighborhood(s, d):
-    return G.bfs(S.known_edges(s, d), _seeds(s, d), 3, "both").groupBy("seed").agg(F.count(F.lit(1)).alias("node_count"), F.max("depth").alias("reached"))
+    return G.bfs(*_start(s, d), 3, "both", "snapshot_id").groupBy("seed").agg(F.count(F.lit(1)).alias("node_count"), F.max("depth").alias("reached"))
 
 
 @query("blast_radius", S.SQL + SEEDS + _bfs_sql("a", FWD, 5) + _bfs_sql("c", REV, 5) + " SELECT seed, node, min(depth) AS depth, CASE WHEN min(depth) <= 1 THEN 'direct' ELSE 'indirect' END AS impact FROM (SELECT * FROM a UNION ALL SELECT * FROM c) GROUP BY 1, 2")
 def blast(s, d):
-    return G.blast_radius(S.known_edges(s, d), _seeds(s, d), 5)
+    return G.blast_radius(*_start(s, d), 5, "snapshot_id")
 
 
 @query("reachability_count", S.SQL + REACH + " SELECT n.id, count(DISTINCT r.dst) AS reach FROM n LEFT JOIN reach r ON r.src = n.id GROUP BY 1")
 def reach_count(s, d):
-    r = G.reachable(S.known_edges(s, d)).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("reach"))
-    return S.nodes(s, d).select("id").join(r, "id", "left").fillna(0, ["reach"])
+    return G.reach_counts(*_graph(s, d), "snapshot_id")
 
 
 @query("weak_components", S.SQL + ", w AS (SELECT id, id AS m FROM n UNION SELECT w.id, s.t FROM w JOIN (" + BOTH + ") s ON s.f = w.m) SELECT id, min(m) AS component FROM w GROUP BY 1")
 def wcc(s, d):
-    return G.weak_components(S.nodes(s, d), S.known_edges(s, d))
+    return G.weak_components(*_graph(s, d), "snapshot_id")
 
 
 @query("strong_components", S.SQL + SCC + " SELECT id, component FROM comp")
 def scc(s, d):
-    return G.strong_components(S.nodes(s, d), S.known_edges(s, d), "snapshot_id")
+    return G.strong_components(*_graph(s, d), "snapshot_id")
 
 
 @query("cycle_members", S.SQL + REACH + " SELECT DISTINCT src AS id FROM reach WHERE src = dst")
 def cyc(s, d):
-    e = S.known_edges(s, d)
-    c = G.strong_components(S.nodes(s, d), e, "snapshot_id")
+    n, e = _graph(s, d)
+    c = G.strong_components(n, e, "snapshot_id")
     size = c.groupBy("component").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     return c.join(size, "component", "left_semi").select("id").unionByName(e.where(F.col("src") == F.col("dst")).select(F.col("src").alias("id"))).distinct()
 
@@ -96,7 +106,7 @@ lv AS (SELECT id, 0 AS level FROM n WHERE id NOT IN (SELECT id FROM behind) UNIO
 SELECT id, max(level) AS level, false AS cyclic FROM lv GROUP BY 1 UNION ALL SELECT id, NULL, true FROM behind""",
 )
 def levels(s, d):
-    return G.topological_levels(S.nodes(s, d), S.known_edges(s, d))
+    return G.topological_levels(*_graph(s, d), "snapshot_id")
 
 
 DEPTH = SCC + """, dag AS (SELECT DISTINCT a.component AS src, b.component AS dst FROM ge JOIN comp a ON a.id = ge.src JOIN comp b ON b.id = ge.dst WHERE a.component <> b.component),
@@ -106,7 +116,7 @@ depths AS (SELECT c.id, max(down.depth) AS depth FROM comp c JOIN down ON down.i
 
 @query("node_depth", S.SQL + DEPTH + " SELECT id, depth FROM depths")
 def depth(s, d):
-    return G.node_depths(S.nodes(s, d), S.known_edges(s, d))
+    return G.node_depths(*_graph(s, d), "snapshot_id")
 
 
 @query(
@@ -115,9 +125,9 @@ def depth(s, d):
 FROM depths JOIN n USING (id) GROUP BY 1, 2""",
 )
 def depth_hist(s, d):
-    n = S.nodes(s, d)
+    n, e = _graph(s, d)
     b = F.when(F.col("depth") == 0, "0").when(F.col("depth") <= 2, "1-2").when(F.col("depth") <= 5, "3-5").when(F.col("depth") <= 10, "6-10").otherwise(">10")
-    return G.node_depths(n, S.known_edges(s, d)).join(n.select("id", "snapshot_id"), "id").groupBy("snapshot_id", b.alias("bin")).agg(F.count(F.lit(1)).alias("node_count"), F.round(F.avg("depth"), 4).alias("mean_depth"))
+    return G.node_depths(n, e, "snapshot_id").join(n.select("id", "snapshot_id"), "id").groupBy("snapshot_id", b.alias("bin")).agg(F.count(F.lit(1)).alias("node_count"), F.round(F.avg("depth"), 4).alias("mean_depth"))
 
 
 @query(
@@ -126,8 +136,8 @@ def depth_hist(s, d):
 JOIN fan fa ON fa.id = ge.src JOIN fan fb ON fb.id = ge.dst WHERE a.depth > b.depth AND fb.fan_in < fa.fan_out""",
 )
 def layering(s, d):
-    n, e = S.nodes(s, d), S.known_edges(s, d)
-    side = G.fans(n, S.edges(s, d)).select("id", "fan_in", "fan_out").join(G.node_depths(n, e), "id")
+    n, e = _graph(s, d)
+    side = G.fans(n, S.edges(s, d)).select("id", "fan_in", "fan_out").join(G.node_depths(n, e, "snapshot_id"), "id")
     a = side.select(F.col("id").alias("src"), F.col("depth").alias("src_depth"), F.col("fan_out").alias("fo"))
     b = side.select(F.col("id").alias("dst"), F.col("depth").alias("dst_depth"), F.col("fan_in").alias("fi"))
     return e.join(a, "src").join(b, "dst").where((F.col("src_depth") > F.col("dst_depth")) & (F.col("fi") < F.col("fo"))).select(F.col("id").alias("edge_id"), "src_depth", "dst_depth")
@@ -184,10 +194,10 @@ raw AS (SELECT f.id, f.snapshot_id, (f.fan_in * 0.7e0 + f.fan_out * 0.3e0) * coa
 SELECT id, snapshot_id, CASE WHEN m > 0 THEN round(raw / m, 4) ELSE 0 END AS score FROM top""",
 )
 def central(s, d):
-    n, e = S.nodes(s, d), S.known_edges(s, d)
-    r = G.reachable(e).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("reach"))
-    c = G.strong_components(n, e, "snapshot_id")
-    return G.centrality(G.fans(n, S.edges(s, d)), r, c.select("id", F.count(F.lit(1)).over(W.partitionBy("component")).alias("size")), "snapshot_id")
+    n, e = _graph(s, d)
+    facts = G.graph_facts(n, e, "snapshot_id", ("component", "reach"))
+    size = facts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return G.centrality(G.fans(n, S.edges(s, d)), facts.select("id", "reach"), facts.join(size, "component").select("id", "size"), "snapshot_id")
 
 
 @query(
@@ -227,11 +237,13 @@ SELECT id, round(least(1, (fan_in / v + fan_out / v + CASE WHEN mean > 0 THEN le
 round(least(1, dens * fan_out / v), 4) AS amplification, fan_in >= 10 AND fan_out >= 10 AS choke_point FROM x""",
 )
 def risk(s, d):
-    n, e = S.nodes(s, d), S.edges(s, d)
-    w = W.partitionBy("snapshot_id")
-    comp = G.strong_components(n, S.known_edges(s, d), "snapshot_id").select("id", F.count(F.lit(1)).over(W.partitionBy("component")).alias("size"))
+    n, known = _graph(s, d)
+    e = S.edges(s, d)
+    comp = G.strong_components(n, known, "snapshot_id")
+    comp = comp.join(comp.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select("id", "size")
     ec = e.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("ec"))
-    x = G.fans(n, e).withColumn("v", F.count(F.lit(1)).over(w)).withColumn("mean", F.avg("total").over(w)).join(comp, "id").join(ec, "snapshot_id", "left").fillna(0, ["ec"])
+    f = materialize(G.fans(n, e), "fans")
+    x = f.join(f.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("v"), F.avg("total").alias("mean")), "snapshot_id").join(comp, "id").join(ec, "snapshot_id", "left").fillna(0, ["ec"])
     dens = G.density(F.col("v"), F.col("ec"))
     depth = F.when(F.col("mean") > 0, F.least(F.lit(1.0), F.col("fan_in") + F.col("fan_out") / F.col("mean"))).otherwise(0.0)
     cyc = F.when(F.col("size") > 1, F.least(F.lit(1.0), F.col("size") / 10)).otherwise(0.0)
@@ -241,7 +253,8 @@ def risk(s, d):
 
 @query("cascade_depth3")
 def casc(s, d):
-    return G.cascade(S.known_edges(s, d), _seeds(s, d), 3)
+    e, seeds = _start(s, d)
+    return G.cascade(e, seeds.select("seed"), 3)
 
 
 @query(
@@ -258,17 +271,14 @@ SELECT snapshot_id, round(a, 4) AS density_score, b AS entropy_score, round(c, 4
 CASE WHEN (a + b + c + y + ds) * 0.2e0 > 0.75 THEN 'HIGHLY_COMPLEX' WHEN (a + b + c + y + ds) * 0.2e0 > 0.5 THEN 'COMPLEX' WHEN (a + b + c + y + ds) * 0.2e0 > 0.25 THEN 'MODERATE' ELSE 'SIMPLE' END AS complexity_level FROM f""",
 )
 def complexity(s, d):
-    n, e = S.nodes(s, d), S.known_edges(s, d)
-    place = n.select("id", "snapshot_id")
-    v = place.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("v"))
-    comp = G.strong_components(n, e, "snapshot_id")
-    ds = G.node_depths(n, e, comp).join(place, "id").groupBy("snapshot_id").agg((F.avg("depth") / F.max("depth")).alias("ds"))
-    big = G.weak_components(n, e).join(place, "id").groupBy("snapshot_id", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("snapshot_id").agg(F.max("k").alias("largest"))
-    size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    cyc = comp.join(size, "component", "left_semi").join(place, "id").groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("cyc"))
+    n, e = _graph(s, d)
+    facts = materialize(G.graph_facts(n, e, "snapshot_id", ("component", "weak", "depth")).join(n.select("id", "snapshot_id"), "id"), "facts")
+    ds = facts.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("v"), (F.avg("depth") / F.max("depth")).alias("ds"))
+    big = facts.groupBy("snapshot_id", "weak").agg(F.count(F.lit(1)).alias("k")).groupBy("snapshot_id").agg(F.max("k").alias("largest"))
+    cyc = facts.groupBy("snapshot_id", "component").agg(F.count(F.lit(1)).alias("k")).where("k > 1").groupBy("snapshot_id").agg(F.sum("k").alias("cyc"))
     ec = e.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("ec"))
     ent = G.entropy(G.fans(n, S.edges(s, d)), "snapshot_id", "fan_in")
-    x = v.join(ds, "snapshot_id").join(big, "snapshot_id").join(ent, "snapshot_id").join(cyc, "snapshot_id", "left").join(ec, "snapshot_id", "left").fillna(0, ["cyc", "ec"])
+    x = ds.join(big, "snapshot_id").join(ent, "snapshot_id").join(cyc, "snapshot_id", "left").join(ec, "snapshot_id", "left").fillna(0, ["cyc", "ec"])
     a, c, y = F.least(F.lit(1.0), F.col("ec") / F.col("v") / 5), 1 - F.col("largest") / F.col("v"), F.col("cyc") / F.col("v")
     total = (a + F.col("entropy") + c + y + F.col("ds")) * 0.2
     level = F.when(total > 0.75, "HIGHLY_COMPLEX").when(total > 0.5, "COMPLEX").when(total > 0.25, "MODERATE").otherwise("SIMPLE")
@@ -295,8 +305,8 @@ r AS (SELECT region, v AS node_count, coalesce(ec, 0) AS edge_count, CASE WHEN v
 SELECT region, node_count, edge_count, round(x, 4) AS density, CASE WHEN x < 0.1 THEN 'isolated' WHEN x < 0.3 THEN 'weak' ELSE 'well-connected' END AS kind FROM r""",
 )
 def regions(s, d):
-    e = S.known_edges(s, d)
-    wc = G.weak_components(S.nodes(s, d), e).withColumnRenamed("component", "region")
+    n, e = _graph(s, d)
+    wc = G.weak_components(n, e, "snapshot_id").withColumnRenamed("component", "region")
     c = e.join(wc.withColumnRenamed("id", "src"), "src").groupBy("region").agg(F.count(F.lit(1)).alias("edge_count"))
     x = G.density(F.col("node_count"), F.col("edge_count"))
     return wc.groupBy("region").agg(F.count(F.lit(1)).alias("node_count")).join(c, "region", "left").fillna(0, ["edge_count"]).select("region", "node_count", "edge_count", F.round(x, 4).alias("density"), steps(x, (0.3, "well-connected"), (0.1, "weak"), other="isolated").alias("kind"))
@@ -312,12 +322,14 @@ SELECT c.snapshot_id, c.changed, h.affected, CASE WHEN h.affected > 0.5 * t.v TH
 def impact(s, d):
     from lodegraph.operators.snapshot_diff import consecutive
 
-    n = S.nodes(s, d)
+    n, e = _graph(s, d)
     files = n.where("node_type = 'FILE'")
     pairs = consecutive(load(s, d, "snapshots")).where("base_id IS NOT NULL").select("snapshot_id", "base_id")
     old = files.select(F.col("snapshot_id").alias("base_id"), "file_path", F.col("file_hash").alias("h"), F.lit(1).alias("had"))
     changed = files.join(pairs, "snapshot_id").join(old, ["base_id", "file_path"], "left").where(F.col("had").isNull() | ~F.col("h").eqNullSafe(F.col("file_hash"))).select("snapshot_id", "id").distinct()
-    hit = G.bfs(S.known_edges(s, d), changed.select(F.col("id").alias("seed")), 1000, "reverse").select(F.col("node").alias("id")).distinct().join(n.select("id", "snapshot_id"), "id")
+    changed = materialize(changed, "changed")
+    starts = changed.select("snapshot_id", F.col("snapshot_id").alias("seed"), F.col("id").alias("node"))  # one walk a snapshot, from all its changes
+    hit = G.bfs(e, starts, None, "reverse", "snapshot_id").select(F.col("seed").alias("snapshot_id"), "node")
     v = n.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("v"))
     x = changed.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("changed")).join(hit.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("affected")), "snapshot_id").join(v, "snapshot_id")
     return x.select("snapshot_id", "changed", "affected", F.when(F.col("affected") > F.col("v") * 0.5, "full").otherwise("partial").alias("scope"))

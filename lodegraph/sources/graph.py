@@ -22,9 +22,9 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("id", "snapshot_id", F.col("source_node_id").alias("src"), F.col("target_node_id").alias("dst"), "edge_type").agg(F.max("weight").alias("weight"))
 
 
-def known_edges(spark: SparkSession, d: str) -> DataFrame:
-    """The edges both of whose ends are nodes of their snapshot."""
-    n = nodes(spark, d).select("id", "snapshot_id")
+def known_edges(spark: SparkSession, d: str, known: DataFrame | None = None) -> DataFrame:
+    """The edges both of whose ends are nodes (``known``, else those of the folder) of their snapshot."""
+    n = (nodes(spark, d) if known is None else known).select("id", "snapshot_id")
     e = edges(spark, d)
     e = e.join(n.withColumnRenamed("id", "src"), ["src", "snapshot_id"], "left_semi")
     return e.join(n.withColumnRenamed("id", "dst"), ["dst", "snapshot_id"], "left_semi").select("id", "snapshot_id", "src", "dst", "edge_type", "weight")

@@ -96,7 +96,7 @@ def test_components_by_task_and_by_joins(spark):
     nodes = spark.createDataFrame([(c,) for c in "abcdefxz"], "id string")
     want = {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "f": "f", "x": "x", "z": "z"}
     e = edges(spark, pairs)
-    for args in ({}, {"by": "snapshot_id"}, {"by": "snapshot_id", "max_group": 2}):
+    for args in ({}, {"max_group": 2}, {"by": "snapshot_id"}, {"by": "snapshot_id", "max_group": 2}):
         assert {r.id: r.component for r in graph.strong_components(nodes, e, **args).collect()} == want
     assert {r.id: r.component for r in graph.weak_components(nodes, e).collect()} == {**dict.fromkeys("abcdef", "a"), "x": "x", "z": "z"}
 
@@ -119,7 +119,8 @@ def test_weak_components_of_long_chains(spark):
     chains = [ids[:700], ids[700:]]
     e = edges(spark, [(a, b) if rnd.random() < 0.5 else (b, a) for c in chains for a, b in zip(c, c[1:])])
     nodes = spark.createDataFrame([(x,) for x in ids], "id string")
-    assert {r.id: r.component for r in graph.weak_components(nodes, e).collect()} == {x: min(c) for c in chains for x in c}
+    for most in (200_000, 100):
+        assert {r.id: r.component for r in graph.weak_components(nodes, e, max_group=most).collect()} == {x: min(c) for c in chains for x in c}
 
 
 def test_strong_components_by_joins_of_long_chains(spark):
@@ -131,6 +132,67 @@ def test_strong_components_by_joins_of_long_chains(spark):
     assert got == {x: x[:3] + "a" if x[0] == "r" else x for p in pairs for x in p}
 
 
+def brute_facts(nodes, pairs):
+    out = {v: {b for a, b in pairs if a == v} for v in nodes}
+    reach = {}
+    for v in nodes:
+        seen, todo = set(), list(out[v])
+        while todo:
+            w = todo.pop()
+            if w not in seen:
+                seen.add(w)
+                todo += out[w]
+        reach[v] = seen
+    comp = {v: min([v, *(w for w in reach[v] if v in reach[w])]) for v in nodes}
+    dag = {(comp[a], comp[b]) for a, b in pairs if comp[a] != comp[b]}
+
+    def longest(v, links):
+        return max([0, *(1 + longest(b, links) for a, b in links if a == v)])
+
+    behind = {w for v in nodes if v in reach[v] for w in {v} | reach[v]}
+    back = {(b, a) for a, b in pairs}
+    around = dict(zip(nodes, nodes))
+    for _ in nodes:
+        for a, b in pairs:
+            around[a] = around[b] = min(around[a], around[b])
+    return {v: (comp[v], around[v], longest(comp[v], dag) + 1, None if v in behind else longest(v, back), len(reach[v])) for v in nodes}
+
+
+def test_facts_by_task_and_by_joins_agree_with_brute_force(spark):
+    rnd = random.Random(8)
+    names = [f"v{i:02d}" for i in range(26)]
+    for size, split in ((30, 13),):
+        pairs = [(a, b) for a, b in ((rnd.choice(names), rnd.choice(names)) for _ in range(size)) if (a < names[split - 1]) == (b < names[split - 1])]
+        pairs += [("v00", "v01"), ("v01", "v02"), ("v02", "v03"), ("v03", "v03")]
+        want = brute_facts(names, set(pairs))
+        e = spark.createDataFrame([(a, b, str(a < names[split - 1])) for a, b in pairs], "src string, dst string, snapshot_id string")
+        nodes = spark.createDataFrame([(x,) for x in names], "id string")
+        for args in ((None, 10_000), ("snapshot_id", 10_000), ("snapshot_id", 8), (None, 1)):
+            got = graph.graph_facts(nodes, e, args[0], max_group=args[1]).collect()
+            assert {r.id: (r.component, r.weak, r.depth, r.level, r.reach) for r in got} == want
+    assert graph.graph_facts(nodes.limit(0), e.limit(0)).count() == 0
+
+
+def test_chain_of_10000_and_ring_of_1000(spark):
+    pairs = [(f"c{i:05d}", f"c{i + 1:05d}") for i in range(9_999)] + [(f"r{i:03d}", f"r{(i + 1) % 1000:03d}") for i in range(1000)]
+    nodes = spark.createDataFrame([(x,) for x in sorted({x for p in pairs for x in p})], "id string")
+    for rows in (200_000, 100):
+        got = {r.id: r for r in graph.graph_facts(nodes, edges(spark, pairs), None, ("component", "depth"), rows).collect()}
+        assert got["c00000"].depth == 10_000 and got["c09999"].depth == 1 and got["c05000"].component == "c05000"
+        assert {got[f"r{i:03d}"].component for i in range(1000)} == {"r000"} and got["r500"].depth == 1
+
+
+def test_walks_by_task_and_by_joins(spark):
+    rnd = random.Random(5)
+    rows = [(f"{g}{rnd.randrange(9)}", f"{g}{rnd.randrange(9)}", g) for g in "abc" for _ in range(14)]
+    e = spark.createDataFrame(rows, "src string, dst string, snapshot_id string")
+    seeds = spark.createDataFrame([("a", "a", "a0"), ("a", "a", "a1"), ("b", "x", "b3"), ("c", None, "c1")], "snapshot_id string, seed string, node string")
+    for depth, way in ((2, "forward"), (None, "reverse"), (1, "both")):
+        want = {tuple(r) for r in graph.bfs(e, seeds, depth, way).collect()}
+        for most in (1000, 15, 1):
+            assert {tuple(r) for r in graph.bfs(e, seeds, depth, way, "snapshot_id", most).collect()} == want
+
+
 def test_greedy_takes_late_and_free_rows(spark):
     items = spark.range(100_010).selectExpr("'k' AS g", "CAST(id AS int) AS i", "CASE WHEN id = 0 THEN 7 WHEN id = 100005 THEN 2 WHEN id = 100007 THEN 0 WHEN id = 100008 THEN 1 ELSE 4 END AS c")
     assert sorted(r.i for r in relational.greedy(items, ["g"], [items.i], "c", 10).collect()) == [0, 100_005, 100_007, 100_008]
