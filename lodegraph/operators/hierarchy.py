@@ -19,14 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.runtime import hot_keys, join_unique, latest, materialize, release
+from lodegraph.runtime import hot_keys, join_unique, latest, materialize, release, ship
 
 STATE = "id string, nxt string, hops bigint, top string, low string, cyc string"
-#: Rows of one fragment: what one task holds in memory (some 300 bytes a row without paths).
+#: Rows of one fragment at most: what one task holds in memory (some 300 bytes a row without paths).
 FRAGMENT_ROWS = 200_000
+#: Smaller forests than this many rows a core aren't spread any further.
+LEAST_ROWS = 5_000
 #: A round must leave at most this share of the forest, else pointer doubling takes over.
 SHRINK = 0.7
 
@@ -78,8 +80,13 @@ def _follow(pdf: pd.DataFrame, paths: bool) -> pd.DataFrame:
 def _contract(states: DataFrame, fragments: int, salt: int, locality: list[str], paths: bool) -> DataFrame:
     schema = STATE + (", path array<string>" if paths else "")
     cols = [c.split()[0] for c in schema.split(", ")]
-    by = locality or [F.xxhash64(F.lit(salt), "id")]
-    placed = states.coalesce(1) if fragments <= 1 else states.repartition(fragments, *by)
+    if fragments <= 1:
+        placed = states.coalesce(1)
+    elif locality:
+        placed = states.repartition(fragments, *locality, *_spread(states, locality))
+    else:
+        placed = states.repartition(fragments, F.xxhash64(F.lit(salt), "id"))
+    ship(states.sparkSession)
 
     def fragment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b[cols] for b in batches]
@@ -91,6 +98,15 @@ def _contract(states: DataFrame, fragments: int, salt: int, locality: list[str],
     return placed.mapInPandas(fragment, schema)
 
 
+def _spread(states: DataFrame, locality: list[str]) -> list[Column]:
+    """A further key for values of ``locality`` with more rows than a fragment holds: those spread over pieces by id."""
+    large = {r[0]: r[1] for r in states.groupBy(F.to_json(F.struct(*locality)).alias("k")).count().where(F.col("count") > FRAGMENT_ROWS).toLocalIterator()}
+    if not large:
+        return []
+    pieces = F.create_map(*[F.lit(x) for k, n in large.items() for x in (k, -(-n // FRAGMENT_ROWS))])
+    return [F.pmod(F.xxhash64("id"), F.coalesce(pieces[F.to_json(F.struct(*locality))], F.lit(1)))]
+
+
 def _compose(left: DataFrame, solved: DataFrame, paths: bool, hot: DataFrame | None) -> DataFrame:
     """Continues each node's way by the answer for its exit; an exit without an answer doesn't exist."""
     r = solved.select(F.col("id").alias("nxt"), F.col("nxt").alias("r_nxt"), F.col("hops").alias("r_hops"), F.col("top").alias("r_top"), F.col("low").alias("r_low"), F.col("cyc").alias("r_cyc"), *([F.col("path").alias("r_path")] if paths else []), F.lit(True).alias("r_there"))
@@ -133,6 +149,8 @@ def _double(states: DataFrame, paths: bool) -> DataFrame:
 def _solve(states: DataFrame, fragment_rows: int, locality: list[str], paths: bool, level: int = 0) -> DataFrame:
     n = states.count()
     fragments = max(1, -(-n // fragment_rows))
+    if not level:  # all cores take part in the first round
+        fragments = max(fragments, min(states.sparkSession.sparkContext.defaultParallelism, n // LEAST_ROWS))
     part = materialize(_contract(states, fragments, level, locality, paths), f"fragments{level}")
     left = part.where(F.col("nxt").isNotNull())
     exits = left.select(F.col("nxt").alias("id")).distinct()

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.runtime import materialize, release, union_all
 
-SCHEMA = "table_name string, row_id string, field_name string, month string, level int"
+SCHEMA = "table_name string, row_id string, field_name string, _by string, month string, level int"
 
 
 @dataclass(frozen=True)
@@ -37,25 +37,28 @@ GRAPH_KEYS = (
 )
 
 
-def orphan_references(tables: dict[str, DataFrame], keys: tuple[ForeignKey, ...] = GRAPH_KEYS, id_column: str = "id", period: str = "created_at", max_rounds: int = 64) -> DataFrame:
+def orphan_references(tables: dict[str, DataFrame], keys: tuple[ForeignKey, ...] = GRAPH_KEYS, id_column: str = "id", period: str = "created_at") -> DataFrame:
     """(table_name, row_id, field_name, month, level): level 0 is direct, n inherited over n steps.
 
     References that are null or empty are no cases.  A repeated row counts once,
     with its earliest month; a null period gives a null month.  An uncounted key
-    finds no direct orphans but passes orphanhood on.  Tables may be empty and
-    may have other columns of any name.
+    finds no direct orphans but passes orphanhood on.  An orphan is the row, not
+    its id alone: a reference inherits only from a row that it names by all its
+    columns.  Tables may be empty and may have other columns of any name.  The
+    cascade ends when a round adds nothing, however long it is.
     """
-    found, seen, level = [], None, 0
     refs = {}
     for i, k in enumerate(keys):
         child = tables[k.child]
         cols = [F.col(id_column).cast("string").alias("row_id"), F.col(k.field).cast("string").alias("k0"), *[F.col(c).cast("string").alias(f"k{j}") for j, (c, _) in enumerate(k.also, 1)]]
-        refs[i] = child.where(F.col(k.field).isNotNull() & (F.col(k.field) != "")).select(*cols, F.date_format(F.col(period), "yyyy-MM").alias("month"))
+        # what others may name this row by, beside its id
+        named = sorted({c for q in keys if q.parent == k.child for c in (q.key, *(p for _, p in q.also))})
+        refs[i] = child.where(F.col(k.field).isNotNull() & (F.col(k.field) != "")).select(*cols, F.date_format(F.col(period), "yyyy-MM").alias("month"), _named(named))
     direct = []
     for i, k in enumerate(keys):
         if not k.counted:
             continue
-        names = ["k0", *[f"k{j}" for j in range(1, len(k.also) + 1)]]
+        names = _names(k)
         # each distinct reference is looked up once: counting first keeps hubs out of the join
         distinct = refs[i].groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
         have = tables[k.parent].select(F.col(k.key).cast("string").alias("k0"), *[F.col(p).cast("string").alias(f"k{j}") for j, (_, p) in enumerate(k.also, 1)])
@@ -66,30 +69,40 @@ def orphan_references(tables: dict[str, DataFrame], keys: tuple[ForeignKey, ...]
             same = c if same is None else same & c
         rows = refs[i].alias("r").join(missing.drop("n").alias("m"), same, "left_semi")
         direct.append(_cases(rows, k, 0))
-    found.append(materialize(_once(union_all(direct)) if direct else tables[keys[0].child].sparkSession.createDataFrame([], SCHEMA), "orphans"))
-    seen = found[0]
-    fresh = found[0]
-    while level < max_rounds:
+    found = [materialize(_once(union_all(direct)) if direct else tables[keys[0].child].sparkSession.createDataFrame([], SCHEMA), "orphans")]
+    fresh, level = found[0], 0
+    while True:
         level += 1
         new = []
         for i, k in enumerate(keys):
-            bad = fresh.where(F.col("table_name") == k.parent).select(F.col("row_id").alias("k0")).distinct()
-            new.append(_cases(refs[i].join(bad, "k0", "left_semi"), k, level))
-        found_now = materialize(_once(union_all(new)).join(seen.select("table_name", "row_id", "field_name"), ["table_name", "row_id", "field_name"], "left_anti"), "orphans")
+            bad = fresh.where(F.col("table_name") == k.parent).select(*[F.get_json_object("_by", f"$['{p}']").alias(n) for n, p in zip(_names(k), (k.key, *(p for _, p in k.also)))]).distinct()
+            new.append(_cases(refs[i].join(bad, _names(k), "left_semi"), k, level))
+        found_now = materialize(_once(union_all(new)).join(union_all(found).select("table_name", "row_id", "field_name", "_by"), ["table_name", "row_id", "field_name", "_by"], "left_anti"), "orphans")
         if found_now.isEmpty():
             release(found_now)
             break
         found.append(found_now)
-        seen, fresh = union_all(found), found_now
-    return union_all(found)
+        fresh = found_now
+        if len(found) > 20:  # a long cascade keeps its plans short
+            found = [materialize(union_all(found), "orphans")]
+    return union_all(found).groupBy("table_name", "row_id", "field_name").agg(F.min("month").alias("month"), F.min("level").alias("level"))
+
+
+def _names(k: ForeignKey) -> list[str]:
+    return ["k0", *[f"k{j}" for j in range(1, len(k.also) + 1)]]
+
+
+def _named(columns: list[str]) -> Column:
+    """A struct of the columns by which other tables may name a row; one that none names has an empty one."""
+    return F.struct(*([F.col(c).cast("string").alias(c) for c in columns] or [F.lit(None).cast("string").alias("_")])).alias("_n")
 
 
 def _cases(rows: DataFrame, k: ForeignKey, level: int) -> DataFrame:
-    return rows.select(F.lit(k.child).alias("table_name"), "row_id", F.lit(k.field).alias("field_name"), "month", F.lit(level).alias("level"))
+    return rows.select(F.lit(k.child).alias("table_name"), "row_id", F.lit(k.field).alias("field_name"), "month", F.to_json("_n").alias("_by"), F.lit(level).alias("level"))
 
 
 def _once(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("table_name", "row_id", "field_name").agg(F.min("month").alias("month"), F.min("level").alias("level"))
+    return rows.groupBy("table_name", "row_id", "field_name", "_by").agg(F.min("month").alias("month"), F.min("level").alias("level"))
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

@@ -38,17 +38,27 @@ def consecutive(snapshots: DataFrame, complete: tuple[str, ...] = COMPLETE) -> D
     return rows.select(F.col("id").alias("snapshot_id"), before.alias("base_id"), "project_id", "version_no")
 
 
-def file_states(nodes: DataFrame) -> DataFrame:
+def file_states(nodes: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(snapshot_id, file_path, file_hash) of FILE nodes: last delivery of each node id, one spelling of paths and hashes.
 
-    Two nodes of one path in one snapshot leave the greatest hash.
+    Two nodes of one path in one snapshot leave the greatest hash.  ``wanted``
+    (snapshot_id) narrows the result to some snapshots, after the last delivery
+    is chosen: an id corrected into another snapshot counts there only.
     """
     rows = latest(nodes, "id", "created_at", "snapshot_id", "file_path", "file_hash", "node_type")
-    return (
-        rows.where((F.col("node_type") == "FILE") & F.col("snapshot_id").isNotNull() & F.col("file_path").isNotNull())
-        .groupBy("snapshot_id", relative_path(F.col("file_path")).alias("file_path"))
-        .agg(F.max(F.lower("file_hash")).alias("file_hash"))
-    )
+    rows = rows.where((F.col("node_type") == "FILE") & F.col("snapshot_id").isNotNull() & F.col("file_path").isNotNull())
+    if wanted is not None:
+        rows = rows.join(wanted.select("snapshot_id"), "snapshot_id", "left_semi")
+    return rows.groupBy("snapshot_id", relative_path(F.col("file_path")).alias("file_path")).agg(F.max(F.lower("file_hash")).alias("file_hash"))
+
+
+def tree_shape(states: DataFrame, fan: int = 16, leaf_rows: int = 64) -> dict[str, int]:
+    """Fan and depth of the tree at which a leaf of the average snapshot holds some ``leaf_rows`` rows."""
+    n, snaps = states.agg(F.count(F.lit(1)), F.approx_count_distinct("snapshot_id")).first()
+    depth, leaves = 1, fan
+    while snaps and leaves * leaf_rows < n / snaps and depth < 6:
+        depth, leaves = depth + 1, leaves * fan
+    return {"fan": fan, "depth": depth}
 
 
 def merkle_diff(states: DataFrame, pairs: DataFrame, fan: int = 16, depth: int = 2) -> DataFrame:
@@ -98,12 +108,8 @@ def merkle_diff(states: DataFrame, pairs: DataFrame, fan: int = 16, depth: int =
 def snapshot_changes(nodes: DataFrame, snapshots: DataFrame, **tree: int) -> DataFrame:
     """Changes of file paths of each complete snapshot against the complete one before."""
     pairs = materialize(consecutive(snapshots), "pairs")
-    states = materialize(file_states(nodes.join(_sides(pairs), "snapshot_id", "left_semi")), "states")
-    return merkle_diff(states, pairs, **tree)
-
-
-def _sides(pairs: DataFrame) -> DataFrame:
-    return pairs.select("snapshot_id")
+    states = materialize(file_states(nodes, pairs), "states")
+    return merkle_diff(states, pairs, **(tree or tree_shape(states)))
 
 
 def change_counts(changes: DataFrame, states: DataFrame, pairs: DataFrame) -> DataFrame:

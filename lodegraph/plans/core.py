@@ -15,8 +15,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     pairs = materialize(snapshot_diff.consecutive(load(spark, d, "snapshots")), "pairs")
-    states = materialize(snapshot_diff.file_states(load(spark, d, "nodes").join(pairs.select("snapshot_id"), "snapshot_id", "left_semi")), "states")
-    counts = snapshot_diff.change_counts(snapshot_diff.merkle_diff(states, pairs), states, pairs)
+    states = materialize(snapshot_diff.file_states(load(spark, d, "nodes"), pairs), "states")
+    counts = snapshot_diff.change_counts(snapshot_diff.merkle_diff(states, pairs, **snapshot_diff.tree_shape(states)), states, pairs)
     return snapshot_diff.check_records(counts, load(spark, d, "snapshot_diffs"))
 
 

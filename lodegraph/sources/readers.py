@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.functions.scalars import entry_depth, extension, file_class, path_status, relevance
+from lodegraph.runtime import ship
 
 #: What a folder scan leaves out.
 IGNORED_FOLDERS = ("node_modules", ".git", "dist", "build", "coverage", ".next", ".cache", "__pycache__", "venv", ".venv", "target")
@@ -25,6 +26,7 @@ def archive_entries(spark: SparkSession, path: str, max_files: int = 50_000, max
     entries carry content.  Limits count per archive in entry order, entries
     that are refused don't count.  An unreadable archive gives one CORRUPT row.
     """
+    ship(spark)
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -87,6 +87,22 @@ def test_orphans_direct_and_inherited(spark):
     assert orphans.orphan_report(orphans.orphan_references(empty)).count() == 0
 
 
+def test_orphans_inherit_by_all_columns_and_any_depth(spark):
+    keys = (orphans.ForeignKey("rows", "up", "rows", also=(("snap", "snap"),)),)
+    chain = [(f"r{i}", "s", f"r{i - 1}" if i else "gone", None) for i in range(8)]
+    other = [("r0", "t", None, None), ("x", "t", "r0", None)]  # its parent exists in its own snapshot
+    t = {"rows": spark.createDataFrame(chain + other, "id string, snap string, up string, created_at timestamp")}
+    got = {(r.row_id, r.level) for r in orphans.orphan_references(t, keys).collect()}
+    assert got == {(f"r{i}", i) for i in range(8)}
+
+
+def test_last_delivery_into_another_snapshot(spark):
+    snaps = spark.createDataFrame([("s1", "p", 1, "ACTIVE"), ("s2", "p", 2, "FAILED"), ("s3", "p", 3, "ACTIVE")], "id string, project_id string, version_no long, status string")
+    rows = [("1", "s1", "a", "x", "FILE", 1), ("2", "s3", "a", "x", "FILE", 1), ("3", "s3", "b", "x", "FILE", 1), ("3", "s2", "b", "x", "FILE", 2)]
+    nodes = spark.createDataFrame(rows, "id string, snapshot_id string, file_path string, file_hash string, node_type string, created_at long")
+    assert snapshot_diff.snapshot_changes(nodes, snaps).count() == 0
+
+
 def edges(spark, pairs):
     return spark.createDataFrame([(a, b, "g") for a, b in pairs], "src string, dst string, snapshot_id string")
 
