@@ -226,6 +226,33 @@ def test_personal_data_and_surrogates(spark):
     assert text.split("\n")[-1].count(names["Pavel Tostridge"]) == 2
 
 
+def test_surrogates_keep_persons_scripts_and_genders(spark):
+    names = ["Pavel Tostridge", "P. Tostridge", "Tostridge, Pavel", "PAVEL TOSTRIDGE", "Q. Tostridge", "Иван Петров", "И. Петров", "Ελένη Παππά", "Luca Müller-Brandt", "Carmen van der Berg"]
+    rows = [("person_name", n) for n in names] + [("person_name", f"{a} {b}") for a in ("Anna", "Jan", "Otto") for b in ("Kern", "Wolf")]
+    rows += [("phone", "+44 20 7946 0154"), ("phone", "+44-20-7946-0154"), ("email", "a@b.example"), ("email", "A@b.example"), *[("id_number", f"{i:02d}") for i in range(60)]]
+    found = spark.createDataFrame(rows, "pii_type string, value string")
+    got = {(r.pii_type, r.value): r.replacement for r in pii.assign_surrogates(found, "k").collect()}
+    who = {v: r for (k, v), r in got.items() if k == "person_name"}
+    first, last = who["Pavel Tostridge"].split()
+    assert who["P. Tostridge"] == f"{first[0]}. {last}" and who["Tostridge, Pavel"] == f"{last}, {first}" and who["PAVEL TOSTRIDGE"] == f"{first} {last}".upper()
+    assert who["Q. Tostridge"].endswith(" " + last) and who["Q. Tostridge"][0] != first[0]
+    assert pii.script(who["Иван Петров"].lower()) == "cyrillic" and pii.script(who["Ελένη Παππά"].lower()) == "greek" and who["И. Петров"].split()[1] == who["Иван Петров"].split()[1]
+    assert who["Luca Müller-Brandt"].count("-") == 1 and " van der " in who["Carmen van der Berg"]
+    assert pii.gender("Luca") == "m" == pii.gender("Joshua") and pii.gender("Carmen") == "f"
+    real = {w.casefold() for n in names for w in n.replace(",", "").split()}
+    assert not {w.casefold() for r in who.values() for w in r.replace(",", "").split() if len(w) > 3} & real
+    ids = {v: r for (k, v), r in got.items() if k == "id_number"}
+    assert len(set(ids.values())) == 60 and not set(ids) & set(ids.values())
+    assert len({pii.normal_form("phone", r) for (k, _), r in got.items() if k == "phone"}) == 1 == len({r for (k, _), r in got.items() if k == "email"})
+
+
+def test_names_written_small_in_spelled_out_addresses(spark):
+    small = "The export went to ines dot marta at cobalt dot example by mistake."
+    docs = spark.createDataFrame([(1, "Reviewed by Ines Thormesque.\nGruß, Quennelli, Ines"), (2, "Ask Ines Wintosky.\nAnschrift: Am Steinbruch 13a in Tarnwick"), *[(10 + i, small) for i in range(40)]], "doc_id long, text string")
+    got = {tuple(r) for r in pii.mention_lines(pii.find_personal_data(docs)).collect()}
+    assert {(1, 1, "person_name"), (1, 2, "person_name"), (2, 1, "person_name"), (2, 2, "address"), (10, 1, "email")} <= got
+
+
 def test_provenance(spark):
     code = "import a from './a.js';\n\nexport function scan{n}(rows) {{\n  const out = [];\n  for (const row of rows) {{\n    if (row.size > {n}1) out.push(row.total / {n}3);\n  }}\n  return out;\n}}\n"
     up = "\n".join(f"export function fold{w}(x, y) {{ return x.{w}Count + y.{w}Limit * {i}7; }}" for i, w in enumerate("alpha beta gamma delta".split(), 1))
