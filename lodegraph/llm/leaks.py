@@ -5,8 +5,10 @@ character q-grams, all on neighbouring diagonals.  Texts are reduced to their
 words, lower-cased and joined by one space.  The q-grams of a block of items
 are an index of bounded size; every document, read whole, looks its q-grams up,
 counts hits in overlapping diagonal bands and keeps the stretches that reach
-the bound.  A banded alignment (for k = 0 the comparison of the words along the
-diagonal) verifies what is left.
+the bound.  A banded alignment verifies what is left: from each run of hits on
+one diagonal it goes on to both sides, over the 2 k + 1 diagonals around it, as
+far as the edits reach.  For k = 0 the whole words inside the aligned stretch
+are counted.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.runtime import ship
+
 #: Fixed value: a word is a maximal run of letters or digits.
 WORD = re.compile(r"[^\W_]+")
 #: Characters of items that one block's index may hold; more items make more blocks, each a pass over the corpus.
@@ -92,10 +96,12 @@ def shortest(words: list[str], least_words: int) -> int:
     return int((ends[least_words - 1 :] - from_).min()) - 1
 
 
-def bands(doc: np.ndarray, pos: np.ndarray, item: np.ndarray, place: np.ndarray, length: np.ndarray, q: int, k: int) -> list[tuple[int, int, int, int, int]]:
-    """(document, item, diagonal, first, last position) of stretches whose band reaches the lemma's bound.
+def bands(doc: np.ndarray, pos: np.ndarray, item: np.ndarray, place: np.ndarray, length: np.ndarray, q: int, k: int) -> list[tuple[int, int, int, int]]:
+    """(document, item, position in the document, in the item) of one hit of each run of hits in stretches whose band reaches the lemma's bound.
 
     ``length`` is the least length of a passage, by item (0: too short an item).
+    A run is hits on one diagonal at consecutive positions: an alignment through
+    any of them goes through all.
     """
     step = k + 1
     out = []
@@ -110,50 +116,86 @@ def bands(doc: np.ndarray, pos: np.ndarray, item: np.ndarray, place: np.ndarray,
         # a window of `need` hits in one band must lie within the stretch and its edits
         inside = np.minimum(z, len(p) - 1)
         ok = (z < len(p)) & (length[i] > 0) & (d == d[inside]) & (i == i[inside]) & (b == b[inside]) & (p[inside] - p <= length[i] - q + k)
-        last: list | None = None
-        for w in np.flatnonzero(ok).tolist():
-            key = (d[w], i[w], b[w])
-            if last and last[0] == key and p[w] <= last[3]:
-                last[3] = p[z[w]]
+        first = np.flatnonzero(ok)
+        if not len(first):
+            continue
+        # hits covered by some window that reaches the bound
+        edge = np.zeros(len(p) + 1, np.int64)
+        np.add.at(edge, first, 1)
+        np.add.at(edge, z[first] + 1, -1)
+        live = np.cumsum(edge[:-1]) > 0
+        d, i, p, g = d[live], i[live], p[live], g[live]
+        order = np.lexsort((p, g, i, d))
+        d, i, p, g = d[order], i[order], p[order], g[order]
+        new = np.ones(len(p), bool)
+        new[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (g[1:] != g[:-1]) | (p[1:] != p[:-1] + 1)
+        out += zip(d[new].tolist(), i[new].tolist(), p[new].tolist(), (p[new] - g[new]).tolist())
+    return sorted(set(out))
+
+
+def same_ahead(a: np.ndarray, i: int, b: np.ndarray, j: int) -> int:
+    """How many characters from ``a[i]`` and ``b[j]`` on are equal."""
+    n, done, step = min(len(a) - i, len(b) - j), 0, 64
+    while done < n:
+        m = min(step, n - done)
+        differ = np.flatnonzero(a[i + done : i + done + m] != b[j + done : j + done + m])
+        if len(differ):
+            return done + int(differ[0])
+        done, step = done + m, step * 4
+    return n
+
+
+def reach(a: np.ndarray, b: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """For 0 to ``k`` edits how far ``a`` and ``b`` go together from their beginnings: (characters of a, of b), the most of both.
+
+    A banded alignment: per number of edits the furthest point on each of the
+    2 k + 1 diagonals, each from those of one edit less.
+    """
+    best: list[tuple[int, int]] = []
+    far: dict[int, int] = {}
+    for e in range(k + 1):
+        nxt: dict[int, int] = {}
+        for d in range(-e, e + 1):
+            if not e:
+                i = 0
+            else:
+                i = max(far.get(d, -1) + 1 if d in far else -1, far[d - 1] if d - 1 in far else -1, far[d + 1] + 1 if d + 1 in far else -1)
+            if i < 0:
                 continue
-            if last:
-                out.append((*map(int, (last[0][0], last[0][1], *last[1:])),))
-            last = [key, g[w], p[w], p[z[w]]]
-        if last:
-            out.append((*map(int, (last[0][0], last[0][1], *last[1:])),))
-    return out
+            i = min(i, len(a))
+            j = i + d
+            if j < 0:
+                continue
+            if j > len(b):
+                i, j = len(b) - d, len(b)
+                if i < 0:
+                    continue
+            nxt[d] = i + same_ahead(a, i, b, j)
+        far = nxt
+        top = max(((i, i + d) for d, i in far.items()), key=sum)
+        best.append(max(top, best[-1], key=sum) if best else top)
+    return best
 
 
-def aligned(a: np.ndarray, b: np.ndarray, k: int) -> int:
-    """Edits to turn ``a`` into some stretch of ``b`` that begins within its first 2 k + 1 places; k + 1 if more than k."""
-    n, m = len(a), len(b)
-    left, right = a.tolist(), b.tolist()
-    row = [0 if j <= 2 * k else k + 1 for j in range(m + 1)]
-    for i in range(1, n + 1):
-        lo, hi = max(0, i - k), min(m, i + 3 * k)
-        new = [k + 1] * (m + 1)
-        if lo == 0:
-            new[0] = min(i, k + 1)
-        c = left[i - 1]
-        for j in range(max(1, lo), hi + 1):
-            new[j] = min(row[j - 1] + (c != right[j - 1]), row[j] + 1, new[j - 1] + 1, k + 1)
-        row = new
-        if min(row[lo : hi + 1], default=k + 1) > k:
-            return k + 1
-    return min(row)
-
-
-def common_words(dw: list[str], iw: list[str], d: int, i: int) -> int:
-    """Length in words of the equal run through document word ``d`` and item word ``i``; 0 if they differ."""
-    if dw[d] != iw[i]:
-        return 0
-    lo = 0
-    while d - lo > 0 and i - lo > 0 and dw[d - lo - 1] == iw[i - lo - 1]:
-        lo += 1
-    hi = 0
-    while d + hi + 1 < len(dw) and i + hi + 1 < len(iw) and dw[d + hi + 1] == iw[i + hi + 1]:
-        hi += 1
-    return lo + hi + 1
+def stretch(text: np.ndarray, pos: int, item: np.ndarray, place: int, q: int, k: int, size: int) -> tuple[int, int, int, int, int] | None:
+    """(start, end, item start, item end, edits) of the stretch through a hit that is as long as ``size`` in the item, with the fewest edits.
+
+    Of stretches with equally few edits the longest; None if ``k`` don't do.
+    """
+    left = reach(item[:place][::-1], text[:pos][::-1], k)
+    right = reach(item[place + q :], text[pos + q :], k)
+    for e in range(k + 1):
+        found = max((left[x][0] + right[e - x][0], x) for x in range(e + 1))
+        if found[0] + q >= size:
+            x = found[1]
+            return pos - left[x][1], pos + q + right[e - x][1], place - left[x][0], place + q + right[e - x][0], e
+    return None
+
+
+def whole_words(starts: np.ndarray, size: int, a: int, b: int) -> tuple[int, int]:
+    """(first, behind last) of the words that lie inside characters a to b of a text of ``size`` characters."""
+    ends = np.append(starts[1:] - 1, size)
+    return int(np.searchsorted(starts, a, "left")), int(np.searchsorted(ends, b, "right"))
 
 
 def _scan(index: Index, texts: list[str], least_words: int, q: int, k: int) -> list[tuple[int, object, int, int, int]]:
@@ -173,39 +215,36 @@ def _scan(index: Index, texts: list[str], least_words: int, q: int, k: int) -> l
     starts = np.array(at)
     doc = np.searchsorted(starts, pos, "right") - 1
     out, seen, word_starts = [], set(), {}
-    for d, it, diag, first, last in bands(doc, pos, item, place, index.length, q, k):
-        base = int(starts[d])
-        first, last, diag = first - base, last - base, diag - base
+    for d, it, p, place in bands(doc, pos, item, place, index.length, q, k):
+        base, size = int(starts[d]), len(joined[d])
+        if p + q > base + size:
+            continue  # a gram across two texts
+        text, other = codes[base : base + size], index.codes[it]
+        found = stretch(text, p - base, other, place, q, k, int(index.length[it]))
+        if not found:
+            continue
+        a, z, ia, iz, edits = found
         if d not in word_starts:
             word_starts[d] = _starts(words[d])
-        ws, iw = word_starts[d], index.words[it]
-        if k == 0:
-            # words along the diagonal, from each word that starts inside the stretch
-            wd = int(np.searchsorted(ws, first, "right")) - 1
-            end = int(np.searchsorted(ws, last + q, "right"))
-            while wd < end:
-                ip = int(ws[wd]) - diag
-                wi = int(np.searchsorted(index.starts[it], ip, "left"))
-                if 0 <= ip and wi < len(iw) and index.starts[it][wi] == ip:
-                    run = common_words(words[d], iw, wd, wi)
-                    if run >= least_words:
-                        back = 0
-                        while wd - back > 0 and wi - back > 0 and words[d][wd - back - 1] == iw[wi - back - 1]:
-                            back += 1
-                        if (d, it, wd - back) not in seen:
-                            seen.add((d, it, wd - back))
-                            out.append((d, index.ids[it], wd - back, run, 0))
-                        wd += run - back
-                        continue
-                wd += 1
+        ws = word_starts[d]
+        if k:
+            first, run = int(np.searchsorted(ws, a, "right")) - 1, z - a
         else:
-            size = int(index.length[it])
-            a = codes[base + first : base + first + size]
-            lo_i = max(0, first - diag - k)
-            best = aligned(a, index.codes[it][lo_i : lo_i + size + 3 * k], k) if len(a) == size and 10 not in a else k + 1
-            if best <= k and (d, it, first) not in seen:
-                seen.add((d, it, first))
-                out.append((d, index.ids[it], int(np.searchsorted(ws, first, "right")) - 1, len(a), best))
+            # words whole in both texts: the same characters, so their bounds differ at the stretch's ends only
+            first, behind = whole_words(ws, size, a, z)
+            i_first, i_behind = whole_words(index.starts[it], len(other), ia, iz)
+            shift = place - (p - base)
+            while first < behind and (i_first >= i_behind or index.starts[it][i_first] != ws[first] + shift):
+                if i_first < i_behind and index.starts[it][i_first] < ws[first] + shift:
+                    i_first += 1
+                else:
+                    first += 1
+            run = min(behind - first, i_behind - i_first)
+            if run < least_words:
+                continue
+        if (d, it, first) not in seen:
+            seen.add((d, it, first))
+            out.append((d, index.ids[it], first, run, edits))
     return out
 
 
@@ -213,15 +252,17 @@ def leaked_passages(documents: DataFrame, items: DataFrame, key: str = "doc_id",
     """(key, item_key, first_word, run_length, edits): passages of items inside documents.
 
     With ``max_edits`` 0 a passage is a run of at least ``least_words`` equal
-    words and ``run_length`` counts words.  Otherwise it is a stretch as long as
-    the item's shortest run of so many words, within so many edits, and
-    ``run_length`` counts characters.  Null and empty texts hold and leak
+    words and ``run_length`` counts words.  Otherwise it is a stretch of the
+    document within so many edits (characters put in, left out or replaced) of a
+    stretch of the item that is at least as long as the item's shortest run of
+    so many words; ``run_length`` counts its characters.  Null and empty texts hold and leak
     nothing; an item given twice counts once; items of more than
     ``block_chars`` characters in all are taken in blocks, every document
     against every block.  ``q`` follows from the shortest passage that counts,
     so that the lemma's bound stays well above 0.
     """
     spark = documents.sparkSession
+    ship(spark)
     kinds = dict(documents.dtypes)[key], dict(items.dtypes)[item_key]
     listed = items.where(F.col(item_text).isNotNull()).select(item_key, item_text).distinct()
     size = listed.agg(F.sum(F.length(item_text))).first()[0] or 0

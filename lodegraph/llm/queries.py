@@ -68,6 +68,11 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leak_report(leaks.leaked_items(load(spark, d, "documents"), items), items)
 
 
+def p9_near(spark: SparkSession, d: str) -> DataFrame:
+    """As p9_found, but passages of the same length within two edits count as well."""
+    return leaks.leaked_items(load(spark, d, "documents"), load(spark, d, "eval_items"), max_edits=2)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.mention_lines(pii.find_personal_data(load(spark, d, "documents")))
 
@@ -85,7 +90,7 @@ def p10_surrogates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_ranked, p3_found, p3_labels, p4_found, p4_redacted, p4_report, p7_found, p7_rates, p8_ids, p8_decoded, p9_found, p9_items, p10_found, p10_redacted, p10_surrogates)}
+    return {f.__name__: f for f in (p1_found, p1_ranked, p3_found, p3_labels, p4_found, p4_redacted, p4_report, p7_found, p7_rates, p8_ids, p8_decoded, p9_found, p9_items, p9_near, p10_found, p10_redacted, p10_surrogates)}
 
 
 _CURRENT_SYMBOLS = """

@@ -202,6 +202,28 @@ def test_leaks_against_brute_force(spark):
     assert leaks.leaked_items(a.limit(0), b).count() == 0 == leaks.leaked_items(a, b.limit(0)).count()
 
 
+def test_leaks_with_edits(spark):
+    rnd = random.Random(11)
+    vocab = ["".join(rnd.choice("abcdefghijklmnoprstu") for _ in range(rnd.randrange(3, 9))) for _ in range(900)]
+    items = [(i, " ".join(rnd.choice(vocab) for _ in range(50))) for i in range(20)]
+    docs, planted = [], {1: set(), 2: set(), 3: set()}
+    for d in range(240):
+        k, it = d % 3 + 1, rnd.randrange(20)
+        at = rnd.randrange(36)
+        passage = list(" ".join(items[it][1].split()[at : at + 12]))
+        for _ in range(k):
+            c, how = rnd.randrange(len(passage)), rnd.randrange(3)
+            passage[c : c + 1] = ["z"] if how == 0 else [] if how == 1 and passage[c] != " " else [passage[c], "z"]
+        words = [rnd.choice(vocab) for _ in range(60)]
+        docs.append((d, " ".join([*words[:30], "".join(passage), *words[30:]])))
+        planted[k].add((d, it))
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
+    for k, want in planted.items():
+        got = {tuple(r) for r in leaks.leaked_items(a, b, max_edits=k).collect()}
+        assert len(want & got) >= 0.99 * len(want)
+        assert not {x for x in got if x not in set().union(*planted.values())}
+
+
 PERSONAL = [
     ("Contact: dario.mandanti@cobalt.example", "email"), ("write to jonas-d at cobalt dot example", "email"), ("Call +44 20 7946 0154 ext. 5211 before noon", "phone"), ("Tél. 01.99.00.50.83", "phone"),
     ("The row holds 992-66-6770, mask it", "id_number"), ("Record: passport no. Z71432669", "id_number"), ("Angabe: Steuer-ID 00 895 790 213", "id_number"), ("Ship to 13 Millrace Street, Harrowmere", "address"),
