@@ -11,15 +11,18 @@ that says little itself.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from lodegraph.runtime import hot_keys, join_unique, materialize, union_all
+from lodegraph.runtime import hot_keys, join_unique, materialize, ship, union_all
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 #: Compatibility of a child's label with its parent directory's, by (child, parent); rows in the order of LABELS.
@@ -50,10 +53,11 @@ THIRD_PARTY = re.compile(r"(?i)\(c\) the|imported|unmodified|vendored|contributo
 #: A notice that is one even between lines of code.
 NOTICE = re.compile(r"(?i)\bcopyright\s+(?:\(c\)|©|\d{4})|\(c\) the [\w -]+ authors|@licen[sc]e\b|\bvendored from\b")
 CONTAINER = re.compile(r"(?i)^(?:node_modules|bower_components|vendor|vendored|third[_-]?party|external|externals|_vendor|jspm_packages|site-packages|deps|pods)$")
+DIGIT = re.compile(r"\d")
 NUMBERED = re.compile(r"\b([A-Za-z_][A-Za-z_]*?)(\d+)([A-Za-z_]*)\b")
 TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d+(?:\.\d+)?")
 COMMENT = re.compile(r"/\*.*?\*/|(?<![:'\"\w])//[^\n]*|^\s*#[^\n]*|\s#\s[^\n]*", re.S | re.M)
-DATA = re.compile(r"[A-Za-z0-9+/=]{80,}|(?:0x[0-9a-fA-F]{2}[,\s]+){12,}|(?:-?\d+(?:\.\d+)?[,\s\[\]]+){24,}|(?:\\x[0-9a-fA-F]{2}){16,}|(?:[MLHVCSQTAZ]-?\d+(?:\.\d+)?[ ,]-?\d+(?:\.\d+)?[ ,]?){8,}")
+DATA = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/=]{80,}|(?:0x[0-9a-fA-F]{2}[,\s]+){12,}|(?<!\d)(?:-?\d+(?:\.\d+)?[,\s\[\]]+){24,}|(?:\\x[0-9a-fA-F]{2}){16,}|(?:[MLHVCSQTAZ]-?\d+(?:\.\d+)?[ ,]-?\d+(?:\.\d+)?[ ,]?){8,}")
 _QUOTED = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
 _SCRIPT = r"(?P<c>/\*.*?\*/|//[^\n]*)|\"\"\"(?:[^\\]|\\.)*?\"\"\"|" + _QUOTED
 #: Comments, and the strings that may hold what only looks like one, by language.
@@ -72,18 +76,28 @@ def normal_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"^(\./+)+", "")
 
 
-def shingles(text: str) -> set[int]:
-    """Hashes of every five words of a text without its comments and layout."""
-    words = TOKEN.findall(COMMENT.sub(" ", text))
-    if len(words) < SHINGLE:
-        return {hash_words(words)} if words else set()
-    return {hash_words(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+def bare(text: str) -> str:
+    """A text without its comments."""
+    return COMMENT.sub(" ", text)
 
 
-def hash_words(words: list[str]) -> int:
-    import xxhash
+def shingles(text: str, stripped: str | None = None) -> np.ndarray:
+    """Distinct hashes of every five words of a text without its comments and layout; of all words if there are fewer."""
+    words = TOKEN.findall(bare(text) if stripped is None else stripped)
+    if not words:
+        return np.empty(0, np.int64)
+    hashed: dict[str, int] = {}
+    codes = np.fromiter((hashed.get(w) or hashed.setdefault(w, xxhash.xxh64_intdigest(w) | 1) for w in words), np.uint64, len(words))
+    size = min(SHINGLE, len(words))
+    h = np.zeros(len(words) - size + 1, np.uint64)
+    for j in range(size):
+        h = (h ^ codes[j : j + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h.view(np.int64))
 
-    return xxhash.xxh64_intdigest("\x1f".join(words)) - (1 << 63)
+
+#: A text of fewer shingles than this is too short to be told by its likeness.
+LEAST_SHINGLES = 20
 
 
 def data_share(text: str) -> float:
@@ -95,15 +109,18 @@ def data_share(text: str) -> float:
     return min(1.0, covered / max(1, len(text)))
 
 
-def repetition(text: str) -> float:
-    """Share of lines that belong to a run of the same line with another number in its names."""
-    lines = [ln.strip() for ln in COMMENT.sub(" ", text).split("\n")]
+def repetition(stripped: str) -> float:
+    """Share of lines, of a text without comments, that are the same as others but for a number in their names."""
+    lines = [ln.strip() for ln in stripped.split("\n")]
     lines = [ln for ln in lines if len(ln) > 3]
     if len(lines) < 4:
         return 0.0
     shapes: dict[str, set[str]] = {}
     keys = []
     for ln in lines:
+        if not DIGIT.search(ln):
+            keys.append((ln, False))
+            continue
         nums = [m.group(2) for m in NUMBERED.finditer(ln)]
         key = NUMBERED.sub(r"\1#\3", ln)
         keys.append((key, bool(nums)))
@@ -119,13 +136,13 @@ def dense(text: str) -> bool:
     if len(body) < 200:
         return False
     body = re.sub(r"'[^'\n]*'|\"[^\"\n]*\"|`[^`]*`", "S", body)
-    lines = body.split("\n")
-    white = sum(c.isspace() for c in body) / max(1, len(body))
+    if not body or len(body) / (body.count("\n") + 1) <= 60:
+        return False
+    white = 1 - sum(map(len, body.split())) / len(body)
     names = re.findall(r"[A-Za-z_$][\w$]*", body)
     short = sum(len(x) <= 4 for x in names) / max(1, len(names))
-    mean = len(body) / len(lines)
-    code = sum(c in ";(){}=" for c in body) / max(1, len(body))
-    return mean > 60 and white < 0.09 and short > 0.6 and code > 0.12
+    code = sum(map(body.count, ";(){}=")) / len(body)
+    return white < 0.09 and short > 0.6 and code > 0.12
 
 
 def comments(path: str, text: str) -> list[tuple[bool, str]]:
@@ -159,8 +176,8 @@ def comments(path: str, text: str) -> list[tuple[bool, str]]:
     return out
 
 
-def evidence(path: str, text: str | None, likeness: float) -> np.ndarray:
-    """Likelihood of what is seen of a file, by label."""
+def evidence(path: str, text: str | None, likeness: float, stripped: str | None = None) -> np.ndarray:
+    """Likelihood of what is seen of a file, by label; ``stripped``: the text without comments, if it is at hand."""
     e = np.array([1.0, 0.02, 0.02, 0.8, 0.02])  # third-party code looks like any other
     t = text or ""
     head = "\n".join(t[:4000].split("\n")[:12])
@@ -170,7 +187,7 @@ def evidence(path: str, text: str | None, likeness: float) -> np.ndarray:
     remark = remark or any((m := WHOLE_FILE.match(x)) and not MAINTAINED.search(m.group()) and not PART.search(x) for _, c in said for x in c.split("\n"))
     lower = path.lower()
     code = not lower.endswith((".json", ".yaml", ".yml", ".md", ".env", ".sh", ".txt"))
-    rep = repetition(t) if t else 0.0
+    rep = repetition(bare(t) if stripped is None else stripped) if t else 0.0
     if remark:
         e[1] *= 3e4
     if GENERATED_PATH.search(path) and (rep > 0.2 or remark or LOCK_TEXT.search(t) or not t):
@@ -242,21 +259,49 @@ def reference_likeness(files: DataFrame, upstream: DataFrame, key: str, text: st
             for b in batches:
                 for k, t in zip(b["k"], b["t"]):
                     s = shingles(t)
-                    yield pd.DataFrame({"k": [k] * len(s), "h": list(s), "n": [len(s)] * len(s)}).astype({"h": "int64", "n": "int64"})
+                    yield pd.DataFrame({"k": [k] * len(s), "h": s, "n": [len(s)] * len(s)}).astype({"h": "int64", "n": "int64"})
 
         return run
 
     kind = dict(files.dtypes)[key]
+    ship(files.sparkSession)
     a = files.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t") != "").mapInPandas(explode("a", text), f"k {kind}, h bigint, n bigint")
     b = upstream.select(F.monotonically_increasing_id().alias("k"), F.col("source_text").alias("t")).where(F.col("t") != "").mapInPandas(explode("b", text), "k bigint, h bigint, n bigint").select(F.col("k").alias("u"), "h", F.col("n").alias("m"))
     common = a.join(b, "h").groupBy("k", "u").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
-    best = common.groupBy("k").agg(F.max(F.col("c") / F.greatest("n", "m")).alias("likeness"))
+    best = common.where(F.col("n") >= LEAST_SHINGLES).groupBy("k").agg(F.max(F.col("c") / F.greatest("n", "m")).alias("likeness"))
     return best.withColumnRenamed("k", key)
 
 
+_read: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
+def _reference(mark: str, held: Broadcast) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes in order, their file, sizes of files) of the reference files' shingles; made once in a worker."""
+    if mark not in _read:
+        _read.clear()
+        known = held.value
+        hashes = np.concatenate([np.empty(0, np.int64), *known])
+        owner = np.repeat(np.arange(len(known)), [len(x) for x in known])
+        order = np.argsort(hashes, kind="stable")
+        _read[mark] = hashes[order], owner[order], np.array([len(x) for x in known], np.int64)
+    return _read[mark]
+
+
+def _likeness(own: np.ndarray, hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> float:
+    """The greatest share of common shingles, relative to the larger of the two texts."""
+    lo, hi = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+    n = hi - lo
+    if not n.any():
+        return 0.0
+    at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    common = np.bincount(owner[at], minlength=len(sizes))
+    return float((common / np.maximum(sizes, len(own))).max())
+
+
 def file_evidence(files: DataFrame, upstream: DataFrame, key: str = "file_id", max_reference: int = MAX_REFERENCE_SHINGLES) -> DataFrame:
     """(key, tree, path, e): the likelihoods of what is seen of each file, by label."""
     spark = files.sparkSession
+    ship(spark)
     kind = dict(files.dtypes)[key]
     words = upstream.agg(F.sum(F.length("source_text"))).first()[0] or 0
     rows = files.select(F.col(key).alias("k"), F.coalesce("snapshot_id", F.lit("")).alias("s"), normal_path(F.col("file_path")).alias("p"), F.col("source_text").alias("t"))
@@ -264,45 +309,35 @@ def file_evidence(files: DataFrame, upstream: DataFrame, key: str = "file_id", m
     if fits:
         known = [shingles(r[0]) for r in upstream.where(F.col("source_text").isNotNull()).select("source_text").collect()]
         held = spark.sparkContext.broadcast(known)
-        rows = rows.withColumn("l", F.lit(0.0))
+        rows, mark = rows.withColumn("l", F.lit(0.0)), uuid.uuid4().hex
     else:
-        held = None
+        held, mark = None, ""
         rows = rows.join(reference_likeness(files, upstream, key, "source_text").withColumnRenamed(key, "k").withColumnRenamed("likeness", "l"), "k", "left").fillna(0.0, ["l"])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index: dict[int, list[int]] = {}
-        sizes: list[int] = []
-        if held is not None:
-            for u, s in enumerate(held.value):
-                sizes.append(len(s))
-                for h in s:
-                    index.setdefault(h, []).append(u)
+        hashes, owner, sizes = _reference(mark, held) if held is not None else (None, None, None)
         for b in batches:
             out = []
             for k, tree, p, t, like in zip(b["k"], b["s"], b["p"], b["t"], b["l"]):
-                if index and t:
-                    own = shingles(t)
-                    hits: dict[int, int] = {}
-                    for h in own:
-                        for u in index.get(h, ()):
-                            hits[u] = hits.get(u, 0) + 1
-                    like = max((c / max(1, len(own), sizes[u]) for u, c in hits.items()), default=0.0) if len(own) >= 20 else 0.0
-                out.append((k, tree, p, evidence(p or "", t, like)))
+                stripped = bare(t) if t else ""
+                if hashes is not None and t:
+                    own = shingles(t, stripped)
+                    like = _likeness(own, hashes, owner, sizes) if len(own) >= LEAST_SHINGLES else 0.0
+                out.append((k, tree, p, evidence(p or "", t, like, stripped)))
             yield pd.DataFrame(out, columns=["k", "tree", "path", "e"])
 
     return rows.mapInPandas(scan, f"k {kind}, tree string, path string, e array<double>").withColumnRenamed("k", key)
 
 
-def label_files(files: DataFrame, upstream: DataFrame, key: str = "file_id", max_depth: int = 64) -> DataFrame:
+def label_files(files: DataFrame, upstream: DataFrame, key: str = "file_id") -> DataFrame:
     """(key, label, belief) for every file; ``label`` is one of LABELS.
 
     A tree is the directories of one snapshot.  Null paths lie in the root;
     null and empty texts have no evidence beyond their path.  Beliefs go up and
-    down once, which is exact on trees.  Paths deeper than ``max_depth`` hang on
-    their ancestor at that depth.
+    down once, which is exact on trees, a round for each level there is.
     """
     ev = file_evidence(files, upstream, key)
-    depth = F.least(F.size(F.split(F.coalesce("path", F.lit("")), "/")) - 1, F.lit(max_depth))
+    depth = F.size(F.split(F.coalesce("path", F.lit("")), "/")) - 1
     leaves = ev.withColumn("level", depth).withColumn("dir", F.concat_ws("/", F.col("tree"), F.array_join(F.slice(F.split(F.coalesce("path", F.lit("")), "/"), F.lit(1), F.col("level")), "/"))).withColumn("level", F.col("level") + 1)
     leaves = materialize(leaves.select(key, "dir", "level", "e"), "evidence")
     deepest = leaves.agg(F.max("level")).first()[0] or 0

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lodegraph.runtime import ship
+
 #: Words that make a line worth a look, in lower case.
 KEYWORDS = (
     "akia asia eyj ghp_ gho_ ghs_ ghu_ ghr_ github_pat_ glpat- sk- sk_live sk_test rk_live rk_test xoxb- xoxp- xoxa- xoxs- xoxr- xoxe hooks.slack "
@@ -84,6 +86,8 @@ FORMATS = re.compile(
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 PEM = re.compile(r"-----BEGIN (?!ENCRYPTED )(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: A line of a key's body: its base64, its headers or nothing, within quotes or behind a comment's mark.
+PEM_LINE = re.compile(r"[\s\"'`+#*/;,\\-]*(?:[A-Za-z0-9+/=]{8,}|[A-Za-z-]+: [\w,. -]+)?(?:\\[nr])*[\s\"'`+,;)\\]*")
 USERINFO = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]*://([^\s:/@'\"`<>]*):([^\s@/'\"`<>]+)@[\w\[\].-]+")
 BASIC = re.compile(r"\b[Bb]asic\s+([A-Za-z0-9+/_-]{8,}={0,2})")
 BEARER = re.compile(r"\b[Bb]earer\s+([^\s'\"`,;)]{8,})")
@@ -335,9 +339,16 @@ def find(text: str | None) -> list[tuple[int, int, int, str]]:
         ln = lines[n]
         key = PEM.search(ln) if n in keyed else None
         if key:
-            stop = PEM_END.search(text, starts[n] + key.end())
             begin = starts[n] + key.end()
-            end = stop.start() if stop else starts[min(n + 1, len(lines) - 1)] + len(lines[min(n + 1, len(lines) - 1)])
+            stop, other = PEM_END.search(text, begin), PEM.search(text, begin)
+            if stop and not (other and other.start() < stop.start()):
+                end = stop.start()
+            else:  # cut off: as far as its lines go
+                end = starts[n] + len(ln)
+                for k in range(n + 1, len(lines)):
+                    if not PEM_LINE.fullmatch(lines[k]) or other and starts[k] + len(lines[k]) > other.start():
+                        break
+                    end = starts[k] + len(lines[k])
             body = re.sub(r"\\n|[\s'\"+,`\\]", "", text[begin:end])
             if len(body) >= 40 and len(set(body)) > 8 and not re.search(r"(?i)your|\.\.\.|<|replace", body[:80]):
                 out.append((n + 1, begin, end, "PRIVATE_KEY"))
@@ -391,6 +402,7 @@ def find_credentials(files: DataFrame, key: str = "file_id", text: str = "source
     they differ.  Texts of any length are read whole, one at a time.
     """
     kind = dict(files.dtypes)[key]
+    ship(files.sparkSession)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -407,6 +419,7 @@ def redacted(texts: pd.Series) -> pd.Series:
 
 def redact_credentials(files: DataFrame, text: str = "source_text", to: str = "redacted_text") -> DataFrame:
     """``files`` with the redacted text in ``to``."""
+    ship(files.sparkSession)
     return files.withColumn(to, redacted(F.col(text)))
 
 

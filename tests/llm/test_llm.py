@@ -293,6 +293,27 @@ def test_provenance(spark):
     assert provenance.label_files(files.limit(0), ref).count() == 0
 
 
+def test_likeness_by_index_and_by_join_agree(spark):
+    rnd = random.Random(6)
+    word = lambda: rnd.choice("ab cd ef gh ij kl mn op qr st uv wx".split())
+    ups = [" ".join(word() for _ in range(n)) for n in (12, 60, 90)]
+    texts = [ups[0], ups[1], ups[2] + " " + " ".join(word() for _ in range(20)), " ".join(word() for _ in range(70)), "", None]
+    files = spark.createDataFrame([(i, "s", f"p/src/f{i}.js", t) for i, t in enumerate(texts)], "file_id long, snapshot_id string, file_path string, source_text string")
+    ref = spark.createDataFrame(list(enumerate(ups)), "upstream_id long, source_text string")
+    a, b = ({r.file_id: [round(x, 9) for x in r.e] for r in provenance.file_evidence(files, ref, max_reference=m).collect()} for m in (10**6, 1))
+    assert a == b and a[1][3] > 0.99 > a[0][3]
+
+
+def test_private_keys_cut_off():
+    body = [("M" + "Ab3dE9+/kQz7" * 5) for _ in range(5)]
+    cut = "x = 1\n-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(body) + "\n\nfunction f() {}\n"
+    whole = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(body) + "\n-----END PRIVATE KEY-----\n"
+    assert [n for n, *_ in secrets.find(cut + whole)] == [2, 10]
+    masked = secrets.redact(cut + whole)
+    assert "Ab3dE9" not in masked and "function f() {}" in masked and len(masked) == len(cut + whole)
+    assert [n for n, *_ in secrets.find("\n".join(["-----BEGIN EC PRIVATE KEY-----", *body]))] == [1]
+
+
 def test_remarks_stand_anywhere_in_comments():
     licence = "/*\n" + "".join(f" * Line {i} of a licence that says little.\n" for i in range(20)) + " */\n"
     slashes = licence.replace(" */\n", "").replace("/*\n", "").replace(" * ", "// ")
