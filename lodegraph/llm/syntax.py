@@ -5,24 +5,26 @@ that never end and characters no token begins with; the stack reports brackets
 that don't match and files that end inside one; rules on neighbouring tokens
 report operands without an operator between them, operators without an operand,
 declarations without a name and a language's top level broken.  Conflict
-markers count where they stand outside of literals and comments.  For Python
-and JSON, whose exact grammar the standard library has, an exact parse follows
-and decides.
+markers count where they stand outside of literals and comments.  JSON's
+grammar is small enough for the stack to decide it all.  For Python the lexer is
+followed by an exact check, the standard library's parser: it confirms what the
+lexer found and adds what takes the full grammar.
 """
 
 from __future__ import annotations
 
 import ast
-import json
 import re
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.runtime import ship
+
 #: The extensions and the languages they stand for.
 EXTENSIONS = {"ts": "ts", "tsx": "tsx", "mts": "ts", "js": "js", "mjs": "js", "cjs": "js", "py": "python", "json": "json", "go": "go", "java": "java"}
 PAIRS = {")": "(", "]": "[", "}": "{"}
@@ -51,6 +53,7 @@ NUMBER = {
     "go": re.compile(r"0[xX][0-9a-fA-F_]+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?\d+)?i?|0[oO]?[0-7_]+(?![\d.])i?|0[bB][01_]+i?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?i?"),
     "java": re.compile(r"0[xX][0-9a-fA-F_]+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?\d+)?[lLfFdD]?|0[bB][01_]+[lL]?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?[lLfFdD]?"),
 }
+SPACE = re.compile(r"[ \t\r\f\v\u00a0\ufeff\u2028\u2029]+")
 CONFLICT = re.compile(r"(?:<{7}|>{7}|\|{7})(?: |$)|={7}$")
 
 
@@ -67,18 +70,14 @@ class Token:
     gap: bool  # white space before it
 
 
+#: The rest of a string behind its opening quote; an escape may stand before a line's end.
+QUOTED = {q: re.compile(rf"[^{q}\\\n\r]*(?:\\(?:\r\n|[\s\S])[^{q}\\\n\r]*)*{q}") for q in "'\""}
+
+
 def _string_end(s: str, i: int, quote: str, line: int) -> int:
-    j, n = i + 1, len(s)
-    while j < n:
-        c = s[j]
-        if c == "\\":
-            j += 3 if s[j + 1 : j + 3] == "\r\n" else 2
-        elif c == quote:
-            return j + 1
-        elif c in "\n\r":
-            break
-        else:
-            j += 1
+    m = QUOTED[quote].match(s, i + 1)
+    if m:
+        return m.end()
     raise Fault("unterminated string", line)
 
 
@@ -131,8 +130,9 @@ class Lexer:
             if c == "\n":
                 line, fresh, gap, i = line + 1, True, True, i + 1
                 continue
-            if c in " \t\r\f\v\u00a0\ufeff\u2028\u2029" or c.isspace():
-                gap, i = True, i + 1
+            if c == " " or c in "\t\r\f\v\u00a0\ufeff\u2028\u2029" or c.isspace():
+                m = SPACE.match(s, i)
+                gap, i = True, m.end() if m else i + 1
                 continue
             if fresh and (i == 0 or s[i - 1] == "\n") and c in "<>|=":
                 end = s.find("\n", i)
@@ -151,6 +151,12 @@ class Lexer:
                 line, i, gap = line + s.count("\n", i, end), end + 2, True
                 continue
             start, prev = line, self.tokens[-1] if self.tokens else None
+            if (c.isalpha() or c == "_") and (m := WORD.match(s, i)):
+                j = m.end()
+                kind = "word" if m.group() in reserved and not (prev and prev.text in (".", "?.") and base != "go") else "name"
+                self.tokens.append(Token(kind, m.group()[:200], line, fresh, gap))
+                fresh, gap, i = False, False, j
+                continue
             if c == '"' and base == "java" and s.startswith('"""', i):
                 end = i + 3
                 while True:
@@ -468,6 +474,8 @@ def _neighbours(tokens: list[Token], language: str) -> None:
         # words that need a certain follower
         if t.kind == "word" and p not in (".", "?.") and not (nxt and nxt.text in (":", "(", ",", "?") and opened and opened[-1][0] == "{" and x not in ("if", "for", "while", "switch", "catch")):
             _follower(t, nxt, tokens, i, language, base)
+        if typed and x == "let" and t.kind == "name" and nxt and nxt.kind == "name" and i + 2 < n and tokens[i + 2].text == ":" and p not in (".", "?."):
+            _annotation(tokens, i + 3, lambda why, line=t.line: Fault(why, line))
         if base == "js" and not typed:
             if x == ":" and p == ")" and not choices[-1] and not (opened and opened[-1][0] == "{"):
                 raise Fault("type annotation", t.line)
@@ -524,6 +532,185 @@ def opened_decorator(tokens: list[Token], i: int) -> bool:
     return k >= 0 and tokens[k].text == "@"
 
 
+#: Words that begin statements and no value.
+STATEMENTS = set("return break continue if else for while do switch case default try catch finally throw const var".split())
+
+
+def _annotation(tokens: list[Token], i: int, no: Callable[[str], Fault]) -> None:
+    """A declared type from token ``i`` on: there is one, and its angles close before the value."""
+    depth = angles = 0
+    for j in range(i, len(tokens)):
+        x = tokens[j].text
+        if tokens[j].kind == "punct":
+            if j == i and x in ("=", ";", ",", ")", "]", "}"):
+                raise no("type missing")
+            if x in ("(", "[", "{", "`{"):
+                depth += 1
+            elif x in (")", "]", "}"):
+                depth -= 1
+                if depth < 0:
+                    return
+            elif not depth and x == "<":
+                angles += 1
+            elif not depth and x in (">", ">>", ">>>"):
+                angles -= len(x)
+            elif not depth and (x == ";" or x == "="):
+                if angles > 0:
+                    raise no("angle never closed")
+                return
+            elif not depth and not angles and x == ",":
+                return
+        elif tokens[j].kind == "word" and not depth and not angles and j > i and tokens[j].fresh:
+            return
+
+
+def _headers(tokens: list[Token], language: str, base: str) -> None:
+    """Heads of loops, blocks of try and switch, names of interfaces and enums, values of keys: by the brackets they stand in."""
+    n = len(tokens)
+    stack: list[list] = []  # bracket, word before it, semicolons, other marks inside, token number
+    closed: list | None = None
+    waits = ""  # switch or select: the next brace at this depth opens its cases
+    level = 0
+    for i, t in enumerate(tokens):
+        x = t.text
+        prev = tokens[i - 1] if i else None
+        nxt = tokens[i + 1] if i + 1 < n else None
+        member = prev is not None and prev.text in (".", "?.")
+        key = nxt is not None and nxt.text in (":", "?", "=", ",") or prev is not None and prev.text in (".", "?.", "::")
+        if t.kind == "punct":
+            if x in ("(", "[", "{", "`{"):
+                word = prev.text if prev is not None and prev.kind == "word" else ""
+                if x == "(" and prev is not None and prev.text == "await" and i > 1 and tokens[i - 2].text == "for":
+                    word = "for"
+                if x == "{" and base != "go" and prev is not None and prev.text == ")" and closed is not None and closed[1] == "switch":
+                    word = "switch"
+                if x == "{" and waits and level == len(stack):
+                    word, waits = "switch", ""
+                stack.append([x, word, 0, False, i])
+                if x == "{" and word == "switch" and nxt is not None and nxt.text not in ("case", "default", "}", "@"):
+                    raise Fault("statement before the first case", nxt.line)
+            elif x in PAIRS and stack:
+                closed = stack.pop()
+                if closed[0] == "(" and closed[1] == "for" and base != "go" and not (closed[2] == 2 or not closed[2] and closed[3]):
+                    raise Fault("loop's head is no head", t.line)
+                if x == "}" and base in ("js", "java") and closed[1] == "try" and not (nxt is not None and nxt.text in ("catch", "finally")):
+                    raise Fault("try without catch", t.line)
+                if base in ("js", "java") and prev is not None and prev.text == ":" and prev.kind == "punct" and not (i > 1 and _label(tokens, i - 1)):
+                    raise Fault("colon without an operand", t.line)
+            elif x == ";" and stack:
+                stack[-1][2] += 1
+            elif x == ":" and stack and base == "java":
+                stack[-1][3] = True
+        elif x in ("in", "of") and stack and base == "js":
+            stack[-1][3] = True
+        elif base == "go" and x in ("switch", "select") and t.kind == "word":
+            waits, level = x, len(stack)
+        elif language in ("ts", "tsx") and t.kind in ("name", "word") and x in ("interface", "enum") and nxt is not None and nxt.text == "{" and not member and (prev is None or t.fresh or prev.text in ("export", "declare", "const", ";", "}", "{")) and not key:
+            if x == "enum" or prev is None or prev.text in ("export", "declare", ";", "}"):
+                raise Fault("type without a name", t.line)
+        if base == "go" and x == "for" and t.kind == "word":
+            _go_loop(tokens, i)
+
+
+def _label(tokens: list[Token], colon: int) -> bool:
+    """Whether a colon ends a case or a default."""
+    depth, j = 0, colon - 1
+    while j >= 0:
+        x = tokens[j].text
+        if tokens[j].kind == "punct" or x == "`":
+            if x in (")", "]", "}"):
+                depth += 1
+            elif x in ("(", "[", "{"):
+                depth -= 1
+                if depth < 0:
+                    return False
+            elif x == ";" and not depth:
+                return False
+        elif tokens[j].kind == "word" and x in ("case", "default") and not depth:
+            return True
+        j -= 1
+    return False
+
+
+def _go_loop(tokens: list[Token], i: int) -> None:
+    """A loop's head has no semicolon or two."""
+    depth = semis = 0
+    for j in range(i + 1, len(tokens)):
+        x = tokens[j].text
+        if tokens[j].kind != "punct":
+            if depth == 0 and tokens[j].kind == "word" and x in ("struct", "func", "interface", "map"):
+                return  # a literal's type: its braces aren't the loop's
+            continue
+        if x == "{" and depth == 0:
+            if semis == 1:
+                raise Fault("loop's head is no head", tokens[i].line)
+            return
+        if x in ("(", "[", "{"):
+            depth += 1
+        elif x in (")", "]", "}"):
+            depth -= 1
+            if depth < 0:
+                return
+        elif x == ";" and depth == 0:
+            semis += 1
+
+
+#: Operators of Java that make a value and do nothing.
+JAVA_VALUES = set("+ - * / % == != && || & | ^".split())
+
+
+def _java_statements(tokens: list[Token]) -> None:
+    """A statement that only computes a value is none in Java."""
+    stack: list[str] = []
+    begin: int | None = None
+    for i, t in enumerate(tokens):
+        if t.kind != "punct" or t.text not in ("(", "[", "{", ")", "]", "}", ";"):
+            continue
+        x = t.text
+        if x in ("(", "[", "{"):
+            prev = tokens[i - 1] if i else None
+            plain = x == "{" and prev is not None and (prev.text in (")", "else", "do", "try", "finally", "->", ";", "{", "}"))
+            stack.append("block" if plain else x)
+            if x == "{":
+                begin = i + 1 if plain else None
+            continue
+        if x == ";" and stack and stack[-1] == "block":
+            if begin is not None and begin < i:
+                _java_value(tokens, begin, i)
+            begin = i + 1
+            continue
+        if x in (")", "]", "}") and stack:
+            stack.pop()
+            if x == "}":
+                begin = i + 1 if stack and stack[-1] == "block" else None
+
+
+def _java_value(tokens: list[Token], a: int, z: int) -> None:
+    head = tokens[a]
+    if not (head.kind in ("name", "number") or head.text == "this"):
+        return
+    depth, found = 0, False
+    for j in range(a, z):
+        t = tokens[j]
+        if t.kind == "word" and t.text not in ("this", "super", "null", "true", "false"):
+            return
+        if t.kind != "punct":
+            if t.kind == "name" and j > a and tokens[j - 1].kind == "name":
+                return  # a declaration or a contextual word
+            continue
+        x = t.text
+        if x in ("(", "["):
+            depth += 1
+        elif x in (")", "]"):
+            depth -= 1
+        elif depth == 0:
+            if x in ("{", "}", "?", ":", "->", "::", "<", ">", "@", ",", "++", "--") or x.endswith("=") and x not in ("==", "!="):
+                return
+            found = found or x in JAVA_VALUES
+    if found:
+        raise Fault("statement without an effect", head.line)
+
+
 def _follower(t: Token, nxt: Token | None, tokens: list[Token], i: int, language: str, base: str) -> None:
     x, y = t.text, nxt.text if nxt else ""
     n = len(tokens)
@@ -537,8 +724,10 @@ def _follower(t: Token, nxt: Token | None, tokens: list[Token], i: int, language
                 raise no("declaration without a name")
             after = tokens[i + 2] if i + 2 < n else None
             if nxt.kind == "name" and y != "enum":
-                if after is None and x == "const":
+                if x == "const" and (after is None or after.text == ";" and not (i and tokens[i - 1].text in ("declare", "export") and language != "js")):
                     raise no("constant without a value")
+                if after is not None and after.text == ":" and language != "js":
+                    _annotation(tokens, i + 3, no)
                 if after is not None and not after.fresh and after.text not in ("=", ",", ";", "of", "in", ":", "!", ")", "}"):
                     raise no("declaration without a value")
                 if after is not None and after.text == ":" and language == "js":
@@ -549,6 +738,10 @@ def _follower(t: Token, nxt: Token | None, tokens: list[Token], i: int, language
             raise no("loop without parentheses")
         elif x == "catch" and y not in ("(", "{"):
             raise no("catch without a block")
+        elif x == "try" and y != "{":
+            raise no("try without a block")
+        elif x in ("return", "throw", "break", "continue") and nxt is not None and nxt.kind == "word" and not nxt.fresh and y in STATEMENTS:
+            raise no("statement where a value should be")
         elif x == "function" and not (nxt and nxt.kind == "name" or y in ("(", "*")):
             raise no("function without a name")
         elif x == "class" and not (nxt and nxt.kind == "name" or y in ("{", "extends")):
@@ -580,7 +773,7 @@ def _follower(t: Token, nxt: Token | None, tokens: list[Token], i: int, language
         elif x == "else" and i and tokens[i - 1].text not in ("}", ";") and not t.fresh:
             raise no("else without an if")
     elif base == "go":
-        if x in ("const", "var", "type") and not (nxt and nxt.kind == "name" or y == "("):
+        if x in ("const", "var", "type") and not (nxt and nxt.kind == "name" or y == "(" or x == "type" and i and tokens[i - 1].text == "("):
             raise no("declaration without a name")
         if x == "func" and not (nxt and nxt.kind == "name" or y in ("(", "[")):
             raise no("function without a name")
@@ -695,45 +888,63 @@ def fault(text: str | None, language: str) -> tuple[str, int] | None:
             raise Fault("markup", 1)
         tokens = Lexer(text.replace("\r\n", "\n").replace("\r", "\n"), language).run()
         _neighbours(tokens, language)
+        _headers(tokens, language, "js" if language in ("ts", "tsx") else language)
+        if language == "java":
+            _java_statements(tokens)
         _top_level(tokens, language)
     except Fault as f:
         return f.args[0], f.args[1]
-    except (IndexError, RecursionError):
-        return None
+    except RecursionError:  # elements nested deeper than the worker's stack
+        return "nested too deep", 1
     return None
 
 
-def _json_fault(text: str) -> tuple[str, int] | None:
-    def never(x: str) -> None:
-        raise ValueError(x)
+JSON_TOKEN = re.compile(r'[ \t\n\r]*(?:("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.+-])|true\b|false\b|null\b)|([\[\]{}:,]))')
 
-    stack, i, n, line = [], 0, len(text), 1
-    why: tuple[str, int] | None = None
-    while i < n and why is None:  # the stack first: cheap, and it names the place
-        c = text[i]
-        if c == "\n":
-            line += 1
-        elif c == '"':
-            j = i + 1
-            while j < n and text[j] != '"' and text[j] != "\n":
-                j += 2 if text[j] == "\\" else 1
-            if j >= n or text[j] == "\n":
-                why = ("unterminated string", line)
-            i = j
-        elif c in "[{":
-            stack.append(c)
-        elif c in "]}" and (not stack or stack.pop() != PAIRS[c]):
-            why = ("brackets don't match", line)
-        i += 1
-    if why is None and stack:
-        why = ("ends inside " + stack[-1], line)
-    try:
-        json.loads(text, parse_constant=never)
-    except RecursionError:
-        return why
-    except ValueError as e:
-        return why or (str(getattr(e, "msg", "constant outside of the grammar")), getattr(e, "lineno", 1))
-    return None
+
+def _json_fault(text: str) -> tuple[str, int] | None:
+    """The grammar of JSON by its tokens, a stack of open brackets and what may come next."""
+    stack: list[str] = []
+    # value: a value; first: a value or the end of a list; key: a key; name: a key or the end of an object; colon; after: a comma or an end
+    want, i, n = "value", 0, len(text)
+
+    def at(j: int) -> int:
+        return text.count("\n", 0, j) + 1
+
+    while True:
+        m = JSON_TOKEN.match(text, i)
+        if not m:
+            rest = text[i:].lstrip(" \t\n\r")
+            place = at(n - len(rest))
+            if not rest:
+                if stack:
+                    return "ends inside " + stack[-1], place
+                return None if want == "after" else ("no value", place)
+            if rest[0] == '"':
+                return "unterminated string", place
+            if re.match(r"(?:<{7}|>{7}|={7})", rest):
+                return "conflict marker", place
+            return "stray character", place
+        i = m.end()
+        string, scalar, sign = m.groups()
+        if string is not None and want in ("key", "name"):
+            want = "colon"
+        elif (string is not None or scalar is not None) and want in ("value", "first"):
+            want = "after"
+        elif sign in ("[", "{") and want in ("value", "first"):
+            stack.append(sign)
+            want = "first" if sign == "[" else "name"
+        elif sign == ":" and want == "colon":
+            want = "value"
+        elif sign == "," and want == "after" and stack:
+            want = "value" if stack[-1] == "[" else "key"
+        elif sign == "]" and want in ("first", "after") and stack and stack[-1] == "[" or sign == "}" and want in ("name", "after") and stack and stack[-1] == "{":
+            stack.pop()
+            want = "after"
+        elif sign in ("]", "}") and (not stack or stack[-1] != PAIRS[sign]):
+            return "brackets don't match", at(i)
+        else:
+            return ("text after the value" if want == "after" and not stack else "operands without an operator" if want == "after" else "operator without an operand"), at(i)
 
 
 PY_TOKEN = re.compile(r"(?i)(?:[rbfut]|rb|br|fr|rf|tr|rt)?(\"\"\"|'''|\"|')|#[^\n]*|[\[\](){}]|\n|(?:<{7}|>{7}|={7})(?= |\n|$)")
@@ -792,6 +1003,7 @@ def find_unparsable(files: DataFrame, key: str = "file_id", path: str = "file_pa
     any length are read whole, one at a time.
     """
     kind = dict(files.dtypes)[key]
+    ship(files.sparkSession)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

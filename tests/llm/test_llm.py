@@ -151,6 +151,47 @@ def test_elements_are_read_by_the_rules():
     assert [x for x in bad if not syntax.fault(x, "tsx")] == []
 
 
+#: Invalid and valid programs that only brackets, heads of loops and places of words tell apart.
+BROKEN = {"js":["for (let i = 0; i < 3) { }","try { }","const a;","function f(){ return return; }","x = {a: }","switch (x) { foo }"],
+"ts":["for (let i = 0; i < 3) { }","interface { a: string }","enum { A }","const a: = 1;","let x: Array<string = 1;","class A { x: }"],
+"java":["class A { void f() { for (int i = 0; i < 3) { } } }","class A { void f() { x + 1; } }","class A { void f() { try { } } }"],
+"go":["package a\nfunc f() { for i := 0; i < 3 { } }","package a\nfunc f() { switch { foo } }"],
+"json":["[1,]","{\"a\":1,}","{a:1}","[1 2]","01","[1.]","\"a\nb\"","nul","{\"a\" 1}","[","","NaN","1 2","{\"a\":}","[tru]"]}
+SOUND = {"js":["for (const a of b) { }","for (;;) {}","for (const k in o) {}","for await (const x of y) {}","try { } finally { }","a: for (;;) { break a; }","switch (x) { case 1: default: }","const f = () => { return; };","x = c ? a : b","if (a) { return }\nreturn\n","var s = `${a ? b : `x`}`;"],
+"ts":["declare const a: string;","let x: Array<string> = [];","let f: (a: number) => void = (a) => {};","const m: Map<string, Array<number>> = new Map();","interface A { x: number }","const o = { interface: 1, enum: 2 };","let a: string, b: Array<number>;","class A { x: string; y = 1 }","function f(a: Array<string>, b = 1) {}","enum A { B }","let y: {a: string}[] = [];","type T = { a?: string };","export const enum E { A }","let z: A<B> | undefined;","const a: typeof b = c;", "abstract class Q { abstract x: number; }"],
+"java":["class A { int[] a = {1 + 2, 3}; void f() { for (int x : xs) { } x = y + 1; i++; foo(a + b); List<String> q; try (R r = x) { } a.b().c(); int k = a * b; } }","class A { void f() { switch (x) { case 1: break; default: } Map.Entry<String, Integer> e; A.b[i + 1] = 3; Runnable r = () -> { go(); }; label: for (;;) { } } }","enum E { A(1 + 2), B; }","class A { int x = 3; String s = a + b; @X(a + b) int y; }"],
+"go":["package a\nfunc f() { for i := 0; i < 3; i++ { }\n for { }\n for x := range y { }\n for a < b { }\n switch x := y.(type) { case int: }\n switch { case a: }\n select { case <-c: }\n}\n"],
+"json":["{}","[]"," [1, -2.5e3, \"a\\u00e9\", true, {\"a\": {\"b\": []}}] ","null","0","\"x\""]}
+
+
+def test_rules_on_heads_blocks_and_declarations():
+    assert [(k, x) for k, v in BROKEN.items() for x in v if not syntax.fault(x, k)] == []
+    assert [(k, x, syntax.fault(x, k)) for k, v in SOUND.items() for x in v if syntax.fault(x, k)] == []
+
+
+def test_json_against_an_exact_parser():
+    rnd = random.Random(9)
+    base = '{"a": [1, -2.5e3, true, null, "x\\u00e9\\n"], "b": {"c": [], "d": {}}, "e": 0.1}'
+
+    def exact(text):
+        def never(x):
+            raise ValueError(x)
+
+        try:
+            json.loads(text, parse_constant=never)
+        except ValueError:
+            return False
+        return True
+
+    for _ in range(4000):
+        t = list(base)
+        for _ in range(rnd.randrange(3)):
+            i = rnd.randrange(len(t))
+            t[i : i + rnd.randrange(3)] = rnd.choice(['"', ",", ":", "[", "]", "{", "}", "1", "e", " ", "", "\n", "-", "\\"])
+        text = "".join(t)
+        assert (syntax.fault(text, "json") is None) == exact(text), text
+
+
 def test_unparsable_files(spark):
     files = spark.createDataFrame([(1, "a/B.TS", "const = 1;"), (2, "a.md", "const = 1;"), (3, "a.py", None), (4, None, "x"), (5, "a.json", ""), (6, "a.py", "")], "file_id long, file_path string, source_text string")
     assert {r.file_id for r in syntax.find_unparsable(files).collect()} == {1, 5}
