@@ -13,10 +13,11 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.runtime import materialize, release
+from lodegraph.runtime import materialize, release, ship
 
 #: Fixed value: how the vocabulary's authors split a text, with Unicode meaning of white space.
 PRE_TOKEN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -37,27 +38,36 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken", folder: str | None = No
         return os.path.join("/opt/tokenizers", name)
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
+def read_file(path: str) -> bytes:
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return f.read()
+
+
+def read_ranks(content: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
 
 
 _encoders: dict[str, object] = {}
 
 
-def _encoder(path: str):
+def _encoder(path: str, held: Broadcast):
+    """The encoder of a vocabulary file, made once in a worker from what the driver read."""
     if path not in _encoders:
         import tiktoken
 
-        _encoders[path] = tiktoken.Encoding("corpus", pat_str=r"[\s\S]+", mergeable_ranks=read_ranks(path), special_tokens={})
+        _encoders[path] = tiktoken.Encoding("corpus", pat_str=r"[\s\S]+", mergeable_ranks=read_ranks(held.value), special_tokens={})
     return _encoders[path]
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, n, ids) for distinct pre-tokens (word, n); a pre-token of any length is one piece."""
+    """(word, n, ids) for distinct pre-tokens (word, n); a pre-token of any length is one piece.
+
+    The vocabulary file need lie where the driver runs only.
+    """
+    held = words.sparkSession.sparkContext.broadcast(read_file(path))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _encoder(path)
+        enc = _encoder(path, held)
         for b in batches:
             yield b.assign(ids=[enc._encode_single_piece(w.encode()) for w in b["word"]])
 
@@ -74,15 +84,17 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
     Each row gives one row, repeated rows too.
     """
     path = path or vocabulary_path()
+    ship(documents.sparkSession)
     rows = documents.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
-    full = rows.where(F.col("_text") != "")
-    counted = materialize(full.select(F.explode(pre_tokens(F.col("_text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    # texts are split once; all that follows reads their words
+    full = materialize(rows.where(F.col("_text") != "").select("_key", "_row", pre_tokens(F.col("_text")).alias("_words")), "split")
+    counted = materialize(full.select(F.explode("_words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
     total = counted.agg(F.sum("n")).first()[0] or 0
     codes = materialize(encode_words(counted, path), "codes")
     release(counted)
     frequent = codes.where(F.col("n") * max_frequent > total).select("word", "ids")  # at most max_frequent words
     rare = codes.where(F.col("n") * max_frequent <= total).select("word", "ids")
-    spread = full.select("_key", "_row", F.posexplode(pre_tokens(F.col("_text"))).alias("pos", "word"))
+    spread = full.select("_key", "_row", F.posexplode("_words").alias("pos", "word"))
     first = spread.join(F.broadcast(frequent), "word", "left")
     near = first.where(F.col("ids").isNotNull()).select("_key", "_row", "pos", "ids")
     far = first.where(F.col("ids").isNull()).select("_key", "_row", "pos", "word").join(rare.hint("shuffle_hash"), "word").select("_key", "_row", "pos", "ids")
@@ -95,7 +107,7 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
 def token_bytes(spark, path: str | None = None) -> DataFrame:
     """(id, piece): the bytes of every token; the table is as large as the vocabulary."""
-    ranks = read_ranks(path or vocabulary_path())
+    ranks = read_ranks(read_file(path or vocabulary_path()))
     return spark.createDataFrame([(i, bytearray(b)) for b, i in ranks.items()], "id int, piece binary")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodegraph.runtime import fresh, materialize
+from lodegraph.runtime import MAX_HOT_KEYS, fresh, materialize
 
 #: Histogram cells per factor of two; a cell spans about 1 % of a score.
 CELLS_PER_OCTAVE = 64
@@ -41,11 +41,15 @@ def top_n_per_group(df: DataFrame, group: list[str], score: str, n: int, ties: l
     per = W.partitionBy(*keys)
     above = F.sum("_n").over(per.orderBy(F.col("_cell").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")
     needed = cells.select(*keys, "_cell", above.alias("_above"), F.sum("_n").over(per).alias("_all")).where((F.col("_above") < n) & (F.col("_all") > prune_above))
-    floors = needed.groupBy(*keys).agg(F.min("_cell").alias(floor))
+    floors = materialize(needed.groupBy(*keys).agg(F.min("_cell").alias(floor), F.first("_all").alias("_all")), "floors")
     same = F.lit(True)
     for g, k in zip(group, keys):
         same = same & F.col(g).eqNullSafe(F.col(k))
-    kept = valid.join(floors, same, "left").where(F.col(floor).isNull() | (score_cell(F.col(score)) >= F.col(floor)))
+    largest = floors.orderBy(F.col("_all").desc(), *keys).limit(MAX_HOT_KEYS)
+    kept = valid
+    for part in (F.broadcast(largest), floors.join(largest.select(*keys), keys, "left_anti")):
+        low = score_cell(F.col(score)) >= F.col(floor)
+        kept = kept.join(part.drop("_all"), same, "left").where(F.col(floor).isNull() | low).select(*df.columns)
     order = W.partitionBy(*group).orderBy((F.col(score) + F.lit(0.0)).desc(), *ties)
     return kept.withColumn("rank_no", F.row_number().over(order)).where(F.col("rank_no") <= n).select(*df.columns, "rank_no")
 
