@@ -8,6 +8,7 @@ from operator import and_
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodegraph.functions import layers as L
 from lodegraph.functions import scalars as X
 from lodegraph.operators import graph as G
 from lodegraph.operators import relational as R
@@ -59,7 +60,11 @@ def cube(s, d):
     return insights(s, d).cube("category", "severity").agg(F.count(F.lit(1)).alias("c"))
 
 
-@query("language_by_extension", "WITH f AS (SELECT file_id, lower(regexp_extract(file_path, '(\\.[^./\\\\]*)$', 1)) AS ext FROM manifest_files) SELECT file_id, CASE ext " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.LANGUAGES.items()) + " END AS language FROM f")
+@query("language_by_extension", r"""WITH f AS (SELECT file_id, lower(regexp_extract(file_path, '(\.[^./\\]*)$', 1)) AS ext FROM manifest_files)
+SELECT file_id, CASE WHEN ext IN ('.ts', '.mts', '.cts') THEN 'TypeScript' WHEN ext = '.tsx' THEN 'TSX' WHEN ext IN ('.js', '.mjs', '.cjs') THEN 'JavaScript' WHEN ext = '.jsx' THEN 'JSX' WHEN ext = '.py' THEN 'Python' WHEN ext = '.rs' THEN 'Rust' WHEN ext = '.go' THEN 'Go'
+ WHEN ext = '.java' THEN 'Java' WHEN ext = '.rb' THEN 'Ruby' WHEN ext = '.php' THEN 'PHP' WHEN ext IN ('.c', '.h') THEN 'C' WHEN ext IN ('.cpp', '.cc', '.cxx', '.hpp') THEN 'Cpp' WHEN ext = '.cs' THEN 'CSharp' WHEN ext = '.swift' THEN 'Swift' WHEN ext IN ('.kt', '.kts') THEN 'Kotlin'
+ WHEN ext = '.scala' THEN 'Scala' WHEN ext IN ('.yaml', '.yml') THEN 'Yaml' WHEN ext IN ('.json', '.json5', '.jsonc') THEN 'Json' WHEN ext = '.toml' THEN 'Toml' WHEN ext IN ('.md', '.mdx') THEN 'Markdown' WHEN ext IN ('.sh', '.bash', '.zsh') THEN 'Shell' WHEN ext = '.sql' THEN 'Sql'
+ WHEN ext = '.asm' THEN 'Assembly' WHEN ext = '.proto' THEN 'Protobuf' WHEN ext IN ('.graphql', '.gql') THEN 'GraphQL' WHEN ext IN ('.tf', '.tfvars') THEN 'Terraform' END AS language FROM f""")
 def lang(s, d):
     return load(s, d, "manifest_files").select("file_id", X.language_of(X.normal_path(F.col("file_path"))).alias("language"))
 
@@ -102,7 +107,7 @@ def simple_prop(s, d):
 
 @query("infra_vs_business", S.SQL + f", l AS (SELECT snapshot_id, {LAYER} AS layer FROM n WHERE node_type = 'FILE'), c AS (SELECT snapshot_id, count(*) FILTER (layer IN ('INFRASTRUCTURE', 'DATA_LAYER', 'CONFIGURATION', 'BUILD_SYSTEM')) AS i, count(*) FILTER (layer IN ('DOMAIN_LAYER', 'SERVICE_LAYER')) AS b FROM l GROUP BY 1) SELECT snapshot_id, i AS infra, b AS business, CASE WHEN i + b = 0 THEN 'unknown' WHEN (i - b) / (i + b) > 0.1 THEN 'infrastructure' WHEN (i - b) / (i + b) < -0.1 THEN 'business' ELSE 'mixed' END AS kind FROM c")
 def infra_business(s, d):
-    l = X.layer(F.col("file_path"))
+    l = L.layer(F.col("file_path"))
     c = N(s, d).where("node_type = 'FILE'").groupBy("snapshot_id").agg(F.count_if(l.isin("INFRASTRUCTURE", "DATA_LAYER", "CONFIGURATION", "BUILD_SYSTEM")).alias("infra"), F.count_if(l.isin("DOMAIN_LAYER", "SERVICE_LAYER")).alias("business"))
     r = F.try_divide(F.col("infra") - F.col("business"), F.col("infra") + F.col("business"))
     return c.withColumn("kind", F.when(r.isNull(), "unknown").when(r > 0.1, "infrastructure").when(r < -0.1, "business").otherwise("mixed"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodegraph.functions import layers as L
 from lodegraph.functions import scalars as X
 from lodegraph.operators import graph as G
 from lodegraph.operators import relational as R
@@ -363,24 +364,32 @@ def _when(rules, col, other):
     return "CASE " + " ".join(f"WHEN regexp_matches({col}, '{p}') THEN '{n}'" for n, p in rules) + f" ELSE '{other}' END"
 
 
-LAYER = _when([(r[1], r[4]) for r in sorted(X.LAYER_RULES, key=lambda r: (r[2] != "HIGH", r[3]))], "file_path", "UNKNOWN")
-IMPORTANCE = "CASE layer " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in X.IMPORTANCE.items()) + " END"
+LAYER = r"""CASE WHEN regexp_matches(file_path, '/routes?/|\broutes?/|\bapi\b') THEN 'API_LAYER' WHEN regexp_matches(file_path, '/controllers?/|[.]controller[.]') THEN 'API_LAYER'
+ WHEN regexp_matches(file_path, '/services?/|[.]service[.]') THEN 'SERVICE_LAYER' WHEN regexp_matches(file_path, '/repositories?/|/daos?/|/databases?/|/models?/') THEN 'DATA_LAYER'
+ WHEN regexp_matches(file_path, '/domain/|/entities?/|/aggregates?/') THEN 'DOMAIN_LAYER' WHEN regexp_matches(file_path, '/infrastructure/|/adapters?/|/providers?/') THEN 'INFRASTRUCTURE'
+ WHEN regexp_matches(file_path, '/components?/|/pages?/|/views?/|/ui/|[.](tsx|jsx)$') THEN 'UI_LAYER' WHEN regexp_matches(file_path, '/utils?/|/helpers?/|/lib/|/shared/') THEN 'SHARED_UTILITY'
+ WHEN regexp_matches(file_path, '/config/|[.]config[.]|[.]env[.]') THEN 'CONFIGURATION' WHEN regexp_matches(file_path, '[.](test|spec|e2e|integration)[.]|/__tests__/|/__mocks__/|/fixtures?/') THEN 'TESTING'
+ WHEN regexp_matches(file_path, '/(build|dist|scripts?)/|[.]dockerfile|\bDockerfile\b') THEN 'BUILD_SYSTEM' WHEN regexp_matches(file_path, '/middleware/|[.]middleware[.]') THEN 'INFRASTRUCTURE'
+ WHEN regexp_matches(file_path, '/auth/|/guards?/|/security/') THEN 'SECURITY' WHEN regexp_matches(file_path, '/logging/|/monitoring/|/telemetry/|/tracing/') THEN 'OBSERVABILITY'
+ WHEN regexp_matches(file_path, '/migrations?/') THEN 'DATA_LAYER' WHEN regexp_matches(file_path, '/graphql/|/resolvers?/|/schemas?/') THEN 'API_LAYER' ELSE 'UNKNOWN' END"""
+IMPORTANCE = """CASE layer WHEN 'DOMAIN_LAYER' THEN 10 WHEN 'SERVICE_LAYER' THEN 8 WHEN 'API_LAYER' THEN 7 WHEN 'DATA_LAYER' THEN 6 WHEN 'SHARED_UTILITY' THEN 5 WHEN 'INFRASTRUCTURE' THEN 4 WHEN 'UI_LAYER' THEN 3
+ WHEN 'CONFIGURATION' THEN 2 WHEN 'SECURITY' THEN 2 WHEN 'OBSERVABILITY' THEN 2 WHEN 'TESTING' THEN 1 WHEN 'BUILD_SYSTEM' THEN 1 ELSE 0 END"""
 
 
 @query("classify_layers", S.SQL + f" SELECT id, {LAYER} AS layer FROM n WHERE node_type = 'FILE'")
 def layers(s, d):
-    return N(s, d).where("node_type = 'FILE'").select("id", X.layer(F.col("file_path")).alias("layer"))
+    return N(s, d).where("node_type = 'FILE'").select("id", L.layer(F.col("file_path")).alias("layer"))
 
 
 @query("architectural_slice", S.SQL + f", l AS (SELECT id, {LAYER} AS layer FROM n) SELECT e.id, a.layer AS src_layer, b.layer AS dst_layer FROM e JOIN l a ON a.id = e.src JOIN l b ON b.id = e.dst WHERE a.layer IN ('DOMAIN_LAYER', 'SERVICE_LAYER') AND b.layer IN ('DOMAIN_LAYER', 'SERVICE_LAYER')")
 def aslice(s, d):
-    l = N(s, d).select("id", X.layer(F.col("file_path")).alias("layer")).where(F.col("layer").isin("DOMAIN_LAYER", "SERVICE_LAYER"))
+    l = N(s, d).select("id", L.layer(F.col("file_path")).alias("layer")).where(F.col("layer").isin("DOMAIN_LAYER", "SERVICE_LAYER"))
     return E(s, d).join(l.select(F.col("id").alias("src"), F.col("layer").alias("src_layer")), "src").join(l.select(F.col("id").alias("dst"), F.col("layer").alias("dst_layer")), "dst").select("id", "src_layer", "dst_layer")
 
 
 @query("infra_to_domain_edges", S.SQL + f", l AS (SELECT id, {LAYER} AS layer FROM n) SELECT e.id FROM e JOIN l a ON a.id = e.src JOIN l b ON b.id = e.dst WHERE a.layer = 'INFRASTRUCTURE' AND b.layer = 'DOMAIN_LAYER'")
 def infra(s, d):
-    l = N(s, d).select("id", X.layer(F.col("file_path")).alias("layer"))
+    l = N(s, d).select("id", L.layer(F.col("file_path")).alias("layer"))
     return E(s, d).join(l.where("layer = 'INFRASTRUCTURE'").select(F.col("id").alias("src")), "src", "left_semi").join(l.where("layer = 'DOMAIN_LAYER'").select(F.col("id").alias("dst")), "dst", "left_semi").select("id")
 
 
@@ -410,8 +419,8 @@ def file_relevance(s, d):
 @query("composite_ranking", S.SQL + FAN + f""", l AS (SELECT *, {LAYER} AS layer FROM fan), r AS (SELECT id, snapshot_id, round(0.25 * least(1, (fan_in + fan_out) / 20) + 0.25 * {IMPORTANCE} / 10 + 0.25 * CASE WHEN fan_in + fan_out > 0 THEN fan_out / (fan_in + fan_out) ELSE 0 END + 0.25 / (1 + fan_in), 4) AS score FROM l)
 SELECT id, snapshot_id, score FROM r QUALIFY row_number() OVER (PARTITION BY snapshot_id ORDER BY score DESC, id) <= 10""")
 def ranking(s, d):
-    f = fans(s, d).withColumn("layer", X.layer(F.col("file_path")))
-    score = F.least(F.lit(1.0), F.col("total") / 20) * 0.25 + X.importance(F.col("layer")) * 0.25 / 10 + F.coalesce(F.try_divide(F.col("fan_out"), F.col("total")), F.lit(0.0)) * 0.25 + F.lit(0.25) / (F.col("fan_in") + 1)
+    f = fans(s, d).withColumn("layer", L.layer(F.col("file_path")))
+    score = F.least(F.lit(1.0), F.col("total") / 20) * 0.25 + L.importance(F.col("layer")) * 0.25 / 10 + F.coalesce(F.try_divide(F.col("fan_out"), F.col("total")), F.lit(0.0)) * 0.25 + F.lit(0.25) / (F.col("fan_in") + 1)
     return R.first_per(f.select("id", "snapshot_id", F.round(score, 4).alias("score")), ["snapshot_id"], [F.col("score").desc(), F.col("id")], 10)
 
 

@@ -108,6 +108,30 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.where(F.col("priority") != "LOW").write.mode("append").parquet(path)
 
 
+def write_by_snapshot(df: DataFrame, path: str) -> None:
+    """A table of contexts, insights, findings, diffs or lineage, a folder per snapshot; a snapshot written again replaces itself only.
+
+    Rows without a snapshot go to a folder of their own.
+    """
+    spread = df.repartition("snapshot_id", F.pmod(F.xxhash64(*df.columns), F.lit(8)))  # a large snapshot is eight tasks
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(path)
+
+
+def delete_snapshots(spark: SparkSession, path: str, ids: list[str]) -> int:
+    """Removes the folders of some snapshots from a table of :func:`write_by_snapshot`; returns how many there were."""
+    jvm, gone = spark.sparkContext._jvm, 0
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for i in ids:
+        where = jvm.org.apache.hadoop.fs.Path(f"{path}/snapshot_id={escape(i)}")
+        gone += bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True))
+    return gone
+
+
+def point_lookup(df: DataFrame, ids: list[str], column: str = "id") -> DataFrame:
+    """The rows of some ids; the filter reaches the scan, so files whose statistics exclude them are not read."""
+    return df.where(F.col(column).isin(*ids))
+
+
 def delete_older(df: DataFrame, column: str, days: int, now: str) -> DataFrame:
     """Rows that a retention of so many days keeps."""
     return df.where(F.col(column) >= F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days)))
