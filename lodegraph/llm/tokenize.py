@@ -3,7 +3,8 @@
 Texts are split into pre-tokens inside the JVM.  Each distinct pre-token is
 encoded once, however often it occurs; its ids join back to the occurrences,
 which are put together again by position.  Pre-tokens frequent enough to be a
-burden for a shuffle are few by definition; their ids are broadcast.
+burden for a shuffle are few by definition; their ids are broadcast and looked
+up where the text is, so only rare ones travel.
 """
 
 from __future__ import annotations
@@ -92,17 +93,42 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
     total = counted.agg(F.sum("n")).first()[0] or 0
     codes = materialize(encode_words(counted, path), "codes")
     release(counted)
-    frequent = codes.where(F.col("n") * max_frequent > total).select("word", "ids")  # at most max_frequent words
+    # at most max_frequent words
+    frequent = {r["word"]: list(r["ids"]) for r in codes.where(F.col("n") * max_frequent > total).select("word", "ids").toLocalIterator()}
+    held = documents.sparkSession.sparkContext.broadcast(frequent)
+
+    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = held.value
+        for b in batches:
+            runs, holes = [], []
+            for words in b["_words"]:
+                run: list[int] = []
+                mine, rare = [run], []
+                for w in words:
+                    ids = table.get(w)
+                    if ids is None:
+                        rare.append(w)
+                        run = []
+                        mine.append(run)
+                    else:
+                        run += ids
+                runs.append(mine)
+                holes.append(rare)
+            yield pd.DataFrame({"_key": b["_key"], "_row": b["_row"], "runs": runs, "holes": holes})
+
+    kind = dict(rows.dtypes)["_key"]
+    near = full.mapInPandas(look_up, f"_key {kind}, _row bigint, runs array<array<int>>, holes array<string>")
+    near = materialize(near, "near")  # ids of frequent words, split where a rare word stands, and those words
     rare = codes.where(F.col("n") * max_frequent <= total).select("word", "ids")
-    spread = full.select("_key", "_row", F.posexplode("_words").alias("pos", "word"))
-    first = spread.join(F.broadcast(frequent), "word", "left")
-    near = first.where(F.col("ids").isNotNull()).select("_key", "_row", "pos", "ids")
-    far = first.where(F.col("ids").isNull()).select("_key", "_row", "pos", "word").join(rare.hint("shuffle_hash"), "word").select("_key", "_row", "pos", "ids")
-    # pieces of one row travel together: neighbours are packed before the shuffle by row
-    packed = near.unionByName(far).groupBy("_key", "_row").agg(F.collect_list(F.struct("pos", "ids")).alias("_p"))
-    whole = packed.select("_key", F.flatten(F.transform(F.array_sort("_p"), lambda x: x["ids"])).alias("ids"))
+    far = near.select("_row", F.posexplode("holes").alias("at", "word")).join(rare.hint("shuffle_hash"), "word").select("_row", "at", "ids")
+    whole = near.where(F.size("holes") == 0).select("_key", F.flatten("runs").alias("ids"))
+    # a row and its rare words meet by row, once
+    none = F.lit(None)
+    parts = near.where(F.size("holes") > 0).select("_row", "_key", "runs", none.cast("int").alias("at"), none.cast("array<int>").alias("ids")).unionByName(far.select("_row", none.cast(kind).alias("_key"), none.cast("array<array<int>>").alias("runs"), "at", "ids"))
+    met = parts.groupBy("_row").agg(F.max("_key").alias("_key"), F.first("runs", True).alias("runs"), F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "ids")))).alias("_p"))
+    filled = F.concat(F.element_at("runs", 1), F.flatten(F.zip_with("_p", F.slice("runs", F.lit(2), F.size("runs")), lambda x, run: F.concat(x["ids"], run))))
     none = rows.where(F.col("_text").isNull() | (F.col("_text") == "")).select("_key", F.array().cast("array<int>").alias("ids"))
-    return whole.unionByName(none).select(F.col("_key").alias(key), "ids")
+    return whole.unionByName(met.select("_key", filled.alias("ids"))).unionByName(none).select(F.col("_key").alias(key), "ids")
 
 
 def token_bytes(spark, path: str | None = None) -> DataFrame:
