@@ -6,9 +6,10 @@ that don't match and files that end inside one; rules on neighbouring tokens
 report operands without an operator between them, operators without an operand,
 declarations without a name and a language's top level broken.  Conflict
 markers count where they stand outside of literals and comments.  JSON's
-grammar is small enough for the stack to decide it all.  For Python the lexer is
-followed by an exact check, the standard library's parser: it confirms what the
-lexer found and adds what takes the full grammar.
+grammar is small enough for the stack to decide it all.  Python's lexer keeps a
+second stack, of the columns of open blocks; an exact check follows, the standard
+library's parser, which confirms what the lexer found and adds what takes the
+full grammar.
 """
 
 from __future__ import annotations
@@ -947,39 +948,165 @@ def _json_fault(text: str) -> tuple[str, int] | None:
             return ("text after the value" if want == "after" and not stack else "operands without an operator" if want == "after" else "operator without an operand"), at(i)
 
 
-PY_TOKEN = re.compile(r"(?i)(?:[rbfut]|rb|br|fr|rf|tr|rt)?(\"\"\"|'''|\"|')|#[^\n]*|[\[\](){}]|\n|(?:<{7}|>{7}|={7})(?= |\n|$)")
+PY_TOKEN = re.compile(r"(?P<space>[ \t\f]+)|(?P<line>\n)|(?P<comment>#[^\n]*)|(?P<joined>\\\n)|(?P<quote>(?i:[rbfut]|rb|br|fr|rf|tr|rt)?(?:\"\"\"|'''|\"|'))|(?P<number>(?:0[xX][\da-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[jJ]?))|(?P<name>[^\W\d]\w*)|(?P<conflict>(?:<{7}|>{7}|={7})(?= |\n|$))|(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|!=|->|:=|\*\*|//|>>|<<|<=|>=|==|\+=|-=|\*=|/=|%=|@=|&=|\|=|\^=|[-+*/%@&|^~<>()\[\]{},:;.=!])")
+#: Python's reserved words, those that begin a block, and operators that need an operand on their right.
+PY_WORDS = set("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split())
+PY_BLOCKS = set("class def elif else except finally for if try while with".split())
+PY_RIGHT = set("+ - * / // % @ ** & | ^ ~ << >> = == != <= >= < > += -= *= /= //= %= @= &= |= ^= >>= <<= **= -> := .".split())
+PY_SIGNS = set("+ - * / // % @ & | ^ << >> = == != <= >= < > += -= -> := . **".split())
 
 
-def _python_fault(text: str) -> tuple[str, int] | None:
-    why: tuple[str, int] | None = None
-    stack, line, i = [], 1, 0
-    while why is None and (m := PY_TOKEN.search(text, i)):
-        x = m.group()
+def _python_lexed(text: str) -> tuple[str, int] | None:
+    """What the lexer, its stack of brackets and blocks and the places of words say of a Python text."""
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    stack: list[str] = []
+    blocks = [0]  # columns of open blocks
+    row: list[tuple[str, str]] = []  # the logical line: kind, text
+    line, i, n = 1, 0, len(text)
+    begun, opens = 1, False  # whether the line before opened a block
+    column: int | None = None
+
+    def closed() -> tuple[str, int] | None:
+        nonlocal opens
+        if not row:
+            return None
+        why = _python_line(row)
+        if why:
+            return why, begun
+        opens = row[-1] == ("op", ":")
+        return None
+
+    while i < n:
+        m = PY_TOKEN.match(text, i)
+        if not m:
+            return "stray character", line
+        kind, x = m.lastgroup or "", m.group()
+        at_start = i == 0 or text[i - 1] == "\n"
         i = m.end()
-        if m.group(1):
-            q = m.group(1)
+        if kind == "conflict":
+            if at_start:
+                return "conflict marker", line
+            return "operator without an operand", line
+        if kind == "space":
+            if at_start and not stack and not row:
+                column = 0
+                for c in x:
+                    column = column // 8 * 8 + 8 if c == "\t" else column + 1
+            continue
+        if kind == "comment":
+            continue
+        if kind == "joined":
+            line += 1
+            continue
+        if kind == "line":
+            line += 1
+            if not stack:
+                if why := closed():
+                    return why
+                row, column = [], 0
+            continue
+        if not stack and not row:  # the first token of a logical line
+            col = column or 0
+            begun = line
+            if opens and col <= blocks[-1]:
+                return "block without a body", line
+            if col > blocks[-1]:
+                if not opens:
+                    return "unexpected indent", line
+                blocks.append(col)
+            else:
+                while blocks[-1] > col:
+                    blocks.pop()
+                if blocks[-1] != col:
+                    return "indent matches no block", line
+            opens = False
+        if kind == "quote":
+            q = x.lstrip("rRbBfFuUtT")
             j = i
-            while j < len(text) and not text.startswith(q, j):
-                if text[j] == "\\":
+            while True:
+                j = text.find(q[0], j) if len(q) == 1 else text.find(q, j)
+                end = n if j < 0 else j
+                if len(q) == 1:
+                    k = text.find("\n", i, end)
+                    while k >= 0 and (len(text[i:k]) - len(text[i:k].rstrip("\\"))) % 2:
+                        k = text.find("\n", k + 1, end)
+                    if k >= 0:
+                        return "unterminated string", line
+                if j < 0:
+                    return "unterminated string", line
+                back = j
+                while back > i and text[back - 1] == "\\":
+                    back -= 1
+                if (j - back) % 2:
                     j += 1
-                elif text[j] == "\n" and len(q) == 1:
-                    break
-                j += 1
-            if not text.startswith(q, j):
-                why = ("unterminated string", line)
+                    continue
+                break
             line += text.count("\n", i, j)
             i = j + len(q)
-        elif x == "\n":
-            line += 1
-        elif x in ("(", "[", "{"):
+            row.append(("string", q))
+            continue
+        if x in ("(", "[", "{"):
             stack.append(x)
-        elif x in PAIRS:
-            if not stack or stack.pop() != PAIRS[x]:
-                why = ("brackets don't match", line)
-        elif x[0] in "<>=" and (m.start() == 0 or text[m.start() - 1] == "\n"):
-            why = ("conflict marker", line)
-    if why is None and stack:
-        why = ("ends inside " + stack[-1], line)
+        elif x in PAIRS and (not stack or stack.pop() != PAIRS[x]):
+            return "brackets don't match", line
+        if kind == "number" and i < n and (text[i].isalpha() and not re.match(r"(?:if|in|is|or|and|else|for|not)\b", text[i:]) or text[i].isdigit()):
+            return "letters right after a number", line
+        row.append((kind, x))
+    if stack:
+        return "ends inside " + stack[-1], line
+    if why := closed():
+        return why
+    if opens:
+        return "block without a body", line
+    return None
+
+
+def _python_line(row: list[tuple[str, str]]) -> str | None:
+    """Why a logical line is no statement, as far as neighbours tell."""
+    first = row[0][1]
+    if first == "async" and len(row) > 1:
+        first = row[1][1]
+    depth, colon = 0, False
+    before: tuple[str, str] | None = None
+    soft = row[0][0] == "name" and row[0][1] in ("match", "case", "type", "print", "exec") and first not in PY_WORDS
+    lambdas = 0
+    for kind, x in [*row, ("end", "")]:
+        p = before[1] if before else ""
+        ends = before is not None and (before[0] in ("number", "string") or before[0] == "name" and (p not in PY_WORDS or p in ("True", "False", "None")) or p in (")", "]", "}", "..."))
+        starts = kind in ("number", "string") or kind == "name" and (x not in PY_WORDS or x in ("True", "False", "None", "lambda", "not"))
+        if ends and starts and not (before and before[0] == "string" and kind == "string") and not (x == "not") and not (soft and before == row[0] and row[0][1] in ("match", "case", "type")):
+            return "operands without an operator"
+        if before is not None and before[0] == "op" and p in PY_RIGHT and (x in (")", "]", "}", ",", ";", "") and not (p == "*" and x in (",", ")", "")) or x == ":" and p not in ("*",)) and not (p in ("/",) and x in (",", ")", ":")):
+            return "operator without an operand"
+        if kind == "op" and x in PY_SIGNS and not ends and x not in ("+", "-", "*", "**", "@", "->") and not (x == "." and p in ("from", ".", "...", "import")) and not (x == "=" and p == ",") and not (x == "/" and p in (",", "(")):
+            return "operator without an operand"
+        if x in ("return", "raise", "del", "pass", "break", "continue", "global", "nonlocal", "import", "while", "def", "class", "try", "finally", "assert") and kind == "name" and before is not None and p not in (":", ";") and not (x == "import" and row[0][1] == "from") and not (x in ("def", "with", "for") and p == "async") and not depth:
+            return "statement where a value should be"
+        if x == "," and (before is None or p in (",", "(", "[", "{") or before[0] == "op" and p in PY_RIGHT and p not in ("*", "/")):
+            return "comma without an operand"
+        if x == "lambda" and not depth:
+            lambdas += 1
+        if x == ":" and depth == 0:
+            if lambdas:
+                lambdas -= 1
+            else:
+                colon = True
+        if x in ("(", "[", "{"):
+            depth += 1
+        elif x in (")", "]", "}"):
+            depth -= 1
+        before = (kind, x)
+    if first in PY_BLOCKS and not colon:
+        return "block without a colon"
+    if first in ("def", "class") and not (len(row) > 1 and any(k == "name" and x not in PY_WORDS for k, x in row[1:3])):
+        return "declaration without a name"
+    if first in ("if", "while", "elif", "with", "for") and row[1 if row[0][1] != "async" else 2 :][:1] == [("op", ":")]:
+        return "condition missing"
+    return None
+
+
+def _python_fault(text: str) -> tuple[str, int] | None:
+    why = _python_lexed(text)
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
