@@ -194,7 +194,7 @@ def test_json_against_an_exact_parser():
 
 def test_python_lexer_beside_the_exact_parser():
     bad = ["def f(:\n  pass", "if x\n  y", "x = = 1", "x = (1", "x = 'a", "def f():\nreturn 1", "  x = 1", "if a:\n    b\n  c", "a b", "return return", "class :\n  x", "x = 1 +", "<<<<<<< a\nx = 1", "f(1,,2)", 'y = """a', "x = [1}", "3x"]
-    good = ["", "\n\n", "x, = f()", "from a import *", "def f(a, /, b, *, c): pass", "if (lambda : 1)(): pass", "x = (1,\n  2)\n", "class A:\n\tdef f(self): return -1\n\n\tx: int = 3\n", "match x:\n  case 1: pass", "s = r'\\' 'b'", "a[1:2, ::3]", "x = 1 if a else 2\ny = not a", "async def f():\n  async with a as b: await c", "@d\ndef f(): ...", "try:\n  a\nexcept (B, C) as e:\n  raise X from e", "print(*a, **b)", "x = 'a\\\nb'", "# only\n", "def f() -> int: pass", "if a:\n    b\n# c\n  # d\nelse:\n    e"]
+    good = ["", "\n\n", "x, = f()", "from a import *", "def f(a, /, b, *, c): pass", "if (lambda : 1)(): pass", "x = (1,\n  2)\n", "class A:\n\tdef f(self): return -1\n\n\tx: int = 3\n", "match x:\n  case 1: pass", "s = r'\\\\' 'b'", "a[1:2, ::3]", "x = 1 if a else 2\ny = not a", "async def f():\n  async with a as b: await c", "@d\ndef f(): ...", "try:\n  a\nexcept (B, C) as e:\n  raise X from e", "print(*a, **b)", "x = 'a\\\nb'", "# only\n", "def f() -> int: pass", "if a:\n    b\n# c\n  # d\nelse:\n    e"]
     assert [x for x in bad if not syntax._python_lexed(x)] == []
     assert [(x, syntax._python_lexed(x)) for x in good if syntax._python_lexed(x) or syntax.fault(x, "python")] == []
 
