@@ -100,9 +100,28 @@ def shingles(text: str, stripped: str | None = None) -> np.ndarray:
 LEAST_SHINGLES = 20
 
 
+#: What runs of numbers, bytes and coordinates are made of; the shortest run of DATA is so long.
+ZONE = re.compile(r"[\dA-Fa-fxXMLHVSQTZ,\s\[\]\\.-]{32,}")
+LONG_WORD = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/=]{80,}")
+
+
+def _zones(text: str) -> list[tuple[int, int]]:
+    """Stretches, in order and apart, outside of which there is no DATA."""
+    spans = [m.span() for m in ZONE.finditer(text)]
+    if max(map(len, text.split()), default=0) >= 80:
+        spans = sorted(spans + [m.span() for m in LONG_WORD.finditer(text)])
+    out: list[tuple[int, int]] = []
+    for a, z in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
+
+
 def data_share(text: str) -> float:
     """Share of the text that is embedded data rather than code."""
-    covered = sum(m.end() - m.start() for m in DATA.finditer(text))
+    covered = sum(m.end() - m.start() for a, z in _zones(text) for m in DATA.finditer(text, a, z))
     rows = [m.end() - m.start() for m in ROWS.finditer(text)]
     if len(rows) >= 12:
         covered = max(covered, sum(rows))
@@ -176,6 +195,10 @@ def comments(path: str, text: str) -> list[tuple[bool, str]]:
     return out
 
 
+def _locked(text: str) -> bool:
+    return bool(LOCK_TEXT.search(text))
+
+
 def evidence(path: str, text: str | None, likeness: float, stripped: str | None = None) -> np.ndarray:
     """Likelihood of what is seen of a file, by label; ``stripped``: the text without comments, if it is at hand."""
     e = np.array([1.0, 0.02, 0.02, 0.8, 0.02])  # third-party code looks like any other
@@ -190,9 +213,9 @@ def evidence(path: str, text: str | None, likeness: float, stripped: str | None
     rep = repetition(bare(t) if stripped is None else stripped) if t else 0.0
     if remark:
         e[1] *= 3e4
-    if GENERATED_PATH.search(path) and (rep > 0.2 or remark or LOCK_TEXT.search(t) or not t):
+    if GENERATED_PATH.search(path) and (rep > 0.2 or remark or _locked(t) or not t):
         e[1] *= 3e4
-    if LOCK_TEXT.search(t) and t.count("integrity") >= 1 and "lockfileVersion" in t:
+    if t.count("integrity") >= 1 and "lockfileVersion" in t and _locked(t):
         e[1] *= 3e4
     if code and rep > 0.5 and t.count("\n") > 5:
         e[1] *= 3e4 if rep > 0.65 else 300
