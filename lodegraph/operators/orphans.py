@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.runtime import materialize, release, union_all
@@ -47,13 +47,14 @@ def orphan_references(tables: dict[str, DataFrame], keys: tuple[ForeignKey, ...]
     columns.  Tables may be empty and may have other columns of any name.  The
     cascade ends when a round adds nothing, however long it is.
     """
-    refs = {}
+    refs, named = {}, {}
     for i, k in enumerate(keys):
         child = tables[k.child]
         cols = [F.col(id_column).cast("string").alias("row_id"), F.col(k.field).cast("string").alias("k0"), *[F.col(c).cast("string").alias(f"k{j}") for j, (c, _) in enumerate(k.also, 1)]]
         # what others may name this row by, beside its id
-        named = sorted({c for q in keys if q.parent == k.child for c in (q.key, *(p for _, p in q.also))})
-        refs[i] = child.where(F.col(k.field).isNotNull() & (F.col(k.field) != "")).select(*cols, F.date_format(F.col(period), "yyyy-MM").alias("month"), _named(named))
+        named[i] = sorted({c for q in keys if q.parent == k.child for c in (q.key, *(p for _, p in q.also))})
+        more = [F.col(c).cast("string").alias(f"x_{c}") for c in named[i] if c != id_column]
+        refs[i] = child.where(F.col(k.field).isNotNull() & (F.col(k.field) != "")).select(*cols, F.date_format(F.col(period), "yyyy-MM").alias("month"), *more)
     direct = []
     for i, k in enumerate(keys):
         if not k.counted:
@@ -68,7 +69,7 @@ def orphan_references(tables: dict[str, DataFrame], keys: tuple[ForeignKey, ...]
             c = F.col(f"r.{n}").eqNullSafe(F.col(f"m.{n}"))
             same = c if same is None else same & c
         rows = refs[i].alias("r").join(missing.drop("n").alias("m"), same, "left_semi")
-        direct.append(_cases(rows, k, 0))
+        direct.append(_cases(rows, k, 0, named[i], id_column))
     found = [materialize(_once(union_all(direct)) if direct else tables[keys[0].child].sparkSession.createDataFrame([], SCHEMA), "orphans")]
     fresh, level = found[0], 0
     while True:
@@ -76,7 +77,7 @@ def orphan_references(tables: dict[str, DataFrame], keys: tuple[ForeignKey, ...]
         new = []
         for i, k in enumerate(keys):
             bad = fresh.where(F.col("table_name") == k.parent).select(*[F.get_json_object("_by", f"$['{p}']").alias(n) for n, p in zip(_names(k), (k.key, *(p for _, p in k.also)))]).distinct()
-            new.append(_cases(refs[i].join(bad, _names(k), "left_semi"), k, level))
+            new.append(_cases(refs[i].join(bad, _names(k), "left_semi"), k, level, named[i], id_column))
         found_now = materialize(_once(union_all(new)).join(union_all(found).select("table_name", "row_id", "field_name", "_by"), ["table_name", "row_id", "field_name", "_by"], "left_anti"), "orphans")
         if found_now.isEmpty():
             release(found_now)
@@ -92,13 +93,10 @@ def _names(k: ForeignKey) -> list[str]:
     return ["k0", *[f"k{j}" for j in range(1, len(k.also) + 1)]]
 
 
-def _named(columns: list[str]) -> Column:
-    """A struct of the columns by which other tables may name a row; one that none names has an empty one."""
-    return F.struct(*([F.col(c).cast("string").alias(c) for c in columns] or [F.lit(None).cast("string").alias("_")])).alias("_n")
-
-
-def _cases(rows: DataFrame, k: ForeignKey, level: int) -> DataFrame:
-    return rows.select(F.lit(k.child).alias("table_name"), "row_id", F.lit(k.field).alias("field_name"), "month", F.to_json("_n").alias("_by"), F.lit(level).alias("level"))
+def _cases(rows: DataFrame, k: ForeignKey, level: int, named: list[str], id_column: str) -> DataFrame:
+    """Rows as cases; ``_by`` holds the columns by which other tables may name them."""
+    by = [F.col("row_id" if c == id_column else f"x_{c}").alias(c) for c in named] or [F.lit(None).cast("string").alias("_")]
+    return rows.select(F.lit(k.child).alias("table_name"), "row_id", F.lit(k.field).alias("field_name"), "month", F.to_json(F.struct(*by)).alias("_by"), F.lit(level).alias("level"))
 
 
 def _once(rows: DataFrame) -> DataFrame:
