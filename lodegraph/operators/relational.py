@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodegraph.runtime import all_of, materialize
+from lodegraph.runtime import all_of, fresh, materialize
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame, side: str) -> DataFrame:
@@ -64,10 +64,29 @@ def greedy(df: DataFrame, by: Sequence[str], order: Sequence[Column], cost: str,
     return ranked.join(took, same, "left_semi").drop("_r").unionByName(free)
 
 
+def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[Column], value: Column, to: str) -> DataFrame:
+    """``df`` with the sum of ``value`` (null: 0) from the first row of its group to itself, in ``order``, which must be unique in a group.
+
+    Rows are spread by ranges of group and order, so a group of any size is many
+    tasks; each range adds up its own rows and the sums of the ranges before it,
+    one number a range and group.
+    """
+    at, own = fresh(df, "_at", "_own")
+    spread = df.withColumn(own, F.coalesce(value, F.lit(0))).repartitionByRange(*[F.col(c) for c in by], *order).withColumn(at, F.spark_partition_id())
+    held = materialize(spread, "ranges")
+    ranges = held.groupBy(*by, at).agg(F.sum(own).alias("_s"))
+    before = F.coalesce(F.sum("_s").over(W.partitionBy(*by).orderBy(at).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col(at).alias("_ka"), before.alias("_b"))
+    here = W.partitionBy(*by, at).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    same = all_of([F.col(at) == F.col("_ka"), *(F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by))])
+    summed = held.withColumn(to, F.sum(own).over(here)).join(ranges, same)
+    return summed.withColumn(to, F.col(to) + F.col("_b")).select(*df.columns, to)
+
+
 def prefix_budget(df: DataFrame, by: Sequence[str], order: Sequence[Column], cost: str, budget: int) -> DataFrame:
     """Rows in order until the budget is used up."""
-    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return df.withColumn("_u", F.sum(cost).over(w)).where(F.col("_u") <= budget).drop("_u")
+    (used,) = fresh(df, "_used")
+    return running_sum(df, by, order, F.col(cost), used).where(F.col(used) <= budget).drop(used)
 
 
 def term_index(df: DataFrame, key: str, terms: Column) -> DataFrame:

@@ -107,9 +107,9 @@ def sets(s, d):
 
 
 # aggregates ---------------------------------------------------------------------------------------------------------
-@query("namespace_ownership", S.SQL + " SELECT snapshot_id, namespace, count(*) AS node_count, array_to_string(list(id ORDER BY id), ',') AS ids FROM n WHERE node_type = 'FILE' GROUP BY 1, 2")
+@query("namespace_ownership", S.SQL + " SELECT snapshot_id, namespace, count(*) AS node_count, min(id) AS first_id, max(id) AS last_id FROM n WHERE node_type = 'FILE' GROUP BY 1, 2")
 def ns(s, d):
-    return N(s, d).where("node_type = 'FILE'").groupBy("snapshot_id", "namespace").agg(F.count(F.lit(1)).alias("node_count"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"))
+    return N(s, d).where("node_type = 'FILE'").groupBy("snapshot_id", "namespace").agg(F.count(F.lit(1)).alias("node_count"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
 @query("symbol_ownership", S.SQL + " SELECT snapshot_id, symbol_name, count(DISTINCT file_path) AS files, count(*) AS nodes FROM n WHERE symbol_name IS NOT NULL GROUP BY 1, 2")
@@ -424,10 +424,18 @@ def ranking(s, d):
     return R.first_per(f.select("id", "snapshot_id", F.round(score, 4).alias("score")), ["snapshot_id"], [F.col("score").desc(), F.col("id")], 10)
 
 
-@query("repository_hash", "SELECT snapshot_id, sha256(string_agg(sha256, '' ORDER BY file_path, sha256)) AS repository_hash, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM manifest_files WHERE sha256 IS NOT NULL GROUP BY 1")
+@query("repository_hash", """WITH b AS (SELECT snapshot_id, substr(sha256(file_path), 1, 3) AS bucket, sha256(string_agg(sha256, '' ORDER BY file_path, sha256)) AS h, count(*) AS files, sum(size_bytes) AS bytes FROM manifest_files WHERE sha256 IS NOT NULL GROUP BY 1, 2)
+SELECT snapshot_id, sha256(string_agg(h, '' ORDER BY bucket)) AS repository_hash, CAST(sum(files) AS BIGINT) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM b GROUP BY 1""")
 def repohash(s, d):
-    m = load(s, d, "manifest_files").where("sha256 IS NOT NULL").groupBy("snapshot_id").agg(F.array_sort(F.collect_list(F.struct("file_path", "sha256"))).alias("l"), F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"))
-    return m.select("snapshot_id", F.sha2(F.array_join(F.transform("l", lambda x: x["sha256"]), ""), 256).alias("repository_hash"), "files", "bytes")
+    """A hash of hashes: files fall into 4,096 ranges, so that no task folds a whole repository."""
+    m = load(s, d, "manifest_files").where("sha256 IS NOT NULL").groupBy("snapshot_id", F.substring(F.sha2("file_path", 256), 1, 3).alias("bucket"))
+    return _folded(m.agg(F.array_sort(F.collect_list(F.struct("file_path", "sha256"))).alias("l"), F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes")), "snapshot_id", "sha256", "", "repository_hash", ["files", "bytes"])
+
+
+def _folded(parts, key, value, gap, to, sums):
+    h = parts.select(key, "bucket", F.sha2(F.array_join(F.transform("l", lambda x: x[value]), gap), 256).alias("h"), *sums)
+    g = h.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("bucket", "h"))).alias("l"), *[F.sum(c).alias(c) for c in sums])
+    return g.select(key, F.sha2(F.array_join(F.transform("l", lambda x: x["h"]), ""), 256).alias(to), *sums)
 
 
 @query("path_scalars", S.SQL + f" SELECT id, namespace, module, {EXT} AS extension, len(list_filter(string_split(file_path, '/'), lambda x: x <> '' AND x <> '.')) - 1 AS depth FROM n")
@@ -504,10 +512,10 @@ def entry_fp(s, d):
     return entries(s, d).select("id", X.fingerprint(F.col("id"), F.col("category"), F.col("content")).alias("fp"))
 
 
-@query("repository_fingerprint", ENTRIES + " SELECT category, sha256(string_agg(id || ':' || fingerprint, '|' ORDER BY id)) AS fp FROM m WHERE fingerprint IS NOT NULL GROUP BY 1")
+@query("repository_fingerprint", ENTRIES + ", b AS (SELECT category, substr(sha256(id), 1, 3) AS bucket, sha256(string_agg(id || ':' || fingerprint, '|' ORDER BY id)) AS h FROM m WHERE fingerprint IS NOT NULL GROUP BY 1, 2) SELECT category, sha256(string_agg(h, '' ORDER BY bucket)) AS fp FROM b GROUP BY 1")
 def repo_fp(s, d):
-    g = entries(s, d).where("fingerprint IS NOT NULL").groupBy("category").agg(F.array_sort(F.collect_list(F.struct("id", F.concat_ws(":", "id", "fingerprint").alias("x")))).alias("l"))
-    return g.select("category", F.sha2(F.array_join(F.transform("l", lambda x: x["x"]), "|"), 256).alias("fp"))
+    g = entries(s, d).where("fingerprint IS NOT NULL").groupBy("category", F.substring(F.sha2("id", 256), 1, 3).alias("bucket"))
+    return _folded(g.agg(F.array_sort(F.collect_list(F.struct("id", F.concat_ws(":", "id", "fingerprint").alias("x")))).alias("l")), "category", "x", "|", "fp", [])
 
 
 @query("substring_search", ENTRIES + " SELECT id FROM m WHERE contains(lower(content), 'blast radius')")
@@ -517,7 +525,8 @@ def search(s, d):
 
 @query("paging_segments", ENTRIES + ", t AS (SELECT id, category, row_number() OVER (PARTITION BY category ORDER BY id) AS r FROM m) SELECT id, category, (r - 1) // 20 AS page FROM t")
 def paging(s, d):
-    return entries(s, d).select("id", "category", F.floor((F.row_number().over(W.partitionBy("category").orderBy("id")) - 1) / 20).alias("page"))
+    numbered = R.running_sum(entries(s, d).select("id", "category"), ["category"], [F.col("id")], F.lit(1), "r")
+    return numbered.select("id", "category", F.floor((F.col("r") - 1) / 20).alias("page"))
 
 
 # rules and insights -------------------------------------------------------------------------------------------------

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from lodegraph.operators import graph, hierarchy, orphans, relational, snapshot_diff
 
 ENTRY = "id string, parent_id string, entry_ts long, path string, nxt string"
@@ -221,3 +223,21 @@ def test_greedy_takes_late_and_free_rows(spark):
             want.add(i)
     df = spark.createDataFrame(rows, "g string, i int, c int")
     assert {r.i for r in relational.greedy(df, ["g"], [df.i], "c", 37).collect()} == want
+
+
+def test_running_sums_over_ranges(spark):
+    rnd = random.Random(7)
+    rows = [(rnd.choice(["a", "b", None]), i, rnd.choice([None, 1, 2, 5])) for i in range(500)]
+    want, total = {}, {}
+    for g, i, c in rows:
+        total[g] = total.get(g, 0) + (c or 0)
+        want[i] = total[g]
+    df = spark.createDataFrame(rows, "g string, _at int, c int")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["_at"]: r.t for r in relational.running_sum(df, ["g"], [F.col("_at")], F.col("c"), "t").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert got == want
+    assert relational.prefix_budget(df.limit(0), ["g"], [F.col("_at")], "c", 5).count() == 0
