@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.plans import context_plans, core, event_plans, graph_plans, ingest_plans, insight_plans, retrieval_plans, table_plans
+from lodegraph.plans import context_plans, core, event_plans, graph_plans, ingest_plans, insight_plans, retrieval_plans, runtime_plans, table_plans
 
-_PARTS = (core, graph_plans, table_plans, context_plans, event_plans, ingest_plans, insight_plans, retrieval_plans)
+_PARTS = (core, graph_plans, table_plans, context_plans, event_plans, ingest_plans, insight_plans, retrieval_plans, runtime_plans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
