@@ -54,6 +54,7 @@ NUMBER = {
     "go": re.compile(r"0[xX][0-9a-fA-F_]+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?\d+)?i?|0[oO]?[0-7_]+(?![\d.])i?|0[bB][01_]+i?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?i?"),
     "java": re.compile(r"0[xX][0-9a-fA-F_]+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?\d+)?[lLfFdD]?|0[bB][01_]+[lL]?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?[lLfFdD]?"),
 }
+BLANK = " \t\r\f\v\n\u00a0\ufeff\u2028\u2029"
 SPACE = re.compile(r"[ \t\r\f\v\u00a0\ufeff\u2028\u2029]+")
 CONFLICT = re.compile(r"(?:<{7}|>{7}|\|{7})(?: |$)|={7}$")
 
@@ -122,7 +123,7 @@ class Lexer:
         """All tokens; of an ``inner`` expression those from ``i`` to the brace that closes it, behind which ``end`` is."""
         s, n = self.s, len(self.s)
         fresh, gap = True, False
-        reserved, base = RESERVED[self.base], self.base
+        reserved, base, tokens = RESERVED[self.base], self.base, self.tokens
         punct, number = PUNCT[base], NUMBER[base]
         if base == "js" and not inner and s.startswith("#!"):
             i = s.find("\n") if "\n" in s else n
@@ -131,6 +132,9 @@ class Lexer:
             if c == "\n":
                 line, fresh, gap, i = line + 1, True, True, i + 1
                 continue
+            if c == " " and i + 1 < n and s[i + 1] not in BLANK:
+                gap, i = True, i + 1
+                continue
             if c == " " or c in "\t\r\f\v\u00a0\ufeff\u2028\u2029" or c.isspace():
                 m = SPACE.match(s, i)
                 gap, i = True, m.end() if m else i + 1
@@ -151,11 +155,18 @@ class Lexer:
                     fresh = True
                 line, i, gap = line + s.count("\n", i, end), end + 2, True
                 continue
-            start, prev = line, self.tokens[-1] if self.tokens else None
+            start, prev = line, tokens[-1] if tokens else None
+            if c in "([{;,":  # most signs are one of these, and nothing longer begins so
+                if c not in ";,":
+                    self.stack.append((c, line, prev))
+                    self._closed_template = False
+                tokens.append(Token("punct", c, line, fresh, gap))
+                fresh, gap, i = False, False, i + 1
+                continue
             if (c.isalpha() or c == "_") and (m := WORD.match(s, i)):
                 j = m.end()
                 kind = "word" if m.group() in reserved and not (prev and prev.text in (".", "?.") and base != "go") else "name"
-                self.tokens.append(Token(kind, m.group()[:200], line, fresh, gap))
+                tokens.append(Token(kind, m.group()[:200], line, fresh, gap))
                 fresh, gap, i = False, False, j
                 continue
             if c == '"' and base == "java" and s.startswith('"""', i):
@@ -415,7 +426,8 @@ def _neighbours(tokens: list[Token], language: str) -> None:
         x = t.text
         p = prev.text if prev else ""
         # operands side by side
-        starts = t.kind in ("name", "number", "string") or (t.kind == "word" and x in OPERAND_WORDS)
+        kind = t.kind
+        starts = kind in ("name", "number", "string") or (kind == "word" and x in OPERAND_WORDS)
         if prev and starts and prev.kind in ("name", "number", "string", "regex") and not (prev.kind == "string" and p in ("`{", "}{")):
             same_line = not t.fresh
             both_names = t.kind == "name" and prev.kind == "name"
@@ -565,6 +577,10 @@ def _annotation(tokens: list[Token], i: int, no: Callable[[str], Fault]) -> None
             return
 
 
+#: The signs and words that heads and blocks are told by.
+HEADS = set("( ) [ ] { } `{ ; : in of switch select interface enum for".split())
+
+
 def _headers(tokens: list[Token], language: str, base: str) -> None:
     """Heads of loops, blocks of try and switch, names of interfaces and enums, values of keys: by the brackets they stand in."""
     n = len(tokens)
@@ -574,6 +590,8 @@ def _headers(tokens: list[Token], language: str, base: str) -> None:
     level = 0
     for i, t in enumerate(tokens):
         x = t.text
+        if x not in HEADS:
+            continue
         prev = tokens[i - 1] if i else None
         nxt = tokens[i + 1] if i + 1 < n else None
         member = prev is not None and prev.text in (".", "?.")
