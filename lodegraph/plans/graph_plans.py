@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,6 +31,33 @@ def _graph(s, d):
     return n, materialize(S.known_edges(s, d, n), "edges")
 
 
+class Shared:
+    """What several metrics of one folder need, each made once, when it is first asked for."""
+
+    def __init__(self, s, d):
+        self.s, self.d = s, d
+
+    @cached_property
+    def graph(self):
+        return _graph(self.s, self.d)
+
+    @cached_property
+    def edges(self):
+        return materialize(S.edges(self.s, self.d), "all-edges")
+
+    @cached_property
+    def fans(self):
+        return materialize(G.fans(self.graph[0], self.edges), "fans")
+
+    @cached_property
+    def facts(self):
+        return materialize(G.graph_facts(*self.graph, "snapshot_id", ("component", "weak", "depth", "reach")), "facts")
+
+    @cached_property
+    def start(self):
+        return self.graph[1], _seeds(self.graph[1])
+
+
 def _start(s, d):
     e = materialize(S.known_edges(s, d), "edges")
     return e, _seeds(e)
@@ -57,8 +86,8 @@ FANS = """, fan AS (SELECT n.id, n.snapshot_id, n.file_path, n.node_type, n.name
 
 
 @query("bfs_forward", S.SQL + SEEDS + _bfs_sql("b", FWD, 10) + " SELECT seed, node, depth FROM b")
-def bfs_forward(s, d):
-    return G.bfs(*_start(s, d), 10, by="snapshot_id")
+def bfs_forward(s, d, g=None):
+    return G.bfs(*(g or Shared(s, d)).start, 10, by="snapshot_id")
 
 
 @query("bfs_reverse_depth2", S.SQL + SEEDS + _bfs_sql("b", REV, 2) + " SELECT seed, node, depth FROM b")
@@ -72,8 +101,8 @@ def neighborhood(s, d):
 
 
 @query("blast_radius", S.SQL + SEEDS + _bfs_sql("a", FWD, 5) + _bfs_sql("c", REV, 5) + " SELECT seed, node, min(depth) AS depth, CASE WHEN min(depth) <= 1 THEN 'direct' ELSE 'indirect' END AS impact FROM (SELECT * FROM a UNION ALL SELECT * FROM c) GROUP BY 1, 2")
-def blast(s, d):
-    return G.blast_radius(*_start(s, d), 5, "snapshot_id")
+def blast(s, d, g=None):
+    return G.blast_radius(*(g or Shared(s, d)).start, 5, "snapshot_id")
 
 
 @query("reachability_count", S.SQL + REACH + " SELECT n.id, count(DISTINCT r.dst) AS reach FROM n LEFT JOIN reach r ON r.src = n.id GROUP BY 1")
@@ -82,13 +111,13 @@ def reach_count(s, d):
 
 
 @query("weak_components", S.SQL + ", w AS (SELECT id, id AS m FROM n UNION SELECT w.id, s.t FROM w JOIN (" + BOTH + ") s ON s.f = w.m) SELECT id, min(m) AS component FROM w GROUP BY 1")
-def wcc(s, d):
-    return G.weak_components(*_graph(s, d), "snapshot_id")
+def wcc(s, d, g=None):
+    return g.facts.select("id", F.col("weak").alias("component")) if g else G.weak_components(*_graph(s, d), "snapshot_id")
 
 
 @query("strong_components", S.SQL + SCC + " SELECT id, component FROM comp")
-def scc(s, d):
-    return G.strong_components(*_graph(s, d), "snapshot_id")
+def scc(s, d, g=None):
+    return g.facts.select("id", "component") if g else G.strong_components(*_graph(s, d), "snapshot_id")
 
 
 @query("cycle_members", S.SQL + REACH + " SELECT DISTINCT src AS id FROM reach WHERE src = dst")
@@ -115,8 +144,8 @@ depths AS (SELECT c.id, max(down.depth) AS depth FROM comp c JOIN down ON down.i
 
 
 @query("node_depth", S.SQL + DEPTH + " SELECT id, depth FROM depths")
-def depth(s, d):
-    return G.node_depths(*_graph(s, d), "snapshot_id")
+def depth(s, d, g=None):
+    return g.facts.select("id", "depth") if g else G.node_depths(*_graph(s, d), "snapshot_id")
 
 
 @query(
@@ -151,8 +180,8 @@ LEVEL = "CASE WHEN {0} >= 50 THEN 'CRITICAL' WHEN {0} >= 20 THEN 'HIGH' WHEN {0}
     S.SQL + FANS + f""" SELECT id, snapshot_id, fan_in, fan_out, fan_in + fan_out AS total, CASE WHEN fan_in + fan_out > 0 THEN round(fan_in / (fan_in + fan_out), 4) ELSE 0 END AS concentration,
 {LEVEL.format('greatest(fan_in, fan_out)')} AS fan_level, fan_out >= 20 AND fan_in < fan_out * 0.2 AS utility_hotspot, fan_in >= 50 AND fan_out >= 50 AS god_module FROM fan""",
 )
-def fan_metrics(s, d):
-    return G.fans(S.nodes(s, d), S.edges(s, d)).select("id", "snapshot_id", "fan_in", "fan_out", "total", "concentration", "fan_level", "utility_hotspot", "god_module")
+def fan_metrics(s, d, g=None):
+    return (g.fans if g else G.fans(S.nodes(s, d), S.edges(s, d))).select("id", "snapshot_id", "fan_in", "fan_out", "total", "concentration", "fan_level", "utility_hotspot", "god_module")
 
 
 @query(
@@ -182,8 +211,8 @@ def fan_top(s, d):
     S.SQL + FANS + """, i AS (SELECT id, CASE WHEN fan_in + fan_out > 0 THEN round(fan_out / (fan_in + fan_out), 4) ELSE 0 END AS instability, fan_in, fan_out FROM fan)
 SELECT id, instability, CASE WHEN instability > 0.8 THEN 'VOLATILE' WHEN instability > 0.6 THEN 'UNSTABLE' WHEN instability >= 0.3 THEN 'BALANCED' ELSE 'STABLE' END AS instability_class FROM i""",
 )
-def instab(s, d):
-    return G.instability(G.fans(S.nodes(s, d), S.edges(s, d))).select("id", "instability", "instability_class")
+def instab(s, d, g=None):
+    return G.instability(g.fans if g else G.fans(S.nodes(s, d), S.edges(s, d))).select("id", "instability", "instability_class")
 
 
 @query(
@@ -193,20 +222,20 @@ raw AS (SELECT f.id, f.snapshot_id, (f.fan_in * 0.7e0 + f.fan_out * 0.3e0) * coa
   FROM fan f LEFT JOIN rc USING (id) LEFT JOIN sz USING (id)), top AS (SELECT *, max(raw) OVER (PARTITION BY snapshot_id) AS m FROM raw)
 SELECT id, snapshot_id, CASE WHEN m > 0 THEN round(raw / m, 4) ELSE 0 END AS score FROM top""",
 )
-def central(s, d):
-    n, e = _graph(s, d)
-    facts = G.graph_facts(n, e, "snapshot_id", ("component", "reach"))
+def central(s, d, g=None):
+    g = g or Shared(s, d)
+    facts = g.facts
     size = facts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    return G.centrality(G.fans(n, S.edges(s, d)), facts.select("id", "reach"), facts.join(size, "component").select("id", "size"), "snapshot_id")
+    return G.centrality(g.fans, facts.select("id", "reach"), facts.join(size, "component").select("id", "size"), "snapshot_id")
 
 
 @query(
     "graph_density",
     S.SQL + """ SELECT snapshot_id, v, coalesce(c, 0) AS edge_count, round(CASE WHEN v > 1 THEN 2 * coalesce(c, 0) / (v * (v - 1)) ELSE 0 END, 6) AS density FROM (SELECT snapshot_id, count(*) AS v FROM n GROUP BY 1) LEFT JOIN (SELECT snapshot_id, count(*) AS c FROM e GROUP BY 1) USING (snapshot_id)""",
 )
-def dens(s, d):
-    v = S.nodes(s, d).groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("v"))
-    c = S.edges(s, d).groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("edge_count"))
+def dens(s, d, g=None):
+    v = (g.graph[0] if g else S.nodes(s, d)).groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("v"))
+    c = (g.edges if g else S.edges(s, d)).groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("edge_count"))
     return v.join(c, "snapshot_id", "left").fillna(0, ["edge_count"]).withColumn("density", F.round(G.density(F.col("v"), F.col("edge_count")), 6))
 
 
@@ -236,13 +265,12 @@ gc AS (SELECT snapshot_id, count(*) AS ec FROM e GROUP BY 1), x AS (SELECT f.*,
 SELECT id, round(least(1, (fan_in / v + fan_out / v + CASE WHEN mean > 0 THEN least(1, fan_in + fan_out / mean) ELSE 0 END + dens + CASE WHEN size > 1 THEN least(1, size / 10) ELSE 0 END) / greatest(1, log2(v + ec))), 4) AS pressure,
 round(least(1, dens * fan_out / v), 4) AS amplification, fan_in >= 10 AND fan_out >= 10 AS choke_point FROM x""",
 )
-def risk(s, d):
-    n, known = _graph(s, d)
-    e = S.edges(s, d)
-    comp = G.strong_components(n, known, "snapshot_id")
+def risk(s, d, g=None):
+    g = g or Shared(s, d)
+    e, comp = g.edges, g.facts.select("id", "component")
     comp = comp.join(comp.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select("id", "size")
     ec = e.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("ec"))
-    f = materialize(G.fans(n, e), "fans")
+    f = g.fans
     x = f.join(f.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("v"), F.avg("total").alias("mean")), "snapshot_id").join(comp, "id").join(ec, "snapshot_id", "left").fillna(0, ["ec"])
     dens = G.density(F.col("v"), F.col("ec"))
     depth = F.when(F.col("mean") > 0, F.least(F.lit(1.0), F.col("fan_in") + F.col("fan_out") / F.col("mean"))).otherwise(0.0)
@@ -270,14 +298,15 @@ f AS (SELECT dp.snapshot_id, least(1, coalesce(ec, 0) / v / 5) AS a, round(h, 4)
 SELECT snapshot_id, round(a, 4) AS density_score, b AS entropy_score, round(c, 4) AS fragmentation, round(y, 4) AS cycle_score, round(ds, 4) AS depth_score, round((a + b + c + y + ds) * 0.2e0, 4) AS final_score,
 CASE WHEN (a + b + c + y + ds) * 0.2e0 > 0.75 THEN 'HIGHLY_COMPLEX' WHEN (a + b + c + y + ds) * 0.2e0 > 0.5 THEN 'COMPLEX' WHEN (a + b + c + y + ds) * 0.2e0 > 0.25 THEN 'MODERATE' ELSE 'SIMPLE' END AS complexity_level FROM f""",
 )
-def complexity(s, d):
-    n, e = _graph(s, d)
-    facts = materialize(G.graph_facts(n, e, "snapshot_id", ("component", "weak", "depth")).join(n.select("id", "snapshot_id"), "id"), "facts")
+def complexity(s, d, g=None):
+    g = g or Shared(s, d)
+    n, e = g.graph
+    facts = materialize(g.facts.join(n.select("id", "snapshot_id"), "id"), "placed")
     ds = facts.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("v"), (F.avg("depth") / F.max("depth")).alias("ds"))
     big = facts.groupBy("snapshot_id", "weak").agg(F.count(F.lit(1)).alias("k")).groupBy("snapshot_id").agg(F.max("k").alias("largest"))
     cyc = facts.groupBy("snapshot_id", "component").agg(F.count(F.lit(1)).alias("k")).where("k > 1").groupBy("snapshot_id").agg(F.sum("k").alias("cyc"))
     ec = e.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("ec"))
-    ent = G.entropy(G.fans(n, S.edges(s, d)), "snapshot_id", "fan_in")
+    ent = G.entropy(g.fans, "snapshot_id", "fan_in")
     x = ds.join(big, "snapshot_id").join(ent, "snapshot_id").join(cyc, "snapshot_id", "left").join(ec, "snapshot_id", "left").fillna(0, ["cyc", "ec"])
     a, c, y = F.least(F.lit(1.0), F.col("ec") / F.col("v") / 5), 1 - F.col("largest") / F.col("v"), F.col("cyc") / F.col("v")
     total = (a + F.col("entropy") + c + y + F.col("ds")) * 0.2

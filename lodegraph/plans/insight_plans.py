@@ -53,26 +53,27 @@ UNION ALL SELECT snapshot_id, id, 'INFRASTRUCTURE', 'NODE', 1 FROM (SELECT snaps
 
 def records(s, d):
     """(snapshot_id, ref, metric_type, metric_scope, metric_value): the metrics of nodes and snapshots in one long table, zeros left out."""
-    place = materialize(N(s, d).select("id", "snapshot_id", "file_path"), "place")
+    g = P.Shared(s, d)
+    place = g.graph[0].select("id", "snapshot_id", "file_path")
     near = place.select("id", "snapshot_id")
-    depth = materialize(P.depth(s, d).join(near, "id"), "depths")
-    risk = materialize(P.risk(s, d).join(near, "id"), "risk")
-    fan = P.fan_metrics(s, d)
+    depth = P.depth(s, d, g).join(near, "id")
+    risk = materialize(P.risk(s, d, g).join(near, "id"), "risk")
+    fan = P.fan_metrics(s, d, g)
 
     def rows(df, ref, kind, scope, value):
         return df.select("snapshot_id", F.col(ref).alias("ref"), F.lit(kind).alias("metric_type"), F.lit(scope).alias("metric_scope"), F.col(value).cast("double").alias("metric_value")).where("metric_value > 0")
 
     return union_all([
-        rows(P.central(s, d), "id", "CENTRALITY", "NODE", "score"),
+        rows(P.central(s, d, g), "id", "CENTRALITY", "NODE", "score"),
         rows(fan, "id", "FAN_IN", "NODE", "fan_in"),
         rows(fan, "id", "FAN_OUT", "NODE", "fan_out"),
-        rows(P.instab(s, d).join(near, "id"), "id", "INSTABILITY", "NODE", "instability"),
+        rows(P.instab(s, d, g).join(near, "id"), "id", "INSTABILITY", "NODE", "instability"),
         rows(risk, "id", "PROPAGATION_RISK", "NODE", "pressure"),
         rows(risk.withColumn("one", F.col("choke_point").cast("int")), "id", "CHOKE_POINT", "NODE", "one"),
         rows(depth, "id", "DEPTH", "NODE", "depth"),
         rows(depth.groupBy("snapshot_id").agg(F.max("depth").alias("m")), "snapshot_id", "MAX_DEPTH", "GLOBAL", "m"),
-        rows(P.dens(s, d), "snapshot_id", "COUPLING_DENSITY", "GLOBAL", "density"),
-        rows(P.complexity(s, d), "snapshot_id", "COMPLEXITY", "GLOBAL", "final_score"),
+        rows(P.dens(s, d, g), "snapshot_id", "COUPLING_DENSITY", "GLOBAL", "density"),
+        rows(P.complexity(s, d, g), "snapshot_id", "COMPLEXITY", "GLOBAL", "final_score"),
         rows(place.where(L.layer(F.col("file_path")) == "INFRASTRUCTURE").withColumn("one", F.lit(1)), "id", "INFRASTRUCTURE", "NODE", "one"),
     ])
 
@@ -138,17 +139,18 @@ def complex_(s, d):
 
 @query("insight_fragmentation", f"WITH c AS {q('complexity')}, k AS (SELECT snapshot_id, count(DISTINCT component) AS parts FROM {q('weak_components')} JOIN ({S.SQL} SELECT id, snapshot_id FROM n) USING (id) GROUP BY 1) SELECT snapshot_id, fragmentation, parts, CASE WHEN fragmentation >= 0.7 AND parts > 10 THEN 'CRITICAL' WHEN fragmentation >= 0.5 THEN 'HIGH' WHEN fragmentation >= 0.2 THEN 'MODERATE' ELSE 'LOW' END AS severity FROM c JOIN k USING (snapshot_id)")
 def fragmentation(s, d):
-    n, e = P._graph(s, d)
-    k = G.weak_components(n, e, "snapshot_id").join(n.select("id", "snapshot_id"), "id").groupBy("snapshot_id").agg(F.count_distinct("component").alias("parts"))
+    g = P.Shared(s, d)
+    n = g.graph[0]
+    k = P.wcc(s, d, g).join(n.select("id", "snapshot_id"), "id").groupBy("snapshot_id").agg(F.count_distinct("component").alias("parts"))
     f = F.col("fragmentation")
     sev = F.when((f >= 0.7) & (F.col("parts") > 10), "CRITICAL").when(f >= 0.5, "HIGH").when(f >= 0.2, "MODERATE").otherwise("LOW")
-    return P.complexity(s, d).join(k, "snapshot_id").select("snapshot_id", "fragmentation", "parts", sev.alias("severity"))
+    return P.complexity(s, d, g).join(k, "snapshot_id").select("snapshot_id", "fragmentation", "parts", sev.alias("severity"))
 
 
-@query("stability_analysis", f"WITH x AS {q('instability')} SELECT snapshot_id, count(*) FILTER (instability > 0.7) AS unstable, count(*) FILTER (instability < 0.3) AS stable, round(avg(instability), 4) AS mean_instability FROM x JOIN ({S.SQL} SELECT id, snapshot_id FROM n) USING (id) GROUP BY 1")
+@query("stability_analysis", f"WITH x AS {q('instability')} SELECT snapshot_id, count(*) FILTER (instability > 0.7) AS unstable, count(*) FILTER (instability < 0.3) AS stable, round(avg(instability) + 1e-9, 4) AS mean_instability FROM x JOIN ({S.SQL} SELECT id, snapshot_id FROM n) USING (id) GROUP BY 1")
 def stability(s, d):
     i = F.col("instability")
-    return P.instab(s, d).join(N(s, d).select("id", "snapshot_id"), "id").groupBy("snapshot_id").agg(F.count_if(i > 0.7).alias("unstable"), F.count_if(i < 0.3).alias("stable"), F.round(F.avg(i), 4).alias("mean_instability"))
+    return P.instab(s, d).join(N(s, d).select("id", "snapshot_id"), "id").groupBy("snapshot_id").agg(F.count_if(i > 0.7).alias("unstable"), F.count_if(i < 0.3).alias("stable"), F.round(F.avg(i) + 1e-9, 4).alias("mean_instability"))
 
 
 @query("growth_inference", f"SELECT snapshot_id, round(edge_count / v, 4) AS edge_ratio, CASE WHEN edge_count / v > 2 THEN 'dense growth' ELSE 'normal growth' END AS inference FROM {q('graph_density')} WHERE v > 0")

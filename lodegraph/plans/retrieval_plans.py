@@ -73,16 +73,17 @@ x AS (SELECT l.id, l.snapshot_id, 0.15e0 * cen.score + 0.15e0 * CASE WHEN near.d
 
 def _extended(s, d):
     """(id, snapshot_id, score): the nine-factor score of every node, seen from its snapshot's seed."""
-    n = materialize(N(s, d), "nodes")
-    near = materialize(P.bfs_forward(s, d), "near")
+    g = P.Shared(s, d)
+    n = g.graph[0]
+    near = materialize(P.bfs_forward(s, d, g), "near")
     home = near.select(F.col("seed").alias("id")).distinct().join(n.select("id", "snapshot_id", "namespace"), "id").groupBy("snapshot_id").agg(F.min("namespace").alias("home"))
-    sc = materialize(P.scc(s, d), "components")
+    sc = P.scc(s, d, g)
     big = sc.groupBy("component").count().where("count > 1").select("component", F.lit(1.0).alias("cyclic"))
     cyclic = sc.join(big, "component", "left").select("id", F.coalesce("cyclic", F.lit(0.0)).alias("cyclic"))
     depth = near.groupBy(F.col("node").alias("id")).agg(F.min("depth").alias("depth"))
-    fan = P.fan_metrics(s, d).select("id", F.coalesce(F.try_divide(F.col("fan_out"), F.col("total")), F.lit(0.0)).alias("fan_ratio"), (F.col("total") >= 15).cast("double").alias("hotspot"))
+    fan = P.fan_metrics(s, d, g).select("id", F.coalesce(F.try_divide(F.col("fan_out"), F.col("total")), F.lit(0.0)).alias("fan_ratio"), (F.col("total") >= 15).cast("double").alias("hotspot"))
     x = n.select("id", "snapshot_id", "namespace", (L.context_importance(L.layer(F.col("file_path"))) / 10).alias("semantic"))
-    x = x.join(P.central(s, d).select("id", F.col("score").alias("centrality")), "id").join(P.risk(s, d).select("id", F.col("pressure").alias("risk")), "id").join(P.instab(s, d).select("id", "instability"), "id")
+    x = x.join(P.central(s, d, g).select("id", F.col("score").alias("centrality")), "id").join(P.risk(s, d, g).select("id", F.col("pressure").alias("risk")), "id").join(P.instab(s, d, g).select("id", "instability"), "id")
     x = x.join(cyclic, "id").join(fan, "id").join(depth, "id", "left").join(home, "snapshot_id", "left")
     x = x.withColumn("proximity", F.when(F.col("depth") > 0, 1 / (F.col("depth") + 1)).when(F.col("depth") == 0, 1.0)).withColumn("architecture", (F.col("home") == F.col("namespace")).cast("double"))
     return x.select("id", "snapshot_id", F.round(C.extended_score(x) + 1e-9, 4).alias("score"))
@@ -100,13 +101,15 @@ def assembled(s, d):
 
 @query("critical_propagation_paths", f"SELECT b.seed AS source, b.node AS target, pressure AS risk FROM {q('bfs_forward')} b JOIN {q('propagation_risk')} p ON p.id = b.node WHERE b.node <> b.seed AND pressure > 0.5")
 def critical(s, d):
-    b = P.bfs_forward(s, d).where("node <> seed")
-    return b.join(P.risk(s, d).where("pressure > 0.5").select(F.col("id").alias("node"), "pressure"), "node").select(F.col("seed").alias("source"), F.col("node").alias("target"), F.col("pressure").alias("risk"))
+    g = P.Shared(s, d)
+    b = P.bfs_forward(s, d, g).where("node <> seed")
+    return b.join(P.risk(s, d, g).where("pressure > 0.5").select(F.col("id").alias("node"), "pressure"), "node").select(F.col("seed").alias("source"), F.col("node").alias("target"), F.col("pressure").alias("risk"))
 
 
 @query("chain_risk", f"SELECT b.seed, count(*) AS nodes, max(depth) AS reached, round(sum(pressure), 4) AS total_risk FROM {q('bfs_forward')} b JOIN {q('propagation_risk')} p ON p.id = b.node GROUP BY 1")
 def chain_risk(s, d):
-    b = P.bfs_forward(s, d).join(P.risk(s, d).select(F.col("id").alias("node"), "pressure"), "node")
+    g = P.Shared(s, d)
+    b = P.bfs_forward(s, d, g).join(P.risk(s, d, g).select(F.col("id").alias("node"), "pressure"), "node")
     return b.groupBy("seed").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("reached"), F.round(F.sum("pressure"), 4).alias("total_risk"))
 
 
@@ -117,21 +120,22 @@ sl AS (SELECT DISTINCT snapshot_id, kind, id FROM (SELECT n.snapshot_id, 'chain'
  UNION ALL SELECT snapshot_id, 'cyclic', id FROM nn JOIN sc USING (id) WHERE component IN (SELECT component FROM sc GROUP BY 1 HAVING count(*) > 1)))"""
 
 
-def _slices(s, d):
+def _slices(s, d, g=None):
     """(snapshot_id, kind, node): the nodes of each slice of each snapshot."""
-    n = materialize(N(s, d), "nodes")
+    g = g or P.Shared(s, d)
+    n = g.graph[0]
     at = n.select("id", "snapshot_id")
     seed = at.withColumnRenamed("id", "seed")
-    sc = materialize(P.scc(s, d), "components")
+    sc = P.scc(s, d, g)
     cyc = sc.join(sc.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi")
     lay = n.select("id", "snapshot_id", L.layer(F.col("file_path")).alias("layer"))
     row = lambda df, kind, node="id": df.select("snapshot_id", F.lit(kind).alias("kind"), F.col(node).alias("node"))
     return materialize(union_all([
-        row(P.bfs_forward(s, d).join(seed, "seed"), "chain", "node"),
-        row(P.blast(s, d).join(seed, "seed"), "blast", "node"),
+        row(P.bfs_forward(s, d, g).join(seed, "seed"), "chain", "node"),
+        row(P.blast(s, d, g).join(seed, "seed"), "blast", "node"),
         row(lay.where("layer = 'DOMAIN_LAYER'"), "domain"),
         row(lay.where("layer = 'INFRASTRUCTURE'"), "infra"),
-        row(P.instab(s, d).where("instability >= 0.5").join(at, "id"), "hotspot"),
+        row(P.instab(s, d, g).where("instability >= 0.5").join(at, "id"), "hotspot"),
         row(cyc.join(at, "id"), "cyclic"),
     ]).distinct(), "slices")
 
@@ -153,8 +157,9 @@ def similarity(s, d):
 
 @query("semantic_redundancy", f"WITH {SLICES}, w AS {q('weak_components')}, k AS (SELECT snapshot_id, kind, min(w.component) AS region, count(*) AS node_count FROM sl JOIN w USING (id) GROUP BY 1, 2) SELECT snapshot_id, region, kind, node_count FROM k QUALIFY row_number() OVER (PARTITION BY snapshot_id, region ORDER BY node_count DESC, kind) = 1")
 def redundancy(s, d):
-    w = P.wcc(s, d).select(F.col("id").alias("node"), "component")
-    k = _slices(s, d).join(w, "node").groupBy("snapshot_id", "kind").agg(F.min("component").alias("region"), F.count(F.lit(1)).alias("node_count"))
+    g = P.Shared(s, d)
+    w = P.wcc(s, d, g).select(F.col("id").alias("node"), "component")
+    k = _slices(s, d, g).join(w, "node").groupBy("snapshot_id", "kind").agg(F.min("component").alias("region"), F.count(F.lit(1)).alias("node_count"))
     return C.one_per_region(k, "snapshot_id", "region", [F.col("node_count").desc(), F.col("kind")]).select("snapshot_id", "region", "kind", "node_count")
 
 

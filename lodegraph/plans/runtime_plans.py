@@ -32,11 +32,11 @@ def pressure_levels(s, d):
     return h.join(most, F.col("depth") <= F.col("m")).select("hour", "depth", F.when(r >= 1, "CRITICAL").when(r > 0.9, "HIGH").when(r > 0.7, "ELEVATED").otherwise("NORMAL").alias("level"))
 
 
-@query("memory_pressure", "WITH u AS (SELECT user_id, sum(value) / 2000 AS r FROM events GROUP BY 1) SELECT user_id, round(r, 4) AS ratio, CASE WHEN r >= 0.9 THEN 'CRITICAL' WHEN r >= 0.75 THEN 'HIGH' WHEN r >= 0.6 THEN 'ELEVATED' ELSE 'NORMAL' END AS level FROM u")
+@query("memory_pressure", "WITH u AS (SELECT user_id, sum(value) / 2000 AS r FROM events GROUP BY 1) SELECT user_id, round(r + 1e-9, 4) AS ratio, CASE WHEN r >= 0.9 THEN 'CRITICAL' WHEN r >= 0.75 THEN 'HIGH' WHEN r >= 0.6 THEN 'ELEVATED' ELSE 'NORMAL' END AS level FROM u")
 def memory_pressure(s, d):
     r = F.col("r")
     u = load(s, d, "events").groupBy("user_id").agg((F.sum("value") / 2000).alias("r"))
-    return u.select("user_id", F.round(r, 4).alias("ratio"), X.steps(r, (0.9, "CRITICAL"), (0.75, "HIGH"), (0.6, "ELEVATED"), other="NORMAL").alias("level"))
+    return u.select("user_id", F.round(r + 1e-9, 4).alias("ratio"), X.steps(r, (0.9, "CRITICAL"), (0.75, "HIGH"), (0.6, "ELEVATED"), other="NORMAL").alias("level"))
 
 
 @query("rate_limited", "WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS n, sum(value) OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS used FROM events) SELECT event_id, n > 3 OR used > 150 AS limited FROM r")
