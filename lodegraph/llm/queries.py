@@ -106,15 +106,19 @@ ranked AS (
 _WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
 
 
+_LEAKED = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, {_WORDS.format('item_text')} AS w FROM eval_items WHERE item_text IS NOT NULL),
+dg AS (SELECT doc_id, array_to_string(w[n:n + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS n FROM d WHERE len(w) >= 12)),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[n:n + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS n FROM i WHERE len(w) >= 12)),
+leaked AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _CURRENT_SYMBOLS + "SELECT file_path, symbol_id FROM ranked WHERE rank_no <= 3",
         "p1_ranked": _CURRENT_SYMBOLS + "SELECT symbol_id, file_path, symbol_name, centrality_score, rank_no FROM ranked WHERE rank_no <= 10",
         "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
-        "p9_found": f"""
-WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL),
-i AS (SELECT item_id, {_WORDS.format('item_text')} AS w FROM eval_items WHERE item_text IS NOT NULL),
-dg AS (SELECT doc_id, array_to_string(w[n:n + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS n FROM d WHERE len(w) >= 12)),
-ig AS (SELECT DISTINCT item_id, array_to_string(w[n:n + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS n FROM i WHERE len(w) >= 12))
-SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+        "p9_found": _LEAKED + " SELECT doc_id, item_id FROM leaked",
+        "p9_items": _LEAKED + " SELECT item_id, suite, (SELECT count(*) FROM leaked l WHERE l.item_id = e.item_id) AS document_count FROM (SELECT DISTINCT item_id, suite FROM eval_items) e",
     }
