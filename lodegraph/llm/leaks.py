@@ -60,8 +60,8 @@ class Index:
     def __init__(self, items: list[tuple[object, str]], q: int, least_words: int = 12):
         self.ids = [i for i, _ in items]
         self.words = [words_of(t) for _, t in items]
-        self.codes = [_codes(w) for w in self.words]
-        parts = [_grams(c, q) for c in self.codes]
+        self.texts = [" ".join(w) for w in self.words]
+        parts = [_grams(_codes(w), q) for w in self.words]
         self.gram = np.concatenate(parts) if parts else np.empty(0, np.uint64)
         self.item = np.concatenate([np.full(len(p), i, np.int64) for i, p in enumerate(parts)]) if parts else np.empty(0, np.int64)
         self.place = np.concatenate([np.arange(len(p)) for p in parts]) if parts else np.empty(0, np.int64)
@@ -133,19 +133,29 @@ def bands(doc: np.ndarray, pos: np.ndarray, item: np.ndarray, place: np.ndarray,
     return sorted(set(out))
 
 
-def same_ahead(a: np.ndarray, i: int, b: np.ndarray, j: int) -> int:
-    """How many characters from ``a[i]`` and ``b[j]`` on are equal."""
-    n, done, step = min(len(a) - i, len(b) - j), 0, 64
+def same_ahead(a: str, i: int, b: str, j: int) -> int:
+    """How many characters from ``a[i]`` and ``b[j]`` on are equal: by growing pieces, then by halves of the one that differs."""
+    n = min(len(a) - i, len(b) - j)
+    if n <= 0 or a[i] != b[j]:
+        return 0
+    done, step = 0, 8
     while done < n:
         m = min(step, n - done)
-        differ = np.flatnonzero(a[i + done : i + done + m] != b[j + done : j + done + m])
-        if len(differ):
-            return done + int(differ[0])
-        done, step = done + m, step * 4
+        if a[i + done : i + done + m] == b[j + done : j + done + m]:
+            done, step = done + m, step * 2
+            continue
+        low, high = 0, m
+        while high - low > 1:
+            mid = (low + high) // 2
+            if a[i + done + low : i + done + mid] == b[j + done + low : j + done + mid]:
+                low = mid
+            else:
+                high = mid
+        return done + low
     return n
 
 
-def reach(a: np.ndarray, b: np.ndarray, k: int) -> list[tuple[int, int]]:
+def reach(a: str, b: str, k: int) -> list[tuple[int, int]]:
     """For 0 to ``k`` edits how far ``a`` and ``b`` go together from their beginnings: (characters of a, of b), the most of both.
 
     A banded alignment: per number of edits the furthest point on each of the
@@ -177,13 +187,16 @@ def reach(a: np.ndarray, b: np.ndarray, k: int) -> list[tuple[int, int]]:
     return best
 
 
-def stretch(text: np.ndarray, pos: int, item: np.ndarray, place: int, q: int, k: int, size: int) -> tuple[int, int, int, int, int] | None:
+def stretch(text: str, pos: int, item: str, place: int, q: int, k: int, size: int) -> tuple[int, int, int, int, int] | None:
     """(start, end, item start, item end, edits) of the stretch through a hit that is as long as ``size`` in the item, with the fewest edits.
 
     Of stretches with equally few edits the longest; None if ``k`` don't do.
     """
-    left = reach(item[:place][::-1], text[:pos][::-1], k)
-    right = reach(item[place + q :], text[pos + q :], k)
+    most = len(item) + k  # no stretch is longer
+    left = reach(item[:place][::-1], text[max(0, pos - most) : pos][::-1], k)
+    if left[k][0] + len(item) - place < size:
+        return None
+    right = reach(item[place + q :], text[pos + q : pos + q + most], k)
     for e in range(k + 1):
         found = max((left[x][0] + right[e - x][0], x) for x in range(e + 1))
         if found[0] + q >= size:
@@ -219,7 +232,7 @@ def _scan(index: Index, texts: list[str], least_words: int, q: int, k: int) -> l
         base, size = int(starts[d]), len(joined[d])
         if p + q > base + size:
             continue  # a gram across two texts
-        text, other = codes[base : base + size], index.codes[it]
+        text, other = joined[d], index.texts[it]
         found = stretch(text, p - base, other, place, q, k, int(index.length[it]))
         if not found:
             continue
