@@ -514,7 +514,10 @@ def _free_salts(heads: DataFrame, taken: DataFrame, draw_form: Callable[..., Col
 
 
 def replace_personal_data(documents: DataFrame, found: DataFrame, secret: str | None = None, key: str = "doc_id", text: str = "text", to: str = "redacted_text") -> DataFrame:
-    """(key, to): texts with typed placeholders such as ``[EMAIL]``, or with surrogates keyed by ``secret``."""
+    """(key, to): texts with typed placeholders such as ``[EMAIL]``, or with surrogates keyed by ``secret``.
+
+    ``key`` tells texts apart; rows that repeat it must repeat the text.  A null key is a key.
+    """
     if secret is None:
         spans = found.select(key, "start", "stop", F.concat(F.lit("["), F.upper("pii_type"), F.lit("]")).alias("replacement"))
     else:
@@ -536,4 +539,5 @@ def replace_personal_data(documents: DataFrame, found: DataFrame, secret: str |
             res.append("".join([*out, t[last:]]))
         return pd.Series(res)
 
-    return documents.select(F.col(key), F.col(text).alias("_t")).join(per, key, "left").select(key, splice("_t", "_s").alias(to))
+    spans = per.select(F.col(key).alias("_k"), "_s")
+    return documents.select(F.col(key), F.col(text).alias("_t")).join(spans, F.col(key).eqNullSafe(F.col("_k")), "left").select(key, splice("_t", "_s").alias(to))

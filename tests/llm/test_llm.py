@@ -316,6 +316,24 @@ def test_surrogates_keep_persons_scripts_and_genders(spark):
     assert len({pii.normal_form("phone", r) for (k, _), r in got.items() if k == "phone"}) == 1 == len({r for (k, _), r in got.items() if k == "email"})
 
 
+def test_operators_on_nulls_repeats_and_other_columns(spark):
+    more = "k int, t int, s int, value int, start int, stop int, _s int, _t int, ids int, word int, _row int"
+
+    def wide(df):
+        return df.selectExpr("*", *[f"CAST(NULL AS {c.split()[1]}) AS {c.split()[0]}" for c in more.split(", ")])
+
+    line = "Reviewed by Pavel Tostridge. Contact: a.b@cobalt.example"
+    docs = wide(spark.createDataFrame([(1, None), (2, ""), (None, line), (4, line), (4, line)], "doc_id long, text string"))
+    found = pii.find_personal_data(docs)
+    for secret in (None, "k"):
+        texts = {r.doc_id: r.redacted_text for r in pii.replace_personal_data(docs, found, secret).collect()}
+        assert texts[1] is None and texts[2] == "" and "cobalt" not in texts[None] + texts[4] and "Pavel" not in texts[None]
+    assert pii.assign_surrogates(found.limit(0), "k").count() == 0
+    items = wide(spark.createDataFrame([(1, line * 3), (None, None), (1, line * 3)], "item_id long, item_text string"))
+    assert leaks.leaked_items(wide(docs.select("doc_id", "text")), items, least_words=6).count() == 2
+    assert tokenize.encode_corpus(docs).count() == 5
+
+
 def test_names_written_small_in_spelled_out_addresses(spark):
     small = "The export went to ines dot marta at cobalt dot example by mistake."
     docs = spark.createDataFrame([(1, "Reviewed by Ines Thormesque.\nGruß, Quennelli, Ines"), (2, "Ask Ines Wintosky.\nAnschrift: Am Steinbruch 13a in Tarnwick"), *[(10 + i, small) for i in range(40)]], "doc_id long, text string")
